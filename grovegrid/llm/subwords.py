@@ -26,7 +26,7 @@ _MADE: dict[str, "WordIds"] = {}
 #: The pre-tokenizer that the fast way knows, and its form for lower-case ASCII and Latin-1 letters.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9\n]+")
-_OTHER = re.compile(r"[^!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\|")
+_OTHER = re.compile(r"[^\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\|")
 _END = b"\0"
 
 
@@ -72,12 +72,6 @@ def fast_encoder(path: str):
 _NONE = np.zeros(0, np.uint32)
 
 
-def _parts(ids: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
-    """The stretches of ids between the positions in cut."""
-    first, last = [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]
-    return [ids[a:b] for a, b in zip(first, last, strict=True)]
-
-
 class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -100,35 +94,43 @@ class WordIds:
         self.flat = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        slow = [i for i, t in enumerate(texts) if _OTHER.search(t)] if self.fast else list(range(len(texts)))
+    def _quick(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words parted by line ends, and the number of each word's ids."""
+        encoder, to_id = self.fast
+        ranks = np.array(encoder.encode_ordinary(_PIECE.sub("\\g<0>\0", joined.lower())), np.int64)
+        inside = ranks != 10
+        cut = np.flatnonzero(~inside)
+        return to_id[ranks[inside]], np.diff(np.concatenate(([-1], cut, [len(ranks)]))) - 1
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joined = b"\n".join(words).decode("utf-8", "replace")
+        if self.fast and not _OTHER.search(joined):
+            return self._quick(joined)
+        texts = joined.split("\n")
+        slow = [i for i, t in enumerate(texts) if not self.fast or _OTHER.search(t)]
         out = [_NONE] * len(texts)
         if len(slow) < len(texts):
             rest = set(slow)
-            quick = [i for i in range(len(texts)) if i not in rest] if slow else range(len(texts))
-            encoder, to_id = self.fast
-            marked = _PIECE.sub("\\g<0>\0", "\n".join([texts[i] for i in quick]).lower())
-            ranks = np.array(encoder.encode_ordinary(marked), np.int64)
-            for i, part in zip(quick, _parts(to_id[ranks], np.flatnonzero(ranks == 10)), strict=True):
+            quick = [i for i in range(len(texts)) if i not in rest]
+            ids, length = self._quick("\n".join([texts[i] for i in quick]))
+            for i, part in zip(quick, np.split(ids, np.cumsum(length)[:-1]), strict=True):
                 out[i] = part
         plain = [i for i in slow if "<|" not in texts[i]]
         if plain:
             ids = np.array(self.tokenizer.encode(SEPARATOR.join(texts[i] for i in plain), add_special_tokens=False).ids, np.uint32)
-            for i, part in zip(plain, _parts(ids, np.flatnonzero(ids == self.apart)), strict=True):
-                out[i] = part
+            for i, part in zip(plain, np.split(ids, np.flatnonzero(ids == self.apart)), strict=True):
+                out[i] = part[part != self.apart]
         for i in slow:
             if "<|" in texts[i]:
                 out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        return out
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        made = self._encode(words)
-        length = np.array([len(m) for m in made], np.int64)
-        total = int(length.sum())
+        made, length = self._encode(words)
+        total = len(made)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
-        self.flat[self.used : self.used + total] = np.concatenate(made)
+        self.flat[self.used : self.used + total] = made
         at = self.used + np.cumsum(length) - length
         self.used += total
         where = np.searchsorted(self.hash, hashes)
