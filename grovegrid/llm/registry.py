@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, ngram_jaccard, packing
+from . import decontamination, ngram_jaccard, packing, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard,
     "op7_packing": packing.op7_packing,
     "op8_decontamination": decontamination.op8_decontamination,
