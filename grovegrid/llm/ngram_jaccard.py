@@ -12,10 +12,11 @@ that can link with a larger one beyond its band also gives the keys of the next
 no shingle fell into says little, so its key is joined by those of a second, independent sketch, of
 which one block must be equal as well. No link is lost.
 
-Equal sets are one class from the start. Among the classes that share a key, the most central one is
-compared with the others first (one row a class); what that leaves apart is compared pair by pair,
-for growing numbers of centres, first by the Hamming distance of folded sketches, then exactly.
-Pairs within one component are not compared again. Documents under a null doc_id get no links.
+Equal sets are one class from the start, and of the keys with the same classes one is kept. Within a
+key, classes are compared by the Hamming distance of folded sketches, and a spanning forest of those
+near enough is emitted, at most one row a class; its edges are verified exactly. Where an edge fails,
+all near pairs of its keys that are still apart are verified. Keys with very many classes are dealt out
+by pairs of blocks. Documents under a null doc_id get no links.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -132,25 +132,68 @@ def _set_rows(k: int):
     return run
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    """Distance of two sketches, the longer one folded to the length of the shorter."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) > len(y):
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    elif len(y) > len(x):
-        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+def near_pairs(cls: list, n: np.ndarray, roots: list, sketches: list, percent: int, every: bool) -> list[tuple]:
+    """Pairs within one key that may link: a spanning forest of them over the roots, or every one across roots."""
+    width = min(map(len, sketches))
+    rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in sketches]).view(np.uint64)
+    groups: dict = {}
+    for i, r in enumerate(roots):
+        groups.setdefault(r, []).append(i)
+    root = np.unique(np.array([x if x is not None else 0 for x in roots], np.int64), return_inverse=True)[1]
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count(rows[others] ^ rows[i]).sum(1)
+        fits = (d <= (n[others] + n[i]) * (100 - percent) // (100 + percent)) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+        return others[fits]
+
+    out = []
+    if every:
+        for i in range(len(cls)):
+            rest = np.arange(i + 1, len(cls))
+            out += [(cls[i], cls[j]) for j in near(i, rest[root[rest] != root[i]]).tolist()]
+        return out
+    left = np.ones(len(cls), bool)
+    for start in range(len(cls)):
+        if not left[start]:
+            continue
+        todo = groups[roots[start]][:]
+        left[todo] = False
+        while todo:
+            i = todo.pop()
+            others = np.flatnonzero(left)
+            if not len(others):
+                return out
+            for j in near(i, others).tolist():
+                if left[j]:
+                    out.append((cls[i], cls[j]))
+                    same = groups[roots[j]]
+                    left[same] = False
+                    todo += same
+    return out
+
 
+def _candidates(percent: int, every: bool):
+    """Rows (grp, cls, n, root, sketch) sorted by grp -> pairs (a, b, grp)."""
 
-def _near(percent: int):
     def run(batches):
+        held, group = [], None
+
+        def flush():
+            return [(min(p), max(p), group) for p in near_pairs([h[0] for h in held], np.array([h[1] for h in held]), [h[2] for h in held], [h[3] for h in held], percent, every)] if len(held) > 1 else []
+
+        def batch(rows):
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["a", "b", "grp"])
+
         for b in batches:
-            keep = []
-            rows = zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("xa").to_pylist(), b.column("xb").to_pylist(), strict=True)
-            for i, (na, nb, xa, xb) in enumerate(rows):
-                if hamming(xa, xb) <= (na + nb) * (100 - percent) // (100 + percent):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep, pa.int32())) for c in ("a", "b")], ["a", "b"])
+            out = []
+            for g, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "cls", "n", "root", "sketch")), strict=True):
+                if g != group:
+                    out += flush()
+                    held, group = [], g
+                held.append(row)
+            yield batch(out)
+        yield batch(flush())
 
     return run
 
@@ -171,17 +214,19 @@ def _linked(percent: int):
     return run
 
 
-def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    one = table.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col(column).alias("xa"))
-    two = table.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col(column).alias("xb"))
-    return pairs.join(one, "a").join(two, "b")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) of classes that link, by their sets."""
+    one, two = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("xa")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("xb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_linked(percent), "a long, b long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) of classes that link: sizes, then Hamming distances, then the sets themselves."""
-    sizes = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    near = _with(pairs, sets, "sketch").where(sizes).mapInArrow(_near(percent), "a long, b long")
-    return _with(near, sets, "shingles").select("a", "b", "xa", "xb").mapInArrow(_linked(percent), "a long, b long")
+def _dealt(members: DataFrame, sizes: DataFrame, most: int = 4096) -> DataFrame:
+    """members(key, cls) with a group name: the key, or for a key of more than `most` classes each pair of its blocks."""
+    blocks = F.ceil(F.col("m") / F.lit(most // 2)).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    whole = F.array(F.col("key").cast("string"))
+    parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws("_", F.col("key").cast("string"), F.least(own, j).cast("string"), F.greatest(own, j).cast("string")))
+    return members.join(sizes.select("key", "m"), "key").withColumn("grp", F.explode(F.when(F.col("m") > most, parts).otherwise(whole)))
 
 
 def jaccard_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -194,59 +239,34 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
     shared = materialize(each.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key"), "shared")
     n_shared = shared.count()
     members = materialize(each.join(sized(shared, n_shared), "key").distinct(), "members")
-    degree = members.groupBy("cls").agg(F.count(F.lit(1)).alias("deg"))
-    members = materialize(members.join(degree, "cls"), "members")
+    # Of the keys with the same classes the smallest stays.
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"))
+    sizes = materialize(sizes.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key", "m"), "sizes")
+    members, all_members = materialize(_dealt(members, sizes).select("grp", "cls"), "members"), members
+    release(shared, all_members)
     involved = members.select("cls").distinct()
     reps = materialize(keyed.select("doc_id", "cls").join(involved, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "reps")
-    wanted = sized(reps.select("doc_id", F.col("cls").alias("want")), reps.count())
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    n_reps = reps.count()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sized(reps.select("doc_id").distinct(), n_reps), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_set_rows(k), "cls long, n long, sketch binary, shingles binary")
-    sets = materialize(sets.join(sized(reps.select("cls"), reps.count()), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sets = materialize(sets.join(sized(reps.select("cls"), n_reps), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
-    # The most central class of each key is its centre; each class is compared with the most central of its centres.
-    centre = members.groupBy("key").agg(F.max(F.struct("deg", "cls")).alias("centre"))
-    star = members.join(centre, "key").where("cls <> centre.cls").groupBy("cls").agg(F.max("centre").alias("c")).select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"))
-    tested = materialize(star.distinct(), "tested")
-    links = materialize(verify(tested, sets, percent), "links")
-    roots = materialize(components(links), "roots")
+    def candidates(rows: DataFrame, every: bool) -> DataFrame:
+        full = rows.join(sets.select("cls", "n", "sketch"), "cls").select("grp", "cls", "n", "root", "sketch")
+        return full.repartition("grp").sortWithinPartitions("grp", "n", "cls").mapInArrow(_candidates(percent, every), "a long, b long, grp string")
 
-    while True:
-        # Keys whose members are not all in one component, and the pairs across that have not been compared.
-        at = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "deg", F.coalesce("root", "cls").alias("root"))
-        split = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        open_ = materialize(at.join(split.select("key", "m"), "key"), "open")
-        rank = W.partitionBy("key").orderBy(F.desc("deg"), "cls")
-        ranked = materialize(open_.withColumn("rank", F.row_number().over(rank)), "ranked")
-        # All centres of a rank up to reach: as many as leave a few pairs for each member, but two at least.
-        costs = ranked.agg(F.max("m"), F.count(F.lit(1)), *(F.sum(F.when(F.col("rank") <= (1 << j), F.col("m")).otherwise(0)) for j in range(1, 24))).first()
-        top, room, new = costs[0] or 0, 4 * (costs[1] + 1000), None
-        reach = max([2, *(1 << j for j in range(1, 24) if costs[1] and costs[1 + j] <= room and (1 << j) < 2 * top)])
-        while top:
-            one, two = ranked.where(F.col("rank") <= reach).alias("x"), ranked.alias("y")
-            pairs = one.join(two, F.expr("x.key = y.key and x.rank < y.rank and x.root <> y.root")).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-            pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            if not pairs.isEmpty():
-                new = pairs
-                break
-            if reach >= top:
-                break
-            reach *= 2
-        release(open_, ranked)
-        if new is None:
-            break
-        found = materialize(verify(new, sets, percent), "links")
-        tested, old_tested = materialize(tested.unionByName(new), "tested"), tested
-        if not found.isEmpty():
-            links, old = materialize(links.unionByName(found), "links"), links
-            roots, old_roots = materialize(components(links), "roots"), roots
-            release(old, old_roots)
-            again = True
-        else:
-            again = reach < top
-        release(new, found, old_tested)
-        if not again:
-            break
-    release(shared, members, reps, sets, tested, links)
+    tried = materialize(candidates(members.withColumn("root", F.col("cls")), False), "tried")
+    pairs = tried.select("a", "b").distinct()
+    links = materialize(verify(pairs, sets, percent), "links")
+    roots = materialize(components(links), "roots")
+    failed = tried.join(links, ["a", "b"], "left_anti").select("grp").distinct()
+    again = members.join(failed, "grp", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    more = materialize(candidates(again, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    found = materialize(verify(more, sets, percent), "links")
+    if not found.isEmpty():
+        roots, old = materialize(components(links.unionByName(found)), "roots"), roots
+        release(old)
+    release(sizes, members, reps, sets, tried, links, more, found)
     return rows.select("doc_id", "n", "cls"), roots
 
 
