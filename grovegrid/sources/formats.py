@@ -87,7 +87,7 @@ def xyz_lines(points: DataFrame, *before: str) -> DataFrame:
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """x y z text in metres -> millimetres; lines that are not three numbers are left out."""
     cells = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(F.size(cells) >= 3).select(*(F.expr(f"try_cast(split(trim(value), '[[:space:]]+')[{i}] as double)").alias(a) for i, a in enumerate("xyz")))
+    rows = spark.read.text(path).where(F.size(cells) >= 3).select(*(F.expr(f"try_cast(get(split(trim(value), '[ \t]+'), {i}) as double)").alias(a) for i, a in enumerate("xyz")))
     return rows.dropna().select(*(F.bround(F.col(a) * 1000).cast("long").alias(f"{a}_mm") for a in "xyz"))
 
 
