@@ -6,11 +6,12 @@ no words, or a null text: the empty set, which links with nothing). Two document
 
 Each shingle flips one bit of a sketch, so the Hamming distance of two sketches is at most the size
 of the symmetric difference. Sets are put into size bands. A link within a band has a symmetric
-difference of at most D = (a + b) * (100 - percent) / (100 + percent), so of D + 1 blocks of the
-sketches at least one is equal (pigeonhole): the join key is a 64-bit hash of a block's bits. A set
-that can link with a larger one beyond its band also gives the keys of the next band. A block that
-no shingle fell into says little, so its key is joined by those of a second, independent sketch, of
-which one block must be equal as well. No link is lost.
+difference of at most D = (a + b) * (100 - percent) / (100 + percent), so of D + 1 + spare blocks of
+the sketches at least spare + 1 are equal (pigeonhole): the join key is a 64-bit hash of a block's bits.
+A set that can link with a larger one beyond its band also gives the keys of the next band. A block that
+no shingle fell into says little. A set with at most spare such blocks leaves them out, as one of its
+equal blocks has shingles then; this holds for all but small sets. Any other set gives them too, each key
+joined by those of a second, independent sketch, of which one block must be equal as well. No link is lost.
 
 Equal sets are one class from the start, and of the keys with the same classes one is kept. Within a
 key, classes are compared by the Hamming distance of folded sketches, and a spanning forest of those
@@ -44,8 +45,11 @@ def band_edges(top: int = 1 << 40) -> list[int]:
 _EDGES = np.array(band_edges(), np.int64)
 
 
-def block_count(band: int, percent: int) -> int:
-    return 2 * (int(_EDGES[band + 1]) - 1) * (100 - percent) // (100 + percent) + 1
+def block_count(band: int, percent: int) -> tuple[int, int]:
+    """Blocks of a band's sketches, and how many of them are spare."""
+    most = 2 * (int(_EDGES[band + 1]) - 1) * (100 - percent) // (100 + percent)
+    spare = most * (100 - percent) // 100
+    return most + 1 + spare, spare
 
 
 def _blocks(s: np.ndarray, count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +70,11 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     bands = [band] + [band + 1] * int(n * 100 // percent >= _EDGES[band + 1])
     second, out = None, []
     for b in bands:
-        count = block_count(b, percent)
+        count, spare = block_count(b, percent)
         value, empty = _blocks(shingles, count, 1)
         at = K.mix(np.arange(count, dtype=np.uint64) + U((b + 1) << 40))
         out.append(K.mix(value[~empty] ^ at[~empty]))
-        if empty.any():
+        if empty.sum() > spare:
             if second is None:
                 second = np.sort(K.mix(shingles ^ U(0x5851F42D4C957F2D)))
             other, _ = _blocks(second, count, 2)

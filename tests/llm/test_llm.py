@@ -307,3 +307,20 @@ def test_pipeline(spark, data, edge):
     near = corpus_pipeline.STAGES[1][1](spark, edge, data)
     assert sorted((r.doc_id for r in near.collect()), key=str) == sorted([1, 2, 3, 3, None, 4, 6, 7], key=str)
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_jaccard_keys_are_linear_and_lose_no_link():
+    from grovegrid.llm import ngram_jaccard as J
+
+    rng = np.random.default_rng(11)
+    draw = lambda n: rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
+    for percent in (80, 90):
+        for n in (1000, 20_000):
+            assert len(J.block_keys(np.unique(draw(n)), percent)) < n
+        for _ in range(300):
+            n = int(rng.integers(1, 300))
+            gone, more = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 8 + 1))
+            a = draw(n)
+            b = np.concatenate((a[gone:], draw(more)))
+            if 100 * (n - gone) >= percent * (n + more):
+                assert len(np.intersect1d(J.block_keys(np.unique(a), percent), J.block_keys(np.unique(b), percent)))
