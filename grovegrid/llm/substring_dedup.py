@@ -287,11 +287,14 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 8, min_words: i
     # The places of a seed at its home: at most as many as one document has.
     at = hits.where("doc_id = home").groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("tkey", "x"))).alias("at"))
     place = at.select("seed", F.expr("at[0].tkey").alias("hkey"), F.expr("transform(filter(at, a -> a.tkey = at[0].tkey), a -> a.x)").alias("ys"))
-    found = hits.where("doc_id <> home").join(place, "seed").select("doc_id", "tkey", "home", "hkey", "x", F.expr("coalesce(get(ys, nth), ys[0])").alias("y"))
+    # Written, so that a join by shuffle reads no aggregate and a seed of very many documents can be split.
+    place = materialize(place, "place")
+    n_places = place.agg(F.coalesce(F.sum(F.size("ys") + 2), F.lit(0))).first()[0]
+    found = hits.where("doc_id <> home").join(sized(place, n_places), "seed").select("doc_id", "tkey", "home", "hkey", "x", F.expr("coalesce(get(ys, nth), ys[0])").alias("y"))
     order = ["doc_id", "tkey", "home", "hkey"]
     linked = found.repartition(*order).sortWithinPartitions(*order, "x").mapInArrow(_chains_of(k, min_words // 2), "doc_id long, tkey long, home long, hkey long, runs array<binary>")
     linked = materialize(linked, "chains")
-    release(seeds, shared, hits)
+    release(seeds, shared, hits, place)
     ids = materialize(linked.select(F.col("doc_id").alias("id")).union(linked.select("home")).distinct(), "ids")
     wanted = texts.join(sized(ids.withColumnRenamed("id", "doc_id"), ids.count()), "doc_id", "left_semi")
     wanted = materialize(wanted, "texts")
