@@ -324,3 +324,26 @@ def test_jaccard_keys_are_linear_and_lose_no_link():
             b = np.concatenate((a[gone:], draw(more)))
             if 100 * (n - gone) >= percent * (n + more):
                 assert len(np.intersect1d(J.block_keys(np.unique(a), percent), J.block_keys(np.unique(b), percent)))
+
+
+def test_language_model_scores_equal_the_forward_pass():
+    rng = np.random.default_rng(8)
+    sample = rng.integers(0, 90, (64, lm_scoring.WINDOW + 1))
+    model = lm_scoring.AttentionModel(sample, 100, np.arange(100) % 2, 99)
+    pairs = np.zeros((lm_scoring.KEPT + 2, lm_scoring.KEPT + 1), np.int64)
+    np.add.at(pairs, (model.slot[sample[:, :-1]].ravel(), model.slot[sample[:, 1:]].ravel()), 1)
+    model.set_counts(np.bincount(sample.ravel(), minlength=100), pairs)
+    model.fit(sample, epochs=2)
+    off = np.array([0, 1, 32, 65, 200])
+    ids = rng.integers(0, 100, 200)
+    got = model.log10(ids, off)
+    for i in range(4):
+        mine, total = ids[off[i] : off[i + 1]], 0.0
+        seq = np.concatenate(([-2], mine, np.full(lm_scoring.WINDOW, -1)))
+        for a, first in lm_scoring.windows(len(mine)):
+            inputs, before = model._shifted(seq[None, a : a + lm_scoring.WINDOW])
+            z = model._forward(inputs, before)[-1][0]
+            for p in range(first, min(lm_scoring.WINDOW, len(mine) - a)):
+                t, b = mine[a + p], before[0, p]
+                total += np.log(z[p, model.to_class[t]]) + model.inner[b, model.slot[t]] + model.single[t] - model.prior[b, model.to_class[t]]
+        assert got[i] == pytest.approx(total / np.log(10), rel=1e-4)
