@@ -8,7 +8,8 @@ or else to the first. The matches of a document with one home are merged
 to exact runs, and the runs chained: a Fenwick tree over the home's positions gives the best chain end
 below a point, with gap costs linear in the words skipped. The gaps of a chain that spans half of
 min_words at least are aligned word by word and its ends extended, and passages of min_words words at
-least with percent % of matching words are kept.
+least with percent % of matching words are kept; a chain with fewer is split at its widest gap, and its
+parts are tried alike, down to single runs.
 The home keeps its copy; the passages found are the repeats.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Repeats within one document, texts that are null or
@@ -227,21 +228,42 @@ def _extend(a: list, b: list, i: int, j: int, step: int, ends: tuple[int, int])
             return i, j, found
 
 
-def align(a: list, b: list, runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """A chain on word lists a and b -> (start, end) in a, (start, end) in b, matched words."""
+def gaps(a: list, b: list, runs: list[tuple[int, int, int]]) -> list[int]:
+    """The words matched between each run of a chain and the next."""
+    return [_matches(a[x + n : p], b[y + n : q]) for (x, y, n), (p, q, _) in zip(runs, runs[1:], strict=False)]
+
+
+def align(a: list, b: list, runs: list[tuple[int, int, int]], between: list[int] | None = None) -> tuple[int, int, int, int, int]:
+    """A chain on word lists a and b -> (start, end) in a, (start, end) in b, matched words. between: the words matched in each gap."""
+    between = gaps(a, b, runs) if between is None else between
     x, y, n = runs[0]
     i, j, found = _extend(a, b, x - 1, y - 1, -1, (-1, -1))
     x0, y0 = i + 1, j + 1
     # _extend stops at the first pair that differs, so the words passed are those of the extension
     found += n
     x, y = x + n, y + n
-    for p, q, n in runs[1:]:
-        found += _matches(a[x:p], b[y:q]) + n
+    for (p, q, n), m in zip(runs[1:], between, strict=True):
+        found += m + n
         x, y = p + n, q + n
     x1, y1, more = _extend(a, b, x, y, 1, (len(a), len(b)))
     return x0, x1, y0, y1, found + more
 
 
+def aligned(a: list, b: list, runs: list[tuple[int, int, int]], min_words: int, percent: int):
+    """The passages of a chain as align gives them: a chain that misses percent is split at its widest gap and its parts are tried."""
+    between, todo = gaps(a, b, runs), [(0, len(runs))]
+    while todo:
+        lo, hi = todo.pop()
+        x0, x1, y0, y1, n = align(a, b, runs[lo:hi], between[lo : hi - 1])
+        if 100 * n >= percent * max(x1 - x0, y1 - y0):
+            if x1 - x0 >= min_words:
+                yield x0, x1, y0, y1, n
+        elif hi - lo > 1:
+            wide = [max(runs[i][0] - runs[i - 1][0], runs[i][1] - runs[i - 1][1]) - runs[i - 1][2] for i in range(lo + 1, hi)]
+            cut = lo + 1 + int(np.argmax(wide))
+            todo += [(cut, hi), (lo, cut)]
+
+
 def _passages(k: int, min_words: int, percent: int):
     names = ["doc_id", "tkey", "start_word", "end_word", "start_byte", "end_byte", "home_id", "home_start", "home_end", "n_matched"]
 
@@ -263,8 +285,7 @@ def _passages(k: int, min_words: int, percent: int):
                     chain = [tuple(x) for x in np.frombuffer(r, np.int32).reshape(-1, 3).tolist()]
                     if any(a <= chain[0][0] and chain[-1][0] + chain[-1][2] <= b for a, b in kept):
                         continue  # within a passage found
-                    x0, x1, y0, y1, n = align(ours, others, chain)
-                    if x1 - x0 >= min_words and 100 * n >= percent * max(x1 - x0, y1 - y0):
+                    for x0, x1, y0, y1, n in aligned(ours, others, chain, min_words, percent):
                         kept.append((x0, x1))
                         out.append((doc, tkey, x0, x1, int(mine[1][x0]), int(mine[2][x1 - 1]), home, y0, y1, n))
             cols = list(zip(*out, strict=True)) if out else [[]] * len(names)

@@ -174,6 +174,22 @@ def test_repeated_passages(spark, edge, none):
     assert substring_dedup.drop_repeats(none).count() == 0
 
 
+def some_words(seed, n):
+    return [f"v{x}" for x in np.random.default_rng(seed).integers(0, 10**9, n)]
+
+
+@pytest.mark.parametrize("apart", [35, 40])
+@pytest.mark.parametrize("which", ["both", "home", "mine"])
+def test_two_passages_near_each_other(spark, apart, which):
+    p, q = some_words(1, 55), some_words(2, 55)
+    home = some_words(3, 30) + p + some_words(4, apart if which != "mine" else 0) + q + some_words(5, 30)
+    mine = some_words(6, 20) + p + some_words(7, apart if which != "home" else 0) + q + some_words(8, 20)
+    table = spark.createDataFrame([(1, " ".join(home)), (2, " ".join(mine))], "doc_id long, text string")
+    got = sorted((r.start_word, r.end_word, r.n_matched) for r in substring_dedup.repeated_passages(table).collect())
+    second = 20 + 55 + (apart if which != "home" else 0)
+    assert got == [(20, 75, 55), (second, second + 55, 55)]
+
+
 def test_chains_beat_all_subsets():
     rng = np.random.default_rng(4)
     for _ in range(40):
