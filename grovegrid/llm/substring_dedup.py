@@ -5,8 +5,8 @@ so that any shared run of k + window - 1 words has a shared seed. The home of a
 doc_id that holds it; every other document's seeds are matched to their home alone, which is linear in
 the seeds however many documents share a passage: the i-th occurrence in a document to the i-th at home,
 or else to the first. The matches of a document with one home are merged
-to exact runs, and the runs chained: a Fenwick tree over the home's positions gives the best chain end
-below a point, with gap costs linear in the words skipped. The gaps of a chain that spans half of
+to exact runs, and the runs chained: a tree over the home's positions gives the best chain end within
+reach below a point, with gap costs linear in the words skipped. The gaps of a chain that spans half of
 min_words at least are aligned word by word and its ends extended, and passages of min_words words at
 least with percent % of matching words are kept; a chain with fewer is split at its widest gap, and its
 parts are tried alike, down to single runs.
@@ -31,7 +31,7 @@ from .storage import materialize, prepare, release, sized
 U = np.uint64
 #: Cost of each word skipped on either side, in matched words.
 GAP = 0.25
-#: A chain is cut where more words than this are skipped on either side.
+#: Runs are linked only where no more words than this are skipped on either side.
 WIDEST = 40
 
 
@@ -88,25 +88,31 @@ def _seeds_of(k: int, window: int):
     return run
 
 
-class Fenwick:
-    """Prefix maxima of (score, item) over ranks 0..n-1."""
+class Reach:
+    """Maxima of (score, item) over a range of ranks 0..n-1, one value at each rank; a value can be taken out again."""
+
+    NONE = (-1e18, -1)
 
     def __init__(self, n: int):
-        self.best = [(-1e18, -1)] * (n + 1)
-
-    def put(self, rank: int, value: tuple[float, int]) -> None:
-        i = rank + 1
-        while i < len(self.best):
-            if value > self.best[i]:
-                self.best[i] = value
-            i += i & -i
-
-    def upto(self, rank: int) -> tuple[float, int]:
-        out, i = (-1e18, -1), rank + 1
-        while i > 0:
-            if self.best[i] > out:
-                out = self.best[i]
-            i -= i & -i
+        self.n, self.best = n, [self.NONE] * (2 * n)
+
+    def put(self, rank: int, value: tuple[float, int] = NONE) -> None:
+        i = rank + self.n
+        self.best[i] = value
+        while i > 1:
+            i >>= 1
+            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
+
+    def between(self, lo: int, hi: int) -> tuple[float, int]:
+        """Over the ranks lo..hi-1."""
+        out, i, j = self.NONE, lo + self.n, hi + self.n
+        while i < j:
+            if i & 1:
+                out, i = max(out, self.best[i]), i + 1
+            if j & 1:
+                j -= 1
+                out = max(out, self.best[j])
+            i, j = i >> 1, j >> 1
         return out
 
 
@@ -126,23 +132,28 @@ def chains(runs: np.ndarray) -> list[list[tuple[int, int, int]]]:
     if len(runs) == 1:
         return [[tuple(runs[0].tolist())]]
     rows = runs[np.lexsort((runs[:, 1], runs[:, 0]))].tolist()
-    ends = sorted({y + n for _, y, n in rows})
-    rank = {v: i for i, v in enumerate(ends)}
-    below = np.searchsorted(ends, [y for _, y, _ in rows], "right") - 1
-    tree, score, back = Fenwick(len(ends)), [0.0] * len(rows), [-1] * len(rows)
+    by_y = sorted(range(len(rows)), key=lambda i: rows[i][1] + rows[i][2])
+    ends = [rows[i][1] + rows[i][2] for i in by_y]
+    rank = {i: r for r, i in enumerate(by_y)}
+    low = np.searchsorted(ends, [y - WIDEST for _, y, _ in rows], "left").tolist()
+    high = np.searchsorted(ends, [y for _, y, _ in rows], "right").tolist()
+    tree, score, back = Reach(len(rows)), [0.0] * len(rows), [-1] * len(rows)
     waiting = sorted(range(len(rows)), key=lambda i: rows[i][0] + rows[i][2])
-    w = 0
+    w = gone = 0
     for j, (x, y, n) in enumerate(rows):
         while w < len(waiting) and rows[waiting[w]][0] + rows[waiting[w]][2] <= x:
             i = waiting[w]
             xe, ye = rows[i][0] + rows[i][2], rows[i][1] + rows[i][2]
-            tree.put(rank[ye], (score[i] + GAP * (xe + ye), i))
+            tree.put(rank[i], (score[i] + GAP * (xe + ye), i))
             w += 1
+        while gone < w and rows[waiting[gone]][0] + rows[waiting[gone]][2] < x - WIDEST:
+            tree.put(rank[waiting[gone]])
+            gone += 1
         score[j] = n
-        if below[j] >= 0:
-            value, i = tree.upto(int(below[j]))
+        if low[j] < high[j]:
+            value, i = tree.between(low[j], high[j])
             gain = value - GAP * (x + y)
-            if i >= 0 and gain > 0 and max(x - rows[i][0] - rows[i][2], y - rows[i][1] - rows[i][2]) <= WIDEST:
+            if i >= 0 and gain > 0:
                 score[j], back[j] = n + gain, i
     out, used = [], [False] * len(rows)
     for j in sorted(range(len(rows)), key=lambda j: (-score[j], j)):

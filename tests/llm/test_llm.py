@@ -208,6 +208,23 @@ def test_chains_beat_all_subsets():
         assert abs(score(substring_dedup.chains(runs)[0]) - best) < 1e-9
 
 
+def test_chain_after_a_long_run():
+    fuzzy = [(400 + 12 * i, 400 + 12 * i, 10) for i in range(6)]
+    found = substring_dedup.chains(np.array([(0, 0, 300), *fuzzy]))
+    assert found == [[(0, 0, 300)], fuzzy]
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        runs = np.unique(np.stack((rng.integers(0, 300, 40), rng.integers(0, 300, 40), rng.integers(3, 60, 40)), axis=1), axis=0)
+        rows = sorted(map(tuple, runs.tolist()))
+        best = []
+        for i, (x, y, n) in enumerate(rows):
+            before = [(x - p - m, y - q - m, b) for (p, q, m), b in zip(rows[:i], best, strict=True)]
+            best.append(n + max([0, *(b - substring_dedup.GAP * (u + v) for u, v, b in before if 0 <= u <= substring_dedup.WIDEST and 0 <= v <= substring_dedup.WIDEST)]))
+        chain = substring_dedup.chains(runs)[0]
+        got = sum(n for *_, n in chain) - sum(substring_dedup.GAP * (p - x - n + q - y - n) for (x, y, n), (p, q, _) in zip(chain, chain[1:], strict=False))
+        assert abs(got - max(best)) < 1e-9
+
+
 def test_quality(spark, edge, none, data):
     docs, labels = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet"), spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/labels.parquet")
     rows = quality_classifier.score_quality(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
