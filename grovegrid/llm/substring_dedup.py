@@ -4,10 +4,11 @@ Seeds are the minimizers of a document's k-word windows (the smallest hash of ea
 so that any shared run of k + window - 1 words has a shared seed. The home of a seed is the lowest
 doc_id that holds it; every other document's seeds are matched to their home alone, which is linear in
 the seeds however many documents share a passage: the i-th occurrence in a document to the i-th at home,
-or else to the first. The matches of a document with one home are merged
-to exact runs, and the runs chained: a tree over the home's positions gives the best chain end within
-reach below a point, with gap costs linear in the words skipped. The gaps of a chain that spans half of
-min_words at least are aligned word by word and its ends extended, and passages of min_words words at
+or else to the first. Where lower documents hold parts of a passage, the seeds across the seams (there
+are some, as window < k) lead to the document that holds it whole. The matches of a document with one
+home are merged to exact runs, and the runs chained: a tree over the home's positions gives the best
+chain end within reach below a point, with gap costs linear in the words skipped. The gaps of a chain,
+be it a single seed, are aligned word by word and its ends extended, and passages of min_words words at
 least with percent % of matching words are kept; a chain with fewer is split at its widest gap, and its
 parts are tried alike, down to single runs.
 The home keeps its copy; the passages found are the repeats.
@@ -168,17 +169,13 @@ def chains(runs: np.ndarray) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def _chains_of(k: int, least: int):
-    """Matches sorted by document and home -> the chains of each pair that span at least `least` words."""
+def _chains_of(k: int):
+    """Matches sorted by document and home -> the chains of each pair, however short: their ends are extended later."""
 
     def flush(head, xs, ys):
         m = np.unique(np.stack((np.concatenate(xs), np.concatenate(ys)), axis=1), axis=0)
-        if m[-1, 0] - m[0, 0] + k < least:
-            return
         found = chains(runs_of(m[:, 0].astype(np.int64), m[:, 1].astype(np.int64), k))
-        kept = [np.array(c, np.int32).tobytes() for c in found if c[-1][0] + c[-1][2] - c[0][0] >= least]
-        if kept:
-            yield (*head, kept)
+        yield (*head, [np.array(c, np.int32).tobytes() for c in found])
 
     def batch(rows):
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -305,7 +302,7 @@ def _passages(k: int, min_words: int, percent: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, k: int = 8, window: int = 8, min_words: int = 50, percent: int = 80) -> DataFrame:
+def repeated_passages(docs: DataFrame, k: int = 8, window: int = 2, min_words: int = 50, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc_id, start_word, end_word (exclusive), start_byte, end_byte (in the UTF-8 text),
     home_id, home_start, home_end, n_matched: a row per repeated passage and home."""
     spark = docs.sparkSession
@@ -324,7 +321,7 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 8, min_words: i
     n_places = place.agg(F.coalesce(F.sum(F.size("ys") + 2), F.lit(0))).first()[0]
     found = hits.where("doc_id <> home").join(sized(place, n_places), "seed").select("doc_id", "tkey", "home", "hkey", "x", F.expr("coalesce(get(ys, nth), ys[0])").alias("y"))
     order = ["doc_id", "tkey", "home", "hkey"]
-    linked = found.repartition(*order).sortWithinPartitions(*order, "x").mapInArrow(_chains_of(k, min_words // 2), "doc_id long, tkey long, home long, hkey long, runs array<binary>")
+    linked = found.repartition(*order).sortWithinPartitions(*order, "x").mapInArrow(_chains_of(k), "doc_id long, tkey long, home long, hkey long, runs array<binary>")
     linked = materialize(linked, "chains")
     release(seeds, shared, hits, place)
     ids = materialize(linked.select(F.col("doc_id").alias("id")).union(linked.select("home")).distinct(), "ids")
@@ -353,7 +350,7 @@ def _cut(batches):
         yield b.set_column(i, "text", pa.array(texts, pa.string())).drop_columns(["_cuts"])
 
 
-def drop_repeats(docs: DataFrame, k: int = 8, window: int = 8, min_words: int = 50, percent: int = 80) -> DataFrame:
+def drop_repeats(docs: DataFrame, k: int = 8, window: int = 2, min_words: int = 50, percent: int = 80) -> DataFrame:
     """docs without their repeated passages: the text is cut, n_chars (if there) counted anew, all other columns
     kept; documents of which nothing but white space stays are dropped."""
     found = repeated_passages(docs, k, window, min_words, percent)

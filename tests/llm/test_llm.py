@@ -225,6 +225,14 @@ def test_chain_after_a_long_run():
         assert abs(got - max(best)) < 1e-9
 
 
+def test_passage_whose_halves_stand_in_lower_documents(spark):
+    for seed in range(20, 60, 10):
+        p, q = some_words(seed, 40), some_words(seed + 1, 40)
+        docs = {5: p, 6: q, 10: p + q, 20: p + q}
+        table = spark.createDataFrame([(i, " ".join(some_words(seed + i, 30) + w + some_words(seed * i, 30))) for i, w in docs.items()], "doc_id long, text string").coalesce(1)
+        assert [(r.doc_id, r.home_id, r.start_word, r.end_word, r.n_matched) for r in substring_dedup.repeated_passages(table).collect()] == [(20, 10, 30, 110, 80)]
+
+
 def test_quality(spark, edge, none, data):
     docs, labels = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet"), spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/labels.parquet")
     rows = quality_classifier.score_quality(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
