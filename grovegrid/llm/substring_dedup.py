@@ -34,6 +34,9 @@ U = np.uint64
 GAP = 0.25
 #: Runs are linked only where no more words than this are skipped on either side.
 WIDEST = 40
+#: In an extension: cost of each odd word, in matched words, and how far below the best it is given up; the
+#: second, looser pair is tried where the first gives too short a passage.
+STRICT, LOOSE = (2, 12), (1, 8)
 
 
 def text_key(hashes: np.ndarray) -> int:
@@ -220,8 +223,40 @@ def _matches(a: list, b: list) -> int:
     return row[-1]
 
 
-def _extend(a: list, b: list, i: int, j: int, step: int, ends: tuple[int, int]) -> tuple[int, int, int]:
-    """From a[i], b[j] on by step: how far both agree; single odd words or pairs are passed where three follow alike."""
+def _go_on(a: list, b: list, i: int, j: int, step: int, ends: tuple[int, int], odd: int, drop: int) -> tuple[int, int, int]:
+    """The best way on from a[i], b[j]: a word that agrees counts 1, a word skipped or changed -odd; it ends where all ways are drop below the best."""
+    best, found, row = (0, 0), (i, j, 0), {j: (0, 0)}
+    for v in range(1, drop // odd + 1):
+        if (ends[1] - j) * step < v:
+            break
+        row[j + step * v] = (-odd * v, 0)
+    while i != ends[0] and row:
+        word, new, last = a[i], {}, None
+        i += step
+        q = min(row) if step > 0 else max(row)
+        stop = (max(row) if step > 0 else min(row)) + step
+        while True:
+            way = (row[q][0] - odd, row[q][1]) if q in row else None
+            if (old := row.get(q - step)) is not None:
+                way = max(way or old, (old[0] + 1, old[1] + 1)) if b[q - step] == word else max(way or (-drop * 9, 0), (old[0] - odd, old[1]))
+            if last is not None:
+                way = max(way or (-drop * 9, 0), (last[0] - odd, last[1]))
+            last = way if way is not None and way[0] > best[0] - drop else None
+            if last is not None:
+                new[q] = last
+                if last > best:
+                    best, found = last, (i, q, last[1])
+            elif q == stop or (q - stop) * step > 0:
+                break
+            if q == ends[1]:
+                break
+            q += step
+        row = new
+    return found
+
+
+def _extend(a: list, b: list, i: int, j: int, step: int, ends: tuple[int, int], how: tuple[int, int]) -> tuple[int, int, int]:
+    """From a[i], b[j] on by step: how far both agree; single odd words or pairs are passed where three follow alike, others as _go_on does."""
     found = 0
     while True:
         while i != ends[0] and j != ends[1] and a[i] == b[j]:
@@ -233,7 +268,10 @@ def _extend(a: list, b: list, i: int, j: int, step: int, ends: tuple[int, int])
                 i, j = p, q
                 break
         else:
-            return i, j, found
+            p, q, more = _go_on(a, b, i, j, step, ends, *how)
+            if not more:
+                return i, j, found
+            i, j, found = p, q, found + more
 
 
 def gaps(a: list, b: list, runs: list[tuple[int, int, int]]) -> list[int]:
@@ -241,11 +279,11 @@ def gaps(a: list, b: list, runs: list[tuple[int, int, int]]) -> list[int]:
     return [_matches(a[x + n : p], b[y + n : q]) for (x, y, n), (p, q, _) in zip(runs, runs[1:], strict=False)]
 
 
-def align(a: list, b: list, runs: list[tuple[int, int, int]], between: list[int] | None = None) -> tuple[int, int, int, int, int]:
+def align(a: list, b: list, runs: list[tuple[int, int, int]], between: list[int] | None = None, how: tuple[int, int] = STRICT) -> tuple[int, int, int, int, int]:
     """A chain on word lists a and b -> (start, end) in a, (start, end) in b, matched words. between: the words matched in each gap."""
     between = gaps(a, b, runs) if between is None else between
     x, y, n = runs[0]
-    i, j, found = _extend(a, b, x - 1, y - 1, -1, (-1, -1))
+    i, j, found = _extend(a, b, x - 1, y - 1, -1, (-1, -1), how)
     x0, y0 = i + 1, j + 1
     # _extend stops at the first pair that differs, so the words passed are those of the extension
     found += n
@@ -253,7 +291,7 @@ def align(a: list, b: list, runs: list[tuple[int, int, int]], between: list[int]
     for (p, q, n), m in zip(runs[1:], between, strict=True):
         found += m + n
         x, y = p + n, q + n
-    x1, y1, more = _extend(a, b, x, y, 1, (len(a), len(b)))
+    x1, y1, more = _extend(a, b, x, y, 1, (len(a), len(b)), how)
     return x0, x1, y0, y1, found + more
 
 
@@ -262,14 +300,18 @@ def aligned(a: list, b: list, runs: list[tuple[int, int, int]], min_words: int,
     between, todo = gaps(a, b, runs), [(0, len(runs))]
     while todo:
         lo, hi = todo.pop()
-        x0, x1, y0, y1, n = align(a, b, runs[lo:hi], between[lo : hi - 1])
-        if 100 * n >= percent * max(x1 - x0, y1 - y0):
-            if x1 - x0 >= min_words:
+        for how in (STRICT, LOOSE):
+            x0, x1, y0, y1, n = align(a, b, runs[lo:hi], between[lo : hi - 1], how)
+            alike = 100 * n >= percent * max(x1 - x0, y1 - y0)
+            if alike and x1 - x0 >= min_words:
                 yield x0, x1, y0, y1, n
-        elif hi - lo > 1:
-            wide = [max(runs[i][0] - runs[i - 1][0], runs[i][1] - runs[i - 1][1]) - runs[i - 1][2] for i in range(lo + 1, hi)]
-            cut = lo + 1 + int(np.argmax(wide))
-            todo += [(cut, hi), (lo, cut)]
+                break
+            if how == STRICT and not alike:
+                if hi - lo > 1:
+                    wide = [max(runs[i][0] - runs[i - 1][0], runs[i][1] - runs[i - 1][1]) - runs[i - 1][2] for i in range(lo + 1, hi)]
+                    cut = lo + 1 + int(np.argmax(wide))
+                    todo += [(cut, hi), (lo, cut)]
+                break
 
 
 def _passages(k: int, min_words: int, percent: int):

@@ -233,6 +233,32 @@ def test_passage_whose_halves_stand_in_lower_documents(spark):
         assert [(r.doc_id, r.home_id, r.start_word, r.end_word, r.n_matched) for r in substring_dedup.repeated_passages(table).collect()] == [(20, 10, 30, 110, 80)]
 
 
+def found_by_seeds(mine, home, k=8, window=2):
+    """The passages of two texts, without Spark."""
+    sides = []
+    for text in (mine, home):
+        [(_, _, w)] = textkernel.texts(pa.array([" ".join(text)]))
+        h = textkernel.shingle_hashes(w, k)[0]
+        sides.append((w.hash.tolist(), {h[i]: i for i in substring_dedup.minimizers(h, window)}))
+    (a, x), (b, y) = sides
+    m = np.array([(x[h], y[h]) for h in x if h in y]).reshape(-1, 2)
+    return [r for c in (substring_dedup.chains(substring_dedup.runs_of(m[:, 0], m[:, 1], k)) if len(m) else []) for r in substring_dedup.aligned(a, b, c, 50, 80)]
+
+
+@pytest.mark.parametrize(("n", "percent", "least"), [(52, 90, 0.93), (60, 95, 0.99), (60, 90, 0.99), (60, 85, 0.98), (80, 85, 0.98), (60, 80, 0.92), (80, 80, 0.97)])
+def test_recall_of_changed_passages(n, percent, least):
+    rng, got = np.random.default_rng(6), []
+    for _ in range(100):
+        base, around = rng.integers(0, 10**9, n), rng.integers(0, 10**9, (2, 2, 60))
+        mine, odd = base.copy(), rng.choice(n, n * (100 - percent) // 100, replace=False)
+        mine[odd] = rng.integers(0, 10**9, len(odd))
+        same = np.setdiff1d(np.arange(n), odd)
+        span = same[-1] - same[0] + 1
+        if span >= 50 and 100 * len(same) >= 80 * span:
+            got.append(bool(found_by_seeds(*(list(map(str, (*s[0], *w, *s[1]))) for s, w in zip(around, (mine, base), strict=True)))))
+    assert len(got) > 50 and np.mean(got) >= least
+
+
 def test_quality(spark, edge, none, data):
     docs, labels = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet"), spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/labels.parquet")
     rows = quality_classifier.score_quality(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
