@@ -2,8 +2,9 @@
 
 Terms are words with their ASCII punctuation left out of the hash, A-Z lower-cased. The weight of a term is
 its count times log((N + 1) / (d + 0.5)) with d of the N files holding it, over all files (a term outside
-the templates counts as in none). Each line of a file that holds a cue is compared with every template; the
-best one at `least` or more is the file's own licence. Licence files (by name) give theirs to their
+the templates counts as in none). Each line that holds a cue is compared with every template, and in files
+with a cue each stretch of a template's number of terms, over line ends, with that template (comment marks
+are no terms); the best one at `least` or more is the file's own licence. Licence files (by name) give theirs to their
 directory; a file without an own licence takes that of its nearest ancestor directory that has one.
 
 Null texts are empty; files without a path keep their own licence and inherit none. Rows that repeat are
@@ -28,6 +29,16 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -95,6 +106,30 @@ class Templates:
         i = int(np.argmax(cosine))
         return float(cosine[i]), self.names[i]
 
+    def best_window(self, terms: np.ndarray) -> tuple[float, str | None]:
+        """The best of all windows of terms, each as long as the template it is compared with (or as the file, if that is shorter)."""
+        at = np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)
+        hit = self.known[at] == terms
+        weight = np.where(hit, self.idf[at], self.other)
+        squares = np.concatenate(([0.0], np.cumsum(weight**2)))
+        best, bounds = (0.0, None), []
+        for t, mine in enumerate(self.terms):
+            n = min(len(mine), len(terms))
+            if n:
+                products = np.concatenate(([0.0], np.cumsum(np.where(hit, weight * self.matrix[t][at], 0.0))))
+                # Repeated terms make a window longer than this, so the cosine is at most the bound.
+                bound = (products[n:] - products[:-n]) / np.sqrt(np.maximum(1e-12, squares[n:] - squares[:-n])) + 1e-9
+                bounds.append((t, n, bound))
+        for t, n, bound in sorted(bounds, key=lambda x: -x[2].max()):
+            if bound.max() <= best[0]:
+                break
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] <= best[0]:
+                    break
+                row, length = self.vector(terms[i : i + n])
+                best = max(best, (float(self.matrix[t] @ row / max(1e-12, length)), self.names[t]), key=lambda x: x[0])
+        return best
+
 
 def _holding(shared):
     def run(batches):
@@ -128,6 +163,8 @@ def _own(shared, least):
                 lines = [x for x in (text or "").split("\n") if cue.search(x)]
                 for terms in _all_terms(lines) if lines else ():
                     best = max(best, t.best(terms), key=lambda x: x[0])
+                for terms in _all_terms([text]) if lines else ():
+                    best = max(best, t.best_window(terms), key=lambda x: x[0])
                 names.append(best[1] if best[0] >= least else None)
                 scores.append(best[0])
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "path", "license", "similarity"])

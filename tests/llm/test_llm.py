@@ -358,6 +358,35 @@ def test_chat_edges(spark):
     assert chat_format.maximal_conversations(table.limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction, including without limitation the rights\n */\nint x;"
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one.\n"
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n"
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n"
+    gpl2 = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n"
+    files = [(1, "a/mit.c", mit), (2, "a/mpl.js", mpl), (3, "a/gpl.py", gpl), (4, "b/LICENSE", apache), (5, "b/c/x.c", "nothing"), (6, "d/COPYING", gpl2), (7, "d/e/y.c", "nothing"), (8, "f/prose.txt", "the driver lost a license\nwhile walking to the public\nlibrary under the bridge")]
+    files += [(100 + i, f"z/{i}.txt", f"plain words number {i} of the version with a public text") for i in range(200)]
+    table = spark.createDataFrame(files, "id long, path string, text string").coalesce(1)
+    got = {r.id: (r.license, r.origin) for r in license_scan.scan_licenses(table).collect()}
+    want = ["MIT", "MPL-2.0", "GPL-2.0", "Apache-2.0", "Apache-2.0", "GPL-2.0", "GPL-2.0", None]
+    assert [got[i][0] for i in range(1, 9)] == want and got[5][1] == got[7][1] == "inherited"
+
+
+def test_best_window_is_the_best_of_all():
+    t = license_scan.Templates()
+    t.weigh(1000, np.random.default_rng(1).integers(0, 900, len(t.known)))
+    rng = np.random.default_rng(2)
+    for n in (1, 4, 30, 120):
+        terms = np.where(rng.random(n) < 0.7, rng.choice(t.known, n), rng.integers(1, 2**63, n).astype(np.uint64))
+        best = 0.0
+        for k, mine in enumerate(t.terms):
+            m = min(len(mine), n)
+            for i in range(n - m + 1):
+                row, length = t.vector(terms[i : i + m])
+                best = max(best, float(t.matrix[k] @ row / length))
+        assert abs(t.best_window(terms)[0] - best) < 1e-9
+
+
 def test_licenses(spark):
     files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.c", "nothing"), (3, "a/b/c/LICENSE.txt", "x\nLicensed under CC BY-NC 4.0.\ny"), (4, "a/b/c/d/y.c", None), (5, "z/y.c", ""), (6, None, "This work is licensed under the GNU General Public License, version 3."), (7, "a/b/c/d/e.c", "intro text\n# Licensed under the Apache License, Version 2.0."), (8, "z/prose.txt", "the driver lost a license while walking with many other words around it in a long line"), (2, "a/b/x.c", "nothing")]
     table = spark.createDataFrame([(*f, "q") for f in files], "id long, path string, text string, license string")
