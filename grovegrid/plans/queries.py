@@ -216,6 +216,12 @@ def trunk_base(spark, d):
     return forest.trunk_base(_centres(spark, d), forest.min_raster(points(spark, d)))
 
 
+@query()
+def trunk_base_hull(spark, d):
+    t = _trees(spark, d)
+    return forest.trunk_base_under(t, forest.hulls(t, ("tile_id", "gtid")), forest.min_raster(points(spark, d)))
+
+
 @query("""WITH t AS (SELECT src_id AS gtid, median(z_mm) / 1000 AS mz, min(z_mm) / 1000.0 AS bz, 2 * sqrt((max(x_mm) - min(x_mm)) / 1000.0 * ((max(y_mm) - min(y_mm)) / 1000.0) / pi()) AS cw FROM points GROUP BY src_id)
 SELECT gtid, round(mz, 6) AS median_z, round(mz - bz, 6) AS h, CASE WHEN mz > bz THEN round(cw ** 1.1 * (mz - bz) ** 0.7 / 100, 6) END AS dbh, CASE WHEN mz > bz THEN round(cw ** 1.1 * (mz - bz) ** 0.7 / 200, 6) END AS radius FROM t""")
 def allometry(spark, d):
@@ -225,6 +231,15 @@ def allometry(spark, d):
     return t.select("gtid", F.round("mz", 6).alias("median_z"), F.round(h, 6).alias("h"), F.round(dbh, 6).alias("dbh"), F.round(radius, 6).alias("radius"))
 
 
+@query()
+def allometry_hull(spark, d):
+    t = _trees(spark, d)
+    z = t.groupBy("gtid").agg((F.median("z_mm") / 1000).alias("mz"), (F.min("z_mm") / 1000.0).alias("bz"))
+    t = z.join(forest.hulls(t, ("gtid",)).select("gtid", "area_m2"), "gtid", "left")
+    h, dbh, radius = forest.allometry(forest.crown_width(F.col("area_m2")), F.col("mz"), F.col("bz"))
+    return t.select("gtid", F.round("mz", 6).alias("median_z"), F.round(h, 6).alias("h"), F.round(dbh, 6).alias("dbh"), F.round(radius, 6).alias("radius"))
+
+
 @query("""WITH v AS (SELECT src_id AS gtid, floor(x_mm / 100.0)::BIGINT AS i, floor(y_mm / 100.0)::BIGINT AS j, floor(z_mm / 100.0)::BIGINT AS k, min(point_id) AS point_id FROM points GROUP BY ALL) SELECT * FROM v""")
 def voxel_downsample(spark, d):
     v = _trees(spark, d).groupBy("gtid", *(F.floor(F.col(f"{a}_mm") / 100).alias(n) for a, n in zip("xyz", "ijk", strict=True)))

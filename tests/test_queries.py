@@ -111,6 +111,26 @@ def test_whole_cloud_counts(spark, data):
     assert sizes == [341, 351, 360, 366, 384, 385, 394, 407, 412, 419]
 
 
+def test_trunk_base_under_wide_crowns(spark):
+    ring = lambda *p: [{"x_mm": x, "y_mm": y} for x, y in p]
+    square, corner = ring((0, 0), (10000, 0), (10000, 10000), (0, 10000)), ring((0, 0), (10000, 0), (0, 10000))
+    hulls = spark.createDataFrame([("t", 1, square, 5000.0, 5000.0), ("t", 2, corner, 3333.0, 3333.0), ("u", 3, square, 5000.0, 5000.0)], "tile_id string, gtid long, ring array<struct<x_mm:bigint,y_mm:bigint>>, cx double, cy double")
+    trees = hulls.select("tile_id", "gtid").unionByName(spark.createDataFrame([("t", 4)], "tile_id string, gtid long"))
+    dtm = spark.createDataFrame([("t", 18, 18, 70), ("t", 19, 0, 60), ("t", 0, 40, 50), ("u", 30, 30, 40)], "tile_id string, row long, col long, z_mm long")
+    got = {r.gtid: (r.row, r.col, r.base_z_mm) for r in forest.trunk_base_under(trees, hulls, dtm).collect()}
+    none = (None, None, None)
+    assert got == {1: (18, 18, 70), 2: (19, 0, 60), 3: none, 4: none}
+
+
+def test_trunk_base_and_width_of_hulls(spark, data):
+    t = queries._trees(spark, data).toPandas()
+    want = {g: 2 * np.sqrt(a / np.pi) for g, a in forest.hulls(queries._trees(spark, data), ("gtid",)).select("gtid", "area_m2").collect()}
+    for r in queries.allometry_hull(spark, data).collect():
+        assert r.h <= 0 or abs(r.dbh - want[r.gtid] ** 1.1 * r.h**0.7 / 100) < 1e-5
+    got = queries.trunk_base_hull(spark, data).collect()
+    assert len(got) == len(t[["tile_id", "gtid"]].drop_duplicates())
+
+
 def test_knn_join(spark):
     p = cloud(5)[:60]
     rows = spark.createDataFrame([("t", i, *map(int, x)) for i, x in enumerate(p)], "tile_id string, point_id long, x_mm long, y_mm long, z_mm long")
