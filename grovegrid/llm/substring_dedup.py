@@ -1,17 +1,21 @@
 """Substring dedup by collinear chaining of shared k-mer seeds.
 
-Seeds are the minimizers of a document's k-word windows (the smallest hash of each `window` positions),
-so that any shared run of k + window - 1 words has a shared seed. The home of a seed is the lowest
-doc_id that holds it; every other document's seeds are matched to their home alone, which is linear in
-the seeds however many documents share a passage: the i-th occurrence in a document to the i-th at home,
-or else to the first. Where lower documents hold parts of a passage, the seeds across the seams (there
-are some, as window < k) lead to the document that holds it whole. The matches of a document with one
-home are merged to exact runs, and the runs chained: a tree over the home's positions gives the best
-chain end within reach below a point, with gap costs linear in the words skipped. The gaps of a chain,
-be it a single seed, are aligned word by word and its ends extended, and passages of min_words words at
-least with percent % of matching words are kept; a chain with fewer is split at its widest gap, and its
-parts are tried alike, down to single runs.
-The home keeps its copy; the passages found are the repeats.
+Seeds are the minimizers of a document's k-word windows (the smallest hash of each `window` positions), so that any
+shared run of k + window - 1 words has a shared seed. One shuffle deals the seeds out by their hash; a stream over the
+sorted rows matches each holder of a seed to its home, the lowest doc_id that holds it, and to the holder before it:
+linear in the seeds however many documents share a passage. The i-th occurrence in a document goes with the i-th
+there, or else, unless it overlaps the one before, with the first. A seed that very many documents hold is dealt out by SALTS fixed shares of doc_ids as
+well, each share with a home of its own; the homes of the shares are matched in a second, small round. Where lower
+documents hold parts of a passage, the holder before often has it whole, and the seeds across the seams (there are
+some, as window < k) lead to the document that holds it whole.
+
+A document's matches, to whichever documents, are looked at together: a seed that is alone with its partner and in no unbroken
+stretch of shared seeds is dropped, and so is a match inside another document's that is sure to be a passage. The other matches with one document
+are merged to exact runs, and the runs chained: a tree over the home's positions gives the best chain end within reach
+below a point, with gap costs linear in the words skipped. The gaps of a chain, be it a single seed, are aligned word
+by word and its ends extended, and passages of min_words words at least with percent % of matching words are kept; a
+chain with fewer is split at its widest gap, and its parts are tried alike, down to single runs.
+The lower document keeps its copy; the passages found are the repeats.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Repeats within one document, texts that are null or
 shorter than k words, and rows without a doc_id have no passages. Rows that repeat a doc_id with the
@@ -21,6 +25,8 @@ Empty tables give no rows; other columns of docs are left alone, whatever their
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +43,12 @@ WIDEST = 40
 #: In an extension: cost of each odd word, in matched words, and how far below the best it is given up; the
 #: second, looser pair is tried where the first gives too short a passage.
 STRICT, LOOSE = (2, 12), (1, 8)
-
-
-def text_key(hashes: np.ndarray) -> int:
-    """A 64-bit hash of a word sequence."""
-    at = np.arange(len(hashes), dtype=np.uint64)
-    return int(K.mix(np.add.reduce(K.mix(hashes ^ K.mix(at + U(1))), dtype=np.uint64, keepdims=True))[0].astype(np.int64))
+#: Seeds of a pair with more words than this between them are not of one stretch.
+APART = 45
+#: A seed is dealt out in SALTS shares where, of some FLUSH seeds read together, at least 1 / SALTS of the documents hold it.
+SALTS, FLUSH = 64, 1 << 20
+#: Bits of a text's hash that tell apart texts under one doc_id until the texts themselves are compared.
+TAG = 0xFFFF
 
 
 def minimizers(h: np.ndarray, window: int) -> np.ndarray:
@@ -55,39 +61,120 @@ def minimizers(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at)
 
 
-def occurrence(h: np.ndarray) -> np.ndarray:
-    """How many equal values stand before each."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    first = np.ones(len(s), bool)
-    first[1:] = s[1:] != s[:-1]
-    at = np.arange(len(s))
-    out = np.empty(len(s), np.int64)
-    out[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    return out
-
+def _seed_rows(k: int, window: int):
+    """Batches (doc_id, tkey, text) -> arrays (seed, doc_id, tag << 32 | place), a chunk of texts at a time."""
 
-def _seeds_of(k: int, window: int):
     def run(batches):
         for b in batches:
-            keys, hashes, places, nth, off = [], [], [], [], [0]
+            docs, tags = b.column("doc_id").to_numpy(), b.column("tkey").to_numpy() & TAG
             for lo, hi, words in K.texts(b.column("text")):
                 h, bounds = K.shingle_hashes(words, k)
                 count = np.diff(words.off)
-                for i in range(hi - lo):
-                    mine = h[bounds[i] : bounds[i + 1]] if count[i] >= k else h[:0]
-                    at = minimizers(mine, window)
-                    keys.append(text_key(words.hash[words.off[i] : words.off[i + 1]]))
-                    hashes.append(mine[at])
-                    places.append(at)
-                    nth.append(occurrence(mine[at]))
-                    off.append(off[-1] + len(at))
-            ends = pa.array(np.array(off, np.int32))
-            flat = [np.concatenate(x) if x else np.zeros(0) for x in (hashes, places, nth)]
+                found = [minimizers(h[bounds[i] : bounds[i + 1]], window) if count[i] >= k else np.zeros(0, np.int64) for i in range(hi - lo)]
+                n = [len(f) for f in found]
+                at = np.concatenate(found)
+                yield h[np.repeat(bounds[:-1], n) + at].view(np.int64), np.repeat(docs[lo:hi], n), np.repeat(tags[lo:hi] << 32, n) | at
+
+    return run
+
+
+def _seeds_of(k: int, window: int):
+    def run(batches):
+        for rows in _seed_rows(k, window)(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["seed", "doc", "at"])
+
+    return run
+
+
+def _frequent(k: int, window: int):
+    """Seeds that 1 / SALTS of the documents at least, and sixteen, hold among some that are read together."""
+
+    def run(batches):
+        held, rows = [], 0
+
+        def flush():
+            seed, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, seed))
+            seed, doc = seed[order], doc[order]
+            new = np.ones(len(seed), bool)
+            new[1:] = (np.diff(seed) != 0) | (np.diff(doc) != 0)
+            value, n = np.unique(seed[new], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value[n >= max(16, len(np.unique(doc)) / SALTS)])], ["seed"])
+
+        for seed, doc, _ in _seed_rows(k, window)(batches):
+            held.append((seed, doc))
+            rows += len(seed)
+            if rows >= FLUSH:
+                yield flush()
+                held, rows = [], 0
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _matches_of(k: int):
+    """Rows (seed, salt, doc, at) sorted so -> matches (doc, tags, home, xy), and for salted seeds also the rows of each
+    share's home (with the seed, and no home). Nothing is held but the rows of a seed's home and of the last document."""
+    names = ["seed", "salt", "doc", "at"]
+
+    def run(batches):
+        kept = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            n_kept = len(kept[0])
+            seed, salt, doc, at = (np.concatenate((x, b.column(c).to_numpy())) for x, c in zip(kept, names, strict=True))
+            fresh = np.arange(len(seed)) >= n_kept
+            if not len(seed):
+                continue
+            same = np.zeros(len(seed), bool)
+            same[1:] = (seed[1:] == seed[:-1]) & (salt[1:] == salt[:-1])
+            again = np.zeros(len(seed), bool)
+            again[1:] = same[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+            seed, salt, doc, at, fresh, same = (x[~again] for x in (seed, salt, doc, at, fresh, same))
+            tag, place = at >> 32, at & 0xFFFFFFFF
+            text = ~same  # where a text's rows begin
+            text[1:] |= (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+            first = np.flatnonzero(text)
+            of = np.cumsum(text) - 1
+            n = np.diff(np.append(first, len(seed)))
+            group = np.cumsum(~same)[first] - 1  # the seed of each text
+            home = np.flatnonzero(~same)[group]
+            home = of[home]
+            before = np.arange(len(first)) - 1
+            while True:  # texts under the same doc_id are no holders before
+                other = (before >= home) & (doc[first[np.maximum(before, 0)]] == doc[first])
+                if not other.any():
+                    break
+                before = before - other
+            before = np.where(before < home, home, before)
+            out = []
+            nth = np.arange(len(seed)) - first[of]
+            over = np.zeros(len(seed), bool)  # a word or two said over and over: the i-th goes with the i-th alone
+            over[1:] = (nth[1:] > 0) & (np.diff(place) < k)
+            for partner in (home, before):
+                p = partner[of]
+                fits = fresh & (doc[first[p]] < doc) & ~(over & (nth >= n[p]))
+                if partner is before:
+                    fits &= before[of] != home[of]
+                i = np.flatnonzero(fits)
+                p = p[i]
+                y = place[first[p] + np.where(nth[i] < n[p], nth[i], 0)]
+                out.append((doc[i], tag[i] << 16 | tag[first[p]], doc[first[p]], place[i] << 32 | y))
+            lead = np.flatnonzero(fresh & (salt > 0) & (doc == doc[first[home[of]]]))
+            cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+            none = np.zeros(len(cols[0]) + len(lead), bool)
+            none[: len(cols[0])] = True
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat[0].astype(np.uint64).view(np.int64))),
-                pa.ListArray.from_arrays(ends, pa.array(flat[1].astype(np.int32))),
-                pa.ListArray.from_arrays(ends, pa.array(flat[2].astype(np.int32)))], ["doc_id", "tkey", "seeds", "places", "nth"])
+                pa.array(np.concatenate((np.zeros(len(cols[0]), np.int64), seed[lead])), mask=none),
+                pa.array(np.concatenate((cols[0], doc[lead]))), pa.array(np.concatenate((cols[1], at[lead]))),
+                pa.array(np.concatenate((cols[2], np.zeros(len(lead), np.int64))), mask=~none), pa.array(np.concatenate((cols[3], np.zeros(len(lead), np.int64))))],
+                ["seed", "doc", "tags", "home", "xy"])
+            last = group == group[-1]
+            keep = last & ((np.arange(len(first)) == home) | (doc[first] == doc[-1]))
+            # and the last text under another doc_id, should the next rows go on with this one
+            keep[max(before[-1], 0)] |= last[max(before[-1], 0)]
+            rows = keep[of]
+            kept = [x[rows] for x in (seed, salt, doc, at)]
 
     return run
 
@@ -120,27 +207,29 @@ class Reach:
         return out
 
 
-def runs_of(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """Matches (x, y) of k words each -> rows (start x, start y, length) of exact runs along diagonals."""
-    order = np.lexsort((x, y - x))
-    x, y = x[order], y[order]
+def runs_of(x: np.ndarray, y: np.ndarray, k: int, pair: np.ndarray | None = None) -> np.ndarray:
+    """Distinct matches (x, y) of k words each -> rows (pair, start x, start y, length) of exact runs along diagonals, in order."""
+    pair = np.zeros(len(x), np.int64) if pair is None else pair
+    order = np.lexsort((x, y - x, pair))
+    x, y, pair = x[order], y[order], pair[order]
     new = np.ones(len(x), bool)
-    new[1:] = (np.diff(y - x) != 0) | (np.diff(x) > k)
+    new[1:] = (np.diff(y - x) != 0) | (np.diff(x) > k) | (np.diff(pair) != 0)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(x)) - 1
-    return np.stack((x[first], y[first], x[last] + k - x[first]), axis=1)
+    rows = np.stack((pair[first], x[first], y[first], x[last] + k - x[first]), axis=1)
+    return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
 
 
-def chains(runs: np.ndarray) -> list[list[tuple[int, int, int]]]:
+def chains(runs: list) -> list[list[tuple[int, int, int]]]:
     """Disjoint chains of runs (start x, start y, length), each ascending in both, best first."""
     if len(runs) == 1:
-        return [[tuple(runs[0].tolist())]]
-    rows = runs[np.lexsort((runs[:, 1], runs[:, 0]))].tolist()
+        return [[tuple(runs[0])]]
+    rows = sorted(runs)
     by_y = sorted(range(len(rows)), key=lambda i: rows[i][1] + rows[i][2])
     ends = [rows[i][1] + rows[i][2] for i in by_y]
     rank = {i: r for r, i in enumerate(by_y)}
-    low = np.searchsorted(ends, [y - WIDEST for _, y, _ in rows], "left").tolist()
-    high = np.searchsorted(ends, [y for _, y, _ in rows], "right").tolist()
+    low = [bisect_left(ends, y - WIDEST) for _, y, _ in rows]
+    high = [bisect_right(ends, y) for _, y, _ in rows]
     tree, score, back = Reach(len(rows)), [0.0] * len(rows), [-1] * len(rows)
     waiting = sorted(range(len(rows)), key=lambda i: rows[i][0] + rows[i][2])
     w = gone = 0
@@ -172,39 +261,87 @@ def chains(runs: np.ndarray) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def _chains_of(k: int):
-    """Matches sorted by document and home -> the chains of each pair, however short: their ends are extended later."""
+def stretches(x: np.ndarray, group: np.ndarray, k: int, apart: int) -> np.ndarray:
+    """For each seed (place x in `group`) the words that its stretch spans: seeds of the group with at most `apart` words between."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((x, group))
+    xs, gs = x[order], group[order]
+    new = np.ones(len(xs), bool)
+    new[1:] = (gs[1:] != gs[:-1]) | (np.diff(xs) > k + apart)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(xs)) - 1
+    out = np.empty(len(xs), np.int64)
+    out[order] = (xs[last] + k - xs[first])[np.cumsum(new) - 1]
+    return out
 
-    def flush(head, xs, ys):
-        m = np.unique(np.stack((np.concatenate(xs), np.concatenate(ys)), axis=1), axis=0)
-        found = chains(runs_of(m[:, 0].astype(np.int64), m[:, 1].astype(np.int64), k))
-        yield (*head, [np.array(c, np.int32).tobytes() for c in found])
 
-    def batch(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.binary()))], ["doc_id", "tkey", "home", "hkey", "runs"])
+def promising(x: np.ndarray, doc: np.ndarray, pair: np.ndarray, k: int, min_words: int) -> np.ndarray:
+    """Which matches can be of a passage: those with another seed of the same pair within APART words, and those in an unbroken stretch of
+    the document's shared seeds, be they shared with whichever documents, that spans half of min_words."""
+    return (stretches(x, pair, k, APART) > k) | (stretches(x, doc, k, k) >= min_words // 2)
+
+
+def document_chains(pairs: list, min_words: int, percent: int) -> list:
+    """[(key, runs)]: the runs of one document with each other one -> [(key, chains)] without those that lie in a chain of
+    another key that is a passage as it stands."""
+    found, sure = [], []
+    for key, runs in pairs:
+        for c in chains(runs):
+            (x0, y0, _), (p, q, n) = c[0], c[-1]
+            exact = sum(r[2] for r in c)
+            found.append((key, c, x0, p + n))
+            if exact >= min_words and 100 * exact >= percent * max(p + n - x0, q + n - y0):
+                sure.append((x0 - p - n, key, x0, p + n))
+    kept: list = []
+    for _, key, x0, x1 in sorted(sure):
+        if not any(a <= x0 and x1 <= b for _, a, b in kept):
+            kept.append((key, x0, x1))
+    out: dict = {}
+    for key, c, x0, x1 in found:
+        if not any(a <= x0 and x1 <= b and key != other for other, a, b in kept):
+            out.setdefault(key, []).append(c)
+    return list(out.items())
+
+
+def _chains_of(k: int, min_words: int, percent: int):
+    """Matches sorted by document and home -> the chains of each pair, however short: their ends are extended later."""
+
+    def chained(doc, tags, home, xy):
+        change = np.ones(len(doc), bool)
+        change[1:] = (doc[1:] != doc[:-1]) | (tags[1:] >> 16 != tags[:-1] >> 16)
+        pair = change.copy()
+        pair[1:] |= (tags[1:] != tags[:-1]) | (home[1:] != home[:-1])
+        long = promising(xy >> 32, np.cumsum(change), np.cumsum(pair), k, min_words)
+        pair = np.cumsum(pair)
+        long[1:] &= (pair[1:] != pair[:-1]) | (xy[1:] != xy[:-1])
+        doc, tags, home, xy, pair = (v[long] for v in (doc, tags, home, xy, pair))
+        out = []
+        if len(doc):
+            runs = runs_of(xy >> 32, xy & 0xFFFFFFFF, k, pair)
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            heads = zip(doc[first].tolist(), (tags[first] >> 16).tolist(), home[first].tolist(), (tags[first] & TAG).tolist(), strict=True)
+            at = [*np.searchsorted(runs[:, 0], pair[first]).tolist(), len(runs)]
+            runs = list(map(tuple, runs[:, 1:].tolist()))
+            mine, own = [], None
+            for (*now, other, htag), lo, hi in zip([*heads, (None, None, None, None)], at, [*at[1:], 0], strict=True):
+                if now != own:
+                    out += [(*own, *key, [np.array(c, np.int32).tobytes() for c in cs]) for key, cs in (document_chains(mine, min_words, percent) if mine else [])]
+                    mine, own = [], now
+                mine.append(((other, htag), runs[lo:hi]))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.binary()))], ["doc_id", "tag", "home", "htag", "runs"])
 
     def run(batches):
-        head, xs, ys = None, [], []
+        kept = [np.zeros(0, np.int64)] * 4
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("doc_id", "tkey", "home", "hkey")]
-            x, y, out = b.column("x").to_numpy(), b.column("y").to_numpy(), []
-            change = np.zeros(len(x), bool)
-            change[:1] = True
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
-            first = np.flatnonzero(change).tolist()
-            for lo, hi in zip(first, [*first[1:], len(x)], strict=True):
-                now = tuple(int(c[lo]) for c in cols)
-                if now != head:
-                    if head is not None:
-                        out += flush(head, xs, ys)
-                    head, xs, ys = now, [], []
-                xs.append(x[lo:hi])
-                ys.append(y[lo:hi])
-            yield batch(out)
-        if head is not None:
-            yield batch(list(flush(head, xs, ys)))
+            rows = [np.concatenate((x, b.column(c).to_numpy())) for x, c in zip(kept, ("doc", "tags", "home", "xy"), strict=True)]
+            if len(rows[0]):
+                open_ = (rows[0] == rows[0][-1]) & (rows[1] >> 16 == rows[1][-1] >> 16)
+                yield chained(*(x[~open_] for x in rows))
+                kept = [x[open_] for x in rows]
+        if len(kept[0]):
+            yield chained(*kept)
 
     return run
 
@@ -295,11 +432,28 @@ def align(a: list, b: list, runs: list[tuple[int, int, int]], between: list[int]
     return x0, x1, y0, y1, found + more
 
 
+def _alike_around(a: list, b: list, runs: list[tuple[int, int, int]], reach: int) -> int:
+    """How many words the two texts have in common, order aside, from `reach` before the runs to `reach` after: no fewer than an alignment there can match."""
+    (x, y, _), (p, q, n) = runs[0], runs[-1]
+    left: dict = {}
+    for w in b[max(0, y - reach) : q + n + reach]:
+        left[w] = left.get(w, 0) + 1
+    found = 0
+    for w in a[max(0, x - reach) : p + n + reach]:
+        if left.get(w):
+            left[w] -= 1
+            found += 1
+    return found
+
+
 def aligned(a: list, b: list, runs: list[tuple[int, int, int]], min_words: int, percent: int):
     """The passages of a chain as align gives them: a chain that misses percent is split at its widest gap and its parts are tried."""
     between, todo = gaps(a, b, runs), [(0, len(runs))]
     while todo:
         lo, hi = todo.pop()
+        # A passage that goes further than min_words beyond the runs agrees in part at least this near to them.
+        if 100 * _alike_around(a, b, runs[lo:hi], min_words) < percent * percent * min_words // 100:
+            continue
         for how in (STRICT, LOOSE):
             x0, x1, y0, y1, n = align(a, b, runs[lo:hi], between[lo : hi - 1], how)
             alike = 100 * n >= percent * max(x1 - x0, y1 - y0)
@@ -326,10 +480,8 @@ def _passages(k: int, min_words: int, percent: int):
     def run(batches):
         for b in batches:
             out = []
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "tkey", "home", "hkey", "runs")]
-            for doc, tkey, home, hkey, runs, mine, theirs in zip(*cols, hashed(b.column("text")), hashed(b.column("home_text")), strict=True):
-                if text_key(mine[0]) != tkey or text_key(theirs[0]) != hkey:
-                    continue  # another row under the same doc_id
+            cols = [b.column(c).to_pylist() for c in ("doc_id", "tkey", "home", "runs")]
+            for doc, tkey, home, runs, mine, theirs in zip(*cols, hashed(b.column("text")), hashed(b.column("home_text")), strict=True):
                 ours, others, kept = mine[0].tolist(), theirs[0].tolist(), []
                 for r in runs:
                     chain = [tuple(x) for x in np.frombuffer(r, np.int32).reshape(-1, 3).tolist()]
@@ -344,37 +496,42 @@ def _passages(k: int, min_words: int, percent: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, k: int = 8, window: int = 2, min_words: int = 50, percent: int = 80) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, start_word, end_word (exclusive), start_byte, end_byte (in the UTF-8 text),
-    home_id, home_start, home_end, n_matched: a row per repeated passage and home."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("tkey"), text.alias("text")).where("doc_id is not null and text is not null")
+
+
+def repeated_passages(docs: DataFrame, k: int = 6, window: int = 5, min_words: int = 50, percent: int = 80) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, tkey (xxhash64 of the text), start_word, end_word (exclusive), start_byte, end_byte (in
+    the UTF-8 text), home_id, home_start, home_end, n_matched: a row per repeated passage and home."""
     spark = docs.sparkSession
     prepare(spark, 500)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    seeds = materialize(texts.mapInArrow(_seeds_of(k, window), "doc_id long, tkey long, seeds array<long>, places array<int>, nth array<int>"), "seeds")
-    owner = seeds.select("doc_id", F.explode("seeds").alias("seed"))
-    shared = materialize(owner.groupBy("seed").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last")).where("home <> last").select("seed", "home"), "shared")
-    each = seeds.select("doc_id", "tkey", F.explode(F.arrays_zip("seeds", "places", "nth")).alias("s")).select("doc_id", "tkey", F.col("s.seeds").alias("seed"), F.col("s.places").alias("x"), F.col("s.nth").alias("nth"))
-    hits = materialize(each.join(sized(shared, shared.count()), "seed"), "hits")
-    # The places of a seed at its home: at most as many as one document has.
-    at = hits.where("doc_id = home").groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("tkey", "x"))).alias("at"))
-    place = at.select("seed", F.expr("at[0].tkey").alias("hkey"), F.expr("transform(filter(at, a -> a.tkey = at[0].tkey), a -> a.x)").alias("ys"))
-    # Written, so that a join by shuffle reads no aggregate and a seed of very many documents can be split.
-    place = materialize(place, "place")
-    n_places = place.agg(F.coalesce(F.sum(F.size("ys") + 2), F.lit(0))).first()[0]
-    found = hits.where("doc_id <> home").join(sized(place, n_places), "seed").select("doc_id", "tkey", "home", "hkey", "x", F.expr("coalesce(get(ys, nth), ys[0])").alias("y"))
-    order = ["doc_id", "tkey", "home", "hkey"]
-    linked = found.repartition(*order).sortWithinPartitions(*order, "x").mapInArrow(_chains_of(k), "doc_id long, tkey long, home long, hkey long, runs array<binary>")
-    linked = materialize(linked, "chains")
-    release(seeds, shared, hits, place)
+    texts = _keyed(docs)
+    common = materialize(texts.mapInArrow(_frequent(k, window), "seed long").distinct(), "common")
+    seeds = texts.mapInArrow(_seeds_of(k, window), "seed long, doc long, at long")
+    share = F.when(F.col("often"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("long")
+    dealt = seeds.join(sized(common.withColumn("often", F.lit(True)), common.count()), "seed", "left").select("seed", share.alias("salt"), "doc", "at")
+    order = ["seed", "salt", "doc", "at"]
+
+    def matched(rows: DataFrame) -> DataFrame:
+        return rows.repartition("seed", "salt").sortWithinPartitions(*order).mapInArrow(_matches_of(k), "seed long, doc long, tags long, home long, xy long")
+
+    found = materialize(matched(dealt), "matches")
+    homes = found.where("seed is not null").select("seed", F.lit(0).cast("long").alias("salt"), "doc", F.col("tags").alias("at"))
+    pairs = ["doc", "tags", "home", "xy"]
+    both = found.where("home is not null").select(*pairs).unionByName(matched(homes).select(*pairs))
+    both = both.repartition("doc", F.shiftright("tags", 16)).sortWithinPartitions("doc", "tags", "home", "xy")
+    linked = materialize(both.mapInArrow(_chains_of(k, min_words, percent), "doc_id long, tag long, home long, htag long, runs array<binary>"), "chains")
+    release(common, found)
     ids = materialize(linked.select(F.col("doc_id").alias("id")).union(linked.select("home")).distinct(), "ids")
-    wanted = texts.join(sized(ids.withColumnRenamed("id", "doc_id"), ids.count()), "doc_id", "left_semi")
-    wanted = materialize(wanted, "texts")
-    pairs = linked.join(wanted, "doc_id").join(wanted.select(F.col("doc_id").alias("home"), F.col("text").alias("home_text")), "home")
-    out = pairs.select(*order, "runs", "text", "home_text").mapInArrow(
-        _passages(k, min_words, percent),
-        "doc_id long, tkey long, start_word long, end_word long, start_byte long, end_byte long, home_id long, home_start long, home_end long, n_matched long",
-    )
-    return out.distinct()
+    wanted = materialize(texts.join(sized(ids.withColumnRenamed("id", "doc_id"), ids.count()), "doc_id", "left_semi"), "texts")
+    mine = linked.join(wanted, "doc_id").where(f"(tkey & {TAG}L) = tag")
+    theirs = wanted.select(F.col("doc_id").alias("home"), F.col("tkey").alias("hkey"), F.col("text").alias("home_text"))
+    out = mine.join(theirs, "home").where(f"(hkey & {TAG}L) = htag").select("doc_id", "tkey", "home", "runs", "text", "home_text")
+    schema = "doc_id long, tkey long, start_word long, end_word long, start_byte long, end_byte long, home_id long, home_start long, home_end long, n_matched long"
+    found = materialize(out.mapInArrow(_passages(k, min_words, percent), schema).distinct(), "passages")
+    release(linked, ids, wanted)
+    return found
 
 
 def _cut(batches):
@@ -392,12 +549,14 @@ def _cut(batches):
         yield b.set_column(i, "text", pa.array(texts, pa.string())).drop_columns(["_cuts"])
 
 
-def drop_repeats(docs: DataFrame, k: int = 8, window: int = 2, min_words: int = 50, percent: int = 80) -> DataFrame:
+def drop_repeats(docs: DataFrame, k: int = 6, window: int = 5, min_words: int = 50, percent: int = 80) -> DataFrame:
     """docs without their repeated passages: the text is cut, n_chars (if there) counted anew, all other columns
-    kept; documents of which nothing but white space stays are dropped."""
+    kept; documents of which nothing but white space stays are dropped. Rows that repeat a doc_id are told apart by their texts."""
     found = repeated_passages(docs, k, window, min_words, percent)
-    cuts = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("start_byte", "end_byte")).alias("_cuts")), "cuts")
-    with_cuts = docs.join(sized(cuts, 20 * cuts.count()), "doc_id", "left").select(*docs.columns, "_cuts")
+    cuts = found.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).agg(F.collect_set(F.struct("start_byte", "end_byte")).alias("_cuts"))
+    cuts = materialize(cuts, "cuts")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_tkey"))
+    with_cuts = docs.join(sized(cuts, 20 * cuts.count()), same, "left").select(*(docs[c] for c in docs.columns), "_cuts")
     hit = with_cuts.where("_cuts is not null").mapInArrow(_cut, docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -25,13 +25,13 @@ _RAW_CODE = _CODES.copy()
 _RAW_CODE[SPACE] = 0
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = max(n, CHUNK + (1 << 18))
+        size = max(n, 2 * CHUNK)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             row = np.full(size, base, np.uint64)
             row[0] = 1
@@ -83,7 +83,22 @@ def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def split(data: np.ndarray, off: np.ndarray, lower: bool = True, hashed: bool = True) -> Words:
-    """Words of the texts data[off[i]:off[i+1]]; off starts at 0."""
+    """Words of the texts data[off[i]:off[i+1]]; off starts at 0. A longer text than CHUNK is worked on in parts cut at white space."""
+    if len(data) > 2 * CHUNK:
+        cuts = [0]
+        while len(data) - cuts[-1] > 2 * CHUNK:
+            gap = np.flatnonzero(SPACE[data[cuts[-1] + CHUNK : cuts[-1] + 2 * CHUNK]])
+            if not len(gap):
+                break
+            cuts.append(cuts[-1] + CHUNK + int(gap[0]))
+        if len(cuts) > 1:
+            parts = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(data)], strict=True):
+                inner = off[(off > lo) & (off < hi)] - lo
+                w = split(data[lo:hi], np.concatenate(([0], inner, [hi - lo])), lower, hashed)
+                parts.append((w.start + lo, w.end + lo, w.hash))
+            start, end = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            return Words(data, start, end, np.concatenate([p[2] for p in parts]) if hashed else None, np.searchsorted(start, off), off)
     n = len(data)
     solid = ~SPACE[data]
     edge = np.zeros(n + 1, bool)

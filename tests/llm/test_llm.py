@@ -205,12 +205,12 @@ def test_chains_beat_all_subsets():
 
         rows = sorted(map(tuple, runs.tolist()))
         best = max(score([r for j, r in enumerate(rows) if i >> j & 1]) for i in range(1, 1 << len(rows)))
-        assert abs(score(substring_dedup.chains(runs)[0]) - best) < 1e-9
+        assert abs(score(substring_dedup.chains(runs.tolist())[0]) - best) < 1e-9
 
 
 def test_chain_after_a_long_run():
     fuzzy = [(400 + 12 * i, 400 + 12 * i, 10) for i in range(6)]
-    found = substring_dedup.chains(np.array([(0, 0, 300), *fuzzy]))
+    found = substring_dedup.chains([(0, 0, 300), *fuzzy])
     assert found == [[(0, 0, 300)], fuzzy]
     rng = np.random.default_rng(5)
     for _ in range(40):
@@ -220,7 +220,7 @@ def test_chain_after_a_long_run():
         for i, (x, y, n) in enumerate(rows):
             before = [(x - p - m, y - q - m, b) for (p, q, m), b in zip(rows[:i], best, strict=True)]
             best.append(n + max([0, *(b - substring_dedup.GAP * (u + v) for u, v, b in before if 0 <= u <= substring_dedup.WIDEST and 0 <= v <= substring_dedup.WIDEST)]))
-        chain = substring_dedup.chains(runs)[0]
+        chain = substring_dedup.chains(runs.tolist())[0]
         got = sum(n for *_, n in chain) - sum(substring_dedup.GAP * (p - x - n + q - y - n) for (x, y, n), (p, q, _) in zip(chain, chain[1:], strict=False))
         assert abs(got - max(best)) < 1e-9
 
@@ -233,7 +233,7 @@ def test_passage_whose_halves_stand_in_lower_documents(spark):
         assert [(r.doc_id, r.home_id, r.start_word, r.end_word, r.n_matched) for r in substring_dedup.repeated_passages(table).collect()] == [(20, 10, 30, 110, 80)]
 
 
-def found_by_seeds(mine, home, k=8, window=2):
+def found_by_seeds(mine, home, k=6, window=5):
     """The passages of two texts, without Spark."""
     sides = []
     for text in (mine, home):
@@ -242,7 +242,10 @@ def found_by_seeds(mine, home, k=8, window=2):
         sides.append((w.hash.tolist(), {h[i]: i for i in substring_dedup.minimizers(h, window)}))
     (a, x), (b, y) = sides
     m = np.array([(x[h], y[h]) for h in x if h in y]).reshape(-1, 2)
-    return [r for c in (substring_dedup.chains(substring_dedup.runs_of(m[:, 0], m[:, 1], k)) if len(m) else []) for r in substring_dedup.aligned(a, b, c, 50, 80)]
+    one = np.zeros(len(m), np.int64)
+    m = m[substring_dedup.promising(m[:, 0], one, one, k, 50)] if len(m) else m
+    found = substring_dedup.document_chains([(0, substring_dedup.runs_of(m[:, 0], m[:, 1], k)[:, 1:].tolist())], 50, 80) if len(m) else []
+    return [r for _, cs in found for c in cs for r in substring_dedup.aligned(a, b, c, 50, 80)]
 
 
 @pytest.mark.parametrize(("n", "percent", "least"), [(52, 90, 0.93), (60, 95, 0.99), (60, 90, 0.99), (60, 85, 0.98), (80, 85, 0.98), (60, 80, 0.92), (80, 80, 0.97)])
@@ -259,6 +262,85 @@ def test_recall_of_changed_passages(n, percent, least):
     assert len(got) > 50 and np.mean(got) >= least
 
 
+def passages_of(spark, docs, parts=3):
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    return sorted((r.doc_id, r.home_id, r.start_word, r.end_word, r.n_matched) for r in substring_dedup.repeated_passages(table).collect())
+
+
+def test_passage_beside_a_lower_piece_of_it(spark):
+    p = some_words(70, 60)
+    docs = {10: p, 20: p, 1: p[:40]}
+    rows = [(i, " ".join(some_words(71 + i, 30) + w + some_words(171 + i, 30))) for i, w in docs.items()]
+    assert passages_of(spark, rows) == [(20, 10, 30, 90, 60)]
+    # overlapping pieces in lower documents cover all its seeds
+    docs = {1: p[:40], 2: p[20:], 10: p, 20: p}
+    rows = [(i, " ".join(some_words(81 + i, 30) + w + some_words(181 + i, 30))) for i, w in docs.items()]
+    assert passages_of(spark, rows) == [(20, 10, 30, 90, 60)]
+
+
+def test_fuzzy_passage_after_a_long_run(spark):
+    long, fuzzy = some_words(90, 500), some_words(91, 68)
+    changed = list(fuzzy)
+    for i in range(4, 68, 9):
+        changed[i] = f"odd{i}"
+    between = some_words(92, 60), some_words(93, 60)
+    got = passages_of(spark, [(1, " ".join(long + between[0] + fuzzy)), (2, " ".join(long + between[1] + changed))])
+    assert [(a, b, x, y) for a, b, x, y, _ in got][0] == (2, 1, 0, 500) and got[1][2] >= 555 and got[1][3] - got[1][2] >= 58
+
+
+def test_cuts_of_texts_under_one_id(spark):
+    p, other = " ".join(some_words(95, 60)), " ".join(some_words(96, 150))
+    table = spark.createDataFrame([(10, p), (20, "x " + p + " y"), (20, other)], "doc_id long, text string")
+    assert sorted(r.text for r in substring_dedup.drop_repeats(table).collect()) == sorted([p, "x  y", other])
+
+
+def test_frequent_passages_and_copies(spark):
+    """A passage that most documents hold, many copies of one document, and batches that cut seeds apart."""
+    p, copy = some_words(97, 55), some_words(98, 120)
+    rows = [(i, " ".join(some_words(1000 + i, 15) + p + some_words(3000 + i, 15))) for i in range(0, 400, 2)] + [(i, " ".join(copy)) for i in range(1, 400, 2)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = passages_of(spark, rows, 2)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    spans = {d: (x, y) for d, h, x, y, _ in got if h < d}
+    assert spans == {i: (15, 70) if i % 2 == 0 else (0, 120) for i in range(2, 400)}
+
+
+def test_passages_against_all_pairs(spark):
+    """Planted exact and fuzzy repeats in 200 documents, against the alignment of all pairs through every shared 4-word run."""
+    rng, docs, planted = np.random.default_rng(12), [], set()
+    pool = [some_words(500 + i, int(rng.integers(50, 90))) for i in range(25)]
+    common = some_words(499, 20)
+    for i in range(200):
+        words_ = some_words(2000 + i, int(rng.integers(20, 60)))
+        for j in rng.choice(25, int(rng.integers(0, 3)), replace=False):
+            part = list(pool[j])
+            for c in rng.choice(len(part), int(rng.integers(0, len(part) // 9)), replace=False):
+                part[c] = f"odd{rng.integers(10**9)}"
+            words_ += part + some_words(9000 + 40 * i + int(j), int(rng.integers(10, 50)))
+        docs.append(words_ + (common if i % 3 else []))
+    hashes = [[hash(w) for w in d] for d in docs]
+    want = set()
+    for i, mine in enumerate(hashes):
+        at = {}
+        for x in range(len(mine) - 3):
+            at.setdefault(tuple(mine[x : x + 4]), x)
+        for j in range(i):
+            m = [(at[g], y) for y in range(len(hashes[j]) - 3) if (g := tuple(hashes[j][y : y + 4])) in at]
+            if m:
+                m = np.array(m)
+                for c in substring_dedup.chains(substring_dedup.runs_of(m[:, 0], m[:, 1], 4)[:, 1:].tolist()):
+                    want |= {(i, (x0 + x1) // 2) for x0, x1, *_ in substring_dedup.aligned(mine, hashes[j], c, 50, 80)}
+    got = collections.defaultdict(list)
+    for d, _, x, y, n in passages_of(spark, [(i, " ".join(d)) for i, d in enumerate(docs)]):
+        assert y - x >= 50 and 100 * n >= 80 * (y - x)
+        got[d].append((x, y))
+    hit = sum(any(x <= mid < y for x, y in got[d]) for d, mid in want)
+    assert len(want) > 100 and hit >= 0.97 * len(want), (hit, len(want))
+
+
 def test_quality(spark, edge, none, data):
     docs, labels = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet"), spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/labels.parquet")
     rows = quality_classifier.score_quality(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
