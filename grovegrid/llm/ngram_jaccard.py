@@ -5,19 +5,21 @@ no words, or a null text: the empty set, which links with nothing). Two document
 100 * |A & B| >= percent * |A | B|.
 
 Each shingle flips one bit of a sketch, so the Hamming distance of two sketches is at most the size
-of the symmetric difference. Sets are put into size bands. A link within a band has a symmetric
-difference of at most D = (a + b) * (100 - percent) / (100 + percent), so of D + 1 + spare blocks of
-the sketches at least spare + 1 are equal (pigeonhole): the join key is a 64-bit hash of a block's bits.
-A set that can link with a larger one beyond its band also gives the keys of the next band. A block that
-no shingle fell into says little. A set with at most spare such blocks leaves them out, as one of its
-equal blocks has shingles then; this holds for all but small sets. Any other set gives them too, each key
-joined by those of a second, independent sketch, of which one block must be equal as well. No link is lost.
-
-Equal sets are one class from the start, and of the keys with the same classes one is kept. Within a
-key, classes are compared by the Hamming distance of folded sketches, and a spanning forest of those
-near enough is emitted, at most one row a class; its edges are verified exactly. Where an edge fails,
-all near pairs of its keys that are still apart are verified. Keys with very many classes are dealt out
-by pairs of blocks. Documents under a null doc_id get no links.
+of the symmetric difference. Sizes are cut into bands. Where a link's smaller set has a shingles, the larger
+one has at most a * 100 / percent, and so has their union: the symmetric difference is at most
+D = a * (100 - percent) / percent. So of D + 1 + spare blocks of the sketches for the smaller set's band at
+least spare + 1 are equal (pigeonhole): the join key is a 64-bit hash of a block's bits. A set gives the keys of
+its own band and of each lower one with a set that it can link with. A block that no shingle fell into says little.
+A set with at most spare such blocks leaves them out, as one of its equal blocks has shingles then; this holds
+for all but small sets. Any other set gives them too, each key joined by those of a second, independent sketch,
+of which one block must be equal as well. No link is lost.
+
+Equal sets are one class from the start, and one text of each class gives keys. They are dealt out once; a stream over
+the sorted rows drops keys of a single class. Keys that many documents of a sample hold are dealt out in shares. Of the
+keys with the same classes one is kept. Within a key, classes are compared by the Hamming distance of folded sketches,
+and a spanning forest of those near enough is emitted, at most one row a class; its edges are verified exactly. Where
+an edge fails, all near pairs of its keys that are still apart are verified. Keys with very many classes are dealt out
+by pairs of blocks. Documents under a null doc_id get no links but to equal sets.
 """
 
 from __future__ import annotations
@@ -46,8 +48,8 @@ _EDGES = np.array(band_edges(), np.int64)
 
 
 def block_count(band: int, percent: int) -> tuple[int, int]:
-    """Blocks of a band's sketches, and how many of them are spare."""
-    most = 2 * (int(_EDGES[band + 1]) - 1) * (100 - percent) // (100 + percent)
+    """Blocks of the sketches for links whose smaller set is of this band, and how many of them are spare."""
+    most = (int(_EDGES[band + 1]) - 1) * (100 - percent) // percent
     spare = most * (100 - percent) // 100
     return most + 1 + spare, spare
 
@@ -67,7 +69,9 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     band = int(np.searchsorted(_EDGES, n, "right")) - 1
-    bands = [band] + [band + 1] * int(n * 100 // percent >= _EDGES[band + 1])
+    bands = [band]
+    while bands[-1] > 0 and percent * n <= 100 * (int(_EDGES[bands[-1]]) - 1):
+        bands.append(bands[-1] - 1)
     second, out = None, []
     for b in bands:
         count, spare = block_count(b, percent)
@@ -98,19 +102,52 @@ def _sets(column: pa.Array, k: int):
             yield K.unique_sorted(h[off[i] : off[i + 1]])
 
 
+def _sizes_of(k: int):
+    def run(batches):
+        for b in batches:
+            found = [(len(s), class_of(s)) for s in _sets(b.column("text"), k)]
+            n, cls = (np.array(x, np.uint64).view(np.int64) for x in (zip(*found, strict=True) if found else ([], [])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(n), pa.array(cls)], ["doc_id", "tkey", "n", "cls"])
+
+    return run
+
+
 def _keys_of(k: int, percent: int):
     def run(batches):
         for b in batches:
-            sizes, classes, parts = [], [], []
+            cids, at = b.column("cid").to_numpy(), 0
+            parts, owner, rows = [], [], 0
             for s in _sets(b.column("text"), k):
-                sizes.append(len(s))
-                classes.append(class_of(s))
-                parts.append(block_keys(s, percent))
-            off = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-            keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(classes, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(off), pa.array(keys.view(np.int64)))], ["doc_id", "n", "cls", "keys"])
+                parts.append(np.unique(block_keys(s, percent)).view(np.int64))
+                owner.append(np.full(len(parts[-1]), cids[at]))
+                rows, at = rows + len(parts[-1]), at + 1
+                if rows >= 1 << 16 or at == len(cids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(owner))], ["key", "cid"])
+                    parts, owner, rows = [], [], 0
+
+    return run
+
+
+def _shared():
+    """Rows (key, salt, cid) sorted so -> (key, cid) of the keys with several cids, and of salted keys."""
+
+    def run(batches):
+        kept = [np.zeros(0, np.int64)] * 3
+        held = False  # whether the kept row is of a key with another cid before
+        for b in [*batches, None]:
+            key, salt, cid = (np.concatenate((x, b.column(c).to_numpy())) if b is not None else x for x, c in zip(kept, ("key", "salt", "cid"), strict=True))
+            if not len(key):
+                continue
+            same = key[1:] == key[:-1]
+            again = np.append(False, same & (cid[1:] == cid[:-1]))
+            if again.any():
+                key, salt, cid = key[~again], salt[~again], cid[~again]
+                same = key[1:] == key[:-1]
+            out = (np.append(held, same) | np.append(same, False)) | (salt > 0)
+            stop = len(key) if b is None else len(key) - 1  # the last row waits for the next
+            yield pa.RecordBatch.from_arrays([pa.array(key[:stop][out[:stop]]), pa.array(cid[:stop][out[:stop]])], ["key", "cid"])
+            held = bool(same[-1]) if len(same) else held
+            kept = [key[-1:], salt[-1:], cid[-1:]]
 
     return run
 
@@ -122,16 +159,16 @@ def fold(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _set_rows(k: int):
+def _set_rows(k: int, exact: bool):
+    """Rows (cid, text) -> (cid, n, sketch), or (cid, shingles)."""
+
     def run(batches):
         for b in batches:
-            cls, n, sets, sketch = [], [], [], []
-            for s in _sets(b.column("text"), k):
-                cls.append(class_of(s))
-                n.append(len(s))
-                sets.append(s.tobytes())
-                sketch.append(fold(s))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(sets, pa.binary())], ["cls", "n", "sketch", "shingles"])
+            sets = list(_sets(b.column("text"), k))
+            if exact:
+                yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "shingles"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fold(s) for s in sets], pa.binary())], ["cid", "n", "sketch"])
 
     return run
 
@@ -177,7 +214,7 @@ def near_pairs(cls: list, n: np.ndarray, roots: list, sketches: list, percent: i
 
 
 def _candidates(percent: int, every: bool):
-    """Rows (grp, cls, n, root, sketch) sorted by grp -> pairs (a, b, grp)."""
+    """Rows (grp, cid, n, root, sketch) sorted by grp -> pairs (a, b, grp)."""
 
     def run(batches):
         held, group = [], None
@@ -191,7 +228,7 @@ def _candidates(percent: int, every: bool):
 
         for b in batches:
             out = []
-            for g, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "cls", "n", "root", "sketch")), strict=True):
+            for g, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "cid", "n", "root", "sketch")), strict=True):
                 if g != group:
                     out += flush()
                     held, group = [], g
@@ -218,75 +255,137 @@ def _linked(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) of classes that link, by their sets."""
-    one, two = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("xa")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("xb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_linked(percent), "a long, b long")
+def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs(a, b) of classes that link, by the sets of their texts(cid, text)."""
+    ends = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "ends")
+    sets = materialize(texts.join(sized(ends, ends.count()), "cid", "left_semi").mapInArrow(_set_rows(k, True), "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+    one, two = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("xa")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("xb"))
+    links = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_linked(percent), "a long, b long"), "links")
+    release(ends, sets)
+    return links
 
 
 def _dealt(members: DataFrame, sizes: DataFrame, most: int = 4096) -> DataFrame:
-    """members(key, cls) with a group name: the key, or for a key of more than `most` classes each pair of its blocks."""
+    """members(key, cid) with a group name: the key, or for a key of more than `most` classes each pair of its blocks."""
     blocks = F.ceil(F.col("m") / F.lit(most // 2)).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     whole = F.array(F.col("key").cast("string"))
     parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws("_", F.col("key").cast("string"), F.least(own, j).cast("string"), F.greatest(own, j).cast("string")))
     return members.join(sizes.select("key", "m"), "key").withColumn("grp", F.explode(F.when(F.col("m") > most, parts).otherwise(whole)))
 
 
+#: Documents of a sample in which frequent keys are looked for, and the shares in which those of a SHARES-th of them are dealt out. A key
+#: that the sample misses is dealt out whole, with the same result.
+SAMPLE, SHARES = 16384, 64
+#: Numbers of classes from here on stand for further texts under a doc_id that has several.
+FURTHER = 1 << 62
+
+
 def jaccard_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls) for each row of docs(doc_id, text), and (cls, root): the component of each linked class."""
+    """(doc_id, tkey, n, cls) for each row of docs(doc_id, text), with tkey a hash of the text and cls one of its set; and for each class
+    of a non-empty set (cls, doc_id, tkey, cid, root, component): its first row, its number, the component's first number and doc_id."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_keys_of(k, percent), "doc_id long, n long, cls long, keys array<long>"), "parity")
-    keyed = rows.where("n > 0 and doc_id is not null")
-    each = keyed.select("cls", F.explode("keys").alias("key"))
-    shared = materialize(each.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key"), "shared")
-    n_shared = shared.count()
-    members = materialize(each.join(sized(shared, n_shared), "key").distinct(), "members")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+    rows = materialize(texts.mapInArrow(_sizes_of(k), "doc_id long, tkey long, n long, cls long"), "sizes")
+    full = rows.where("n > 0")
+    first = full.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("r")).select("cls", "r.doc_id", "r.tkey")
+    order = first.groupBy("doc_id").agg(F.min("tkey").alias("low"), F.max("tkey").alias("high")).where("low <> high and doc_id is not null").select("doc_id", "low")
+    several = materialize(order, "several")
+    n_several = several.count()
+    further = (F.xxhash64("doc_id", "tkey").bitwiseAND(F.lit(FURTHER - 1))).bitwiseOR(F.lit(FURTHER))
+    cid = F.when(F.col("doc_id").isNull(), F.xxhash64("tkey").bitwiseAND(F.lit(FURTHER - 1)).bitwiseOR(F.lit(FURTHER))).when(F.col("low").isNull() | (F.col("low") == F.col("tkey")), F.col("doc_id")).otherwise(further)
+    classes = materialize(first.join(sized(several, n_several), "doc_id", "left").select("cls", "doc_id", "tkey", cid.alias("cid")), "classes")
+    n_classes = classes.count()
+    known = classes.where("doc_id is not null")
+    # Rows with the texts of no class's first row, a smaller table than the classes where few are copies.
+    copies = materialize(full.where("doc_id is not null").select("doc_id", "tkey").distinct().join(known.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti"), "copies")
+    one = texts.where("doc_id is not null and text is not null").join(sized(copies, 2 * copies.count()), ["doc_id", "tkey"], "left_anti")
+    one = one.join(sized(several, n_several), "doc_id", "left").select(cid.alias("cid"), "text")
+    keys = one.mapInArrow(_keys_of(k, percent), "key long, cid long")
+    every = max(1, n_classes // SAMPLE)
+    some = one.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).mapInArrow(_keys_of(k, percent), "key long, cid long")
+    often = materialize(some.groupBy("key").count().where(F.col("count") >= max(64, n_classes // every // SHARES)).select("key", F.lit(True).alias("often")), "often")
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("cid"), F.lit(SHARES)) + 1).otherwise(F.lit(0)).cast("long")
+    dealt = keys.join(sized(often, often.count()), "key", "left").select("key", salt.alias("salt"), "cid")
+    members = materialize(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "cid").mapInArrow(_shared(), "key long, cid long"), "members")
+    release(often)
     # Of the keys with the same classes the smallest stays.
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("s1"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("s2")).where("m > 1")
     sizes = materialize(sizes.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key", "m"), "sizes")
-    members, all_members = materialize(_dealt(members, sizes).select("grp", "cls"), "members"), members
-    release(shared, all_members)
-    involved = members.select("cls").distinct()
-    reps = materialize(keyed.select("doc_id", "cls").join(involved, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "reps")
-    n_reps = reps.count()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sized(reps.select("doc_id").distinct(), n_reps), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_set_rows(k), "cls long, n long, sketch binary, shingles binary")
-    sets = materialize(sets.join(sized(reps.select("cls"), n_reps), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    members, all_members = materialize(_dealt(members, sizes).select("grp", "cid"), "members"), members
+    release(all_members)
+    involved = materialize(members.select("cid").distinct(), "involved")
+    sets = one.join(sized(involved, involved.count()), "cid", "left_semi").mapInArrow(_set_rows(k, False), "cid long, n long, sketch binary")
+    sets = materialize(sets.dropDuplicates(["cid"]), "sketches")
 
     def candidates(rows: DataFrame, every: bool) -> DataFrame:
-        full = rows.join(sets.select("cls", "n", "sketch"), "cls").select("grp", "cls", "n", "root", "sketch")
-        return full.repartition("grp").sortWithinPartitions("grp", "n", "cls").mapInArrow(_candidates(percent, every), "a long, b long, grp string")
+        full = rows.join(sets.select("cid", "n", "sketch"), "cid").select("grp", "cid", "n", "root", "sketch")
+        return full.repartition("grp").sortWithinPartitions("grp", "n", "cid").mapInArrow(_candidates(percent, every), "a long, b long, grp string")
 
-    tried = materialize(candidates(members.withColumn("root", F.col("cls")), False), "tried")
-    pairs = tried.select("a", "b").distinct()
-    links = materialize(verify(pairs, sets, percent), "links")
+    tried = materialize(candidates(members.withColumn("root", F.col("cid")), False), "tried")
+    pairs = materialize(tried.select("a", "b").distinct(), "pairs")
+    links = verify(pairs, one, k, percent)
     roots = materialize(components(links), "roots")
     failed = tried.join(links, ["a", "b"], "left_anti").select("grp").distinct()
-    again = members.join(failed, "grp", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    again = members.join(failed, "grp", "left_semi").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     more = materialize(candidates(again, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    found = materialize(verify(more, sets, percent), "links")
+    found = verify(more, one, k, percent)
     if not found.isEmpty():
         roots, old = materialize(components(links.unionByName(found)), "roots"), roots
         release(old)
-    release(sizes, members, reps, sets, tried, links, more, found)
-    return rows.select("doc_id", "n", "cls"), roots
+    placed = classes.join(sized(roots, roots.count()), classes.cid == roots.node, "left").select("cls", "doc_id", "tkey", "cid", F.coalesce("root", "cid").alias("root"))
+    # A number that stands for a further text is no doc_id; all others are.
+    low = placed.where((F.col("cid") >= FURTHER) & F.col("doc_id").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("low"))
+    low = materialize(low, "low")
+    own = F.when(F.col("root") < FURTHER, F.col("root"))
+    placed = placed.join(sized(low, low.count()), "root", "left").select("cls", "doc_id", "tkey", "cid", "root", F.least(own, "low").alias("component"))
+    placed = materialize(placed, "placed")
+    release(copies, several, classes, sizes, members, involved, sets, tried, pairs, links, more, found, roots, low)
+    return rows, placed
 
 
-def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, component_size for each row.
+def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, sizes: bool = False) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id (with sizes, also component_size) for each row.
 
     component_id is the smallest doc_id that links reach, the row's own included (null only where a
     set's rows all have a null doc_id); equal non-empty sets are linked. Repeated rows are each
     returned. Other columns of docs are not read, whatever their names.
     """
-    rows, roots = jaccard_classes(docs, k, percent)
-    placed = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
-    groups = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size"))
-    linked = placed.where("n > 0").join(groups, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"), F.col("size").alias("component_size"))
-    alone = placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("component_size"))
-    return linked.unionByName(alone)
+    rows, classes = jaccard_classes(docs, k, percent)
+    if sizes:
+        own = rows.where("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
+        own = classes.join(own, "cls").select("root", "size").groupBy("root").agg(F.sum("size").alias("size"))
+        classes = classes.join(own, "root")
+    small = classes.select("cls", "component", *["size"] * sizes)
+    out = rows.join(sized(small, classes.count()), "cls", "left")
+    alone = F.col("n") == 0
+    cols = [F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")]
+    if sizes:
+        cols.append(F.when(alone, F.lit(1)).otherwise(F.col("size")).cast("long").alias("component_size"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *cols)
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component: of the class with the smallest doc_id the first row, as rows with a null doc_id come
+    last. Rows that repeat a doc_id are told apart by their texts; documents without words all stay. All columns are kept."""
+    rows, classes = jaccard_classes(docs, k, percent)
+    kept = classes.where("cid = root").select("doc_id", "tkey")
+    pairs = rows.where("n > 0").groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("c"))
+    same = pairs.doc_id.eqNullSafe(kept.doc_id) & (pairs.tkey == kept.tkey)
+    gone = materialize(pairs.join(kept, same, "left_anti").select("doc_id", "tkey"), "gone")
+    twice = materialize(pairs.where("c > 1").join(kept, same, "left_semi").select("doc_id", "tkey"), "twice")
+
+    def on(left: DataFrame, right: DataFrame):
+        return left["doc_id"].cast("long").eqNullSafe(right["doc_id"]) & (F.xxhash64(left["text"].cast("string")) == right["tkey"])
+
+    n_twice = 2 * twice.count()
+    left = docs.join(sized(gone, 2 * gone.count()), on(docs, gone), "left_anti")
+    if not n_twice:
+        return left
+    once, again = left.join(sized(twice, n_twice), on(left, twice), "left_anti"), left.join(sized(twice, n_twice), on(left, twice), "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

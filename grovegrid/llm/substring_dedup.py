@@ -115,7 +115,7 @@ def _frequent(k: int, window: int):
 
 def _matches_of(k: int):
     """Rows (seed, salt, doc, at) sorted so -> matches (doc, tags, home, xy), and for salted seeds also the rows of each
-    share's home (with the seed, and no home). Nothing is held but the rows of a seed's home and of the last document."""
+    share's home (with the seed, and no home; of occurrences that overlap, the first). Nothing is held but the rows of a seed's home and of the last document."""
     names = ["seed", "salt", "doc", "at"]
 
     def run(batches):
@@ -160,7 +160,7 @@ def _matches_of(k: int):
                 p = p[i]
                 y = place[first[p] + np.where(nth[i] < n[p], nth[i], 0)]
                 out.append((doc[i], tag[i] << 16 | tag[first[p]], doc[first[p]], place[i] << 32 | y))
-            lead = np.flatnonzero(fresh & (salt > 0) & (doc == doc[first[home[of]]]))
+            lead = np.flatnonzero(fresh & (salt > 0) & ~over & (doc == doc[first[home[of]]]))
             cols = [np.concatenate(x) for x in zip(*out, strict=True)]
             none = np.zeros(len(cols[0]) + len(lead), bool)
             none[: len(cols[0])] = True
@@ -553,10 +553,9 @@ def drop_repeats(docs: DataFrame, k: int = 6, window: int = 5, min_words: int =
     """docs without their repeated passages: the text is cut, n_chars (if there) counted anew, all other columns
     kept; documents of which nothing but white space stays are dropped. Rows that repeat a doc_id are told apart by their texts."""
     found = repeated_passages(docs, k, window, min_words, percent)
-    cuts = found.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).agg(F.collect_set(F.struct("start_byte", "end_byte")).alias("_cuts"))
-    cuts = materialize(cuts, "cuts")
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_tkey"))
-    with_cuts = docs.join(sized(cuts, 20 * cuts.count()), same, "left").select(*(docs[c] for c in docs.columns), "_cuts")
+    cuts = materialize(found.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start_byte", "end_byte")).alias("_cuts")), "cuts")
+    same = (docs["doc_id"].cast("long") == cuts["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == cuts["tkey"])
+    with_cuts = docs.join(sized(cuts, 20 * cuts.count()), same, "left").select(*(docs[c] for c in docs.columns), cuts["_cuts"])
     hit = with_cuts.where("_cuts is not null").mapInArrow(_cut, docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -59,7 +59,7 @@ def test_components(spark):
 
 
 def test_jaccard_edges(spark, edge, none):
-    rows = collections.Counter(map(tuple, ngram_jaccard.ngram_jaccard(edge, 3, 90).collect()))
+    rows = collections.Counter(map(tuple, ngram_jaccard.ngram_jaccard(edge, 3, 90, sizes=True).collect()))
     assert rows[(1, 0, 1, 1)] == rows[(2, 0, 2, 1)] == rows[(6, 0, 6, 1)] == 1
     assert rows[(3, 1, 3, 2)] == 2
     assert rows[(None, 4, 7, 3)] == 1 and rows[(7, 4, 7, 3)] == 1 and rows[(8, 4, 7, 3)] == 1
@@ -483,7 +483,11 @@ def test_pipeline(spark, data, edge):
     first = corpus_pipeline.STAGES[0][1](spark, docs, data)
     assert first.columns == docs.columns and 0 < first.count() <= docs.count()
     near = corpus_pipeline.STAGES[1][1](spark, edge, data)
-    assert sorted((r.doc_id for r in near.collect()), key=str) == sorted([1, 2, 3, 3, None, 4, 6, 7], key=str)
+    # one row of equal rows under an id, and none of a null id beside its equals
+    assert sorted(r.doc_id for r in near.collect()) == [1, 2, 3, 4, 6, 7]
+    odd = spark.createDataFrame([(5, "a b c d e f g"), (5, "q r s t u v w"), (2, "Q r s t u v w"), (None, "n n n"), (None, "n n n"), (9, None), (9, "")], "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.STAGES[1][1](spark, odd, data).collect()), key=str)
+    assert left == sorted([(5, "a b c d e f g"), (2, "Q r s t u v w"), (None, "n n n"), (9, None), (9, "")], key=str)
     assert corpus_pipeline.run(spark, data).count() > 0
 
 
