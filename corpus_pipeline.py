@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovegrid.llm import decontamination, ngram_jaccard, packing, quality_classifier, substring_dedup
-from grovegrid.llm.storage import materialize, sized
+from grovegrid.llm.storage import materialize
 
 #: SQL has neither the classifier nor the fuzzy passages nor the packing; the stages are tested one by one.
 ORACLE_SQL = None
@@ -18,10 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest doc_id stays."""
-    groups = ngram_jaccard.ngram_jaccard(docs, k=5, percent=80)
-    gone = materialize(groups.where("component_id <> doc_id").select("doc_id"), "gone")
-    return docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five words, similarity 0.8) one row of the document with the smallest doc_id stays."""
+    return ngram_jaccard.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
