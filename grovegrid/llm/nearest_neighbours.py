@@ -3,14 +3,17 @@
 Vectors are cut into subspaces of `width` components, each with 16 centres (four bits). The error of a
 vector counts `eta` times along the vector itself, since that part changes the large inner products,
 and once across it; centres are fitted and codes chosen by coordinate descent on that loss. A query's
-inner products with all centres form a table per subspace; scans add up table entries, and the best of
-each block of rows are ranked again by exact inner products in double precision.
+inner products with all centres form a table per subspace; scans add up table entries, and of each block
+of rows the best SHARE, at most CANDIDATES (but twice `top` at least), are ranked again by exact inner
+products of the original vectors in double precision.
 
 Centres are fitted on a bounded sample (SAMPLE rows by hash of vec_id); every row is encoded and
-scanned. Queries go in blocks of about QUERIES, each a pass over the index. Vectors that are null, zero
+scanned. Rows are packed to blocks and queries to chunks, which meet in one equi-join on groups of blocks, so
+that neither the plan nor the driver grows with the queries. Vectors that are null, zero
 or hold null or non-finite components take no part, nor do those of another than the most common
 length. Equal vectors within a block of rows are scanned once, and ties go to the smaller vec_id. Rows
-without a vec_id take no part; rows that repeat both columns count once.
+without a vec_id take no part; rows that repeat both columns count once; of several vectors under the vec_id of a
+query the smallest, component by component, is asked.
 """
 
 from __future__ import annotations
@@ -21,16 +24,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import materialize, prepare
+from .storage import arrow_rows, materialize, prepare, release
 
 SAMPLE = 8192
-QUERIES = 4096
-#: Rows that are scanned at once, and the candidates of each such block that are ranked exactly for a query.
-BLOCK, CANDIDATES = 4096, 512
+#: Rows that are scanned at once, queries that are asked at once, and blocks in a group.
+BLOCK, CHUNK, GROUP = 4096, 1024, 16
+#: The share of a block's rows that is ranked exactly for a query, and the most rows of it.
+SHARE, CANDIDATES = 0.05, 100
 
 
 class Quantiser:
-    def __init__(self, width: int = 4, threshold: float = 0.2, sweeps: int = 3, rounds: int = 8):
+    def __init__(self, width: int = 2, threshold: float = 0.2, sweeps: int = 3, rounds: int = 8):
         self.width, self.threshold, self.sweeps, self.rounds = width, threshold, sweeps, rounds
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
@@ -122,12 +126,17 @@ def search_block(model: Quantiser, ids, vectors, packed, q_ids, queries, top: in
     tables = model.tables(queries).astype(np.float32)
     out_q, out_i, out_s = [], [], []
     take = min(candidates, len(first))
+    if not len(first):
+        return [np.zeros(0)] * 3
     for j, qid in enumerate(q_ids.tolist()):
-        score = tables[j, 0][codes[0]]
-        for m in range(1, len(codes)):
-            score += tables[j, m][codes[m]]
-        best = np.argpartition(score, len(score) - take)[len(score) - take :] if take < len(score) else np.arange(len(score))
-        exact = np.einsum("nd,d->n", wide[best], queries[j].astype(np.float64))
+        if j % 64 == 0:
+            asked = tables[j : j + 64]
+            scores = np.take(asked[:, 0], codes[0], axis=1)
+            for m in range(1, len(codes)):
+                scores += np.take(asked[:, m], codes[m], axis=1)
+            bests = np.argpartition(scores, len(first) - take, axis=1)[:, len(first) - take :] if take < len(first) else np.broadcast_to(np.arange(len(first)), scores.shape)
+            exacts = np.einsum("qcd,qd->qc", wide[bests], queries[j : j + 64].astype(np.float64))
+        best, exact = bests[j % 64], exacts[j % 64]
         rank = np.argsort(-exact, kind="stable")[: top + 1]
         got_i, got_s = [], []
         for g, s in zip(best[rank].tolist(), exact[rank].tolist(), strict=True):
@@ -143,15 +152,32 @@ def search_block(model: Quantiser, ids, vectors, packed, q_ids, queries, top: in
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), dim)
+    return np.array(column.flatten().to_numpy(zero_copy_only=False)).reshape(len(column), dim)
 
 
-def _encoded(shared, dim):
+def _packed(dim: int, size: int, shared=None):
+    """Rows (vec_id, v) -> rows of up to `size` of them: ids, vectors and, with a model, codes, as bytes."""
+
     def run(batches):
-        model = shared.value
+        held, rows = [], 0
+
+        def pack():
+            ids, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
+            codes = shared.value.packed(vectors).tobytes() if shared else b""
+            cols = [pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(vectors).tobytes()], pa.binary()), pa.array([codes], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["ids", "vectors", "codes"])
+
         for b in batches:
-            codes = model.packed(_matrix(b.column("v"), dim))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "codes"])
+            lo = 0
+            while lo < b.num_rows:
+                part = b.slice(lo, size - rows)
+                held.append((part.column("vec_id").to_numpy(), _matrix(part.column("v"), dim)))
+                lo, rows = lo + part.num_rows, rows + part.num_rows
+                if rows == size:
+                    yield pack()
+                    held, rows = [], 0
+        if rows:
+            yield pack()
 
     return run
 
@@ -166,68 +192,69 @@ def _best(found: list, top: int) -> list:
     return [q[keep], i[keep], s[keep]]
 
 
-def _scan(shared, dim, top, candidates):
+def _scan(shared, dim: int, kind: str, top: int):
+    """Rows of a block beside a chunk of queries -> the best of the block for each query; results of one chunk are merged."""
+
     def run(batches):
-        model, q_ids, queries = shared.value
-        held, rows, found = [], 0, []
+        found: dict = {}
 
-        def search():
-            ids, vectors, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-            found.append(search_block(model, ids, vectors, codes, q_ids, queries, top, candidates))
-            if len(found) >= 16:
-                found[:] = [_best(found, top)]
+        def merged():
+            for parts in found.values():
+                q, i, s = _best(parts, top)
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(s.astype(np.float64))], ["query_id", "vec_id", "score"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, BLOCK):
-                part = b.slice(lo, BLOCK)
-                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                held.append((part.column("vec_id").to_numpy(), _matrix(part.column("v"), dim), codes))
-                rows += part.num_rows
-                if rows >= BLOCK:
-                    search()
-                    held, rows = [], 0
-        if held:
-            search()
-        if found:
-            q, i, s = _best(found, top)
-            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(s.astype(np.float64))], ["query_id", "vec_id", "score"])
+            for ids, vectors, codes, q_ids, queries in zip(*(b.column(c).to_pylist() for c in ("ids", "vectors", "codes", "q_ids", "q_vectors")), strict=True):
+                ids = np.frombuffer(ids, np.int64)
+                vectors, queries = (np.frombuffer(x, kind).reshape(-1, dim) for x in (vectors, queries))
+                take = max(2 * top, min(CANDIDATES, int(SHARE * len(ids))))
+                parts = found.setdefault(q_ids, [])
+                parts.append(search_block(shared.value, ids, vectors, np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(q_ids, np.int64), queries, top, take))
+                if len(parts) >= 16:
+                    parts[:] = [_best(parts, top)]
+                if len(found) > 8:
+                    yield from merged()
+                    found.clear()
+        yield from merged()
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, candidates: int = CANDIDATES, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, sample: int = SAMPLE) -> DataFrame:
     """vectors(vec_id, embedding), queries(vec_id, embedding) -> query_id, rank, vec_id, score: the rows found with
     the largest inner products, the query's own vec_id left out."""
     spark = vectors.sparkSession
-    prepare(spark, 5000)
+    prepare(spark, 1000)
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
 
     def valid(df: DataFrame) -> DataFrame:
-        v = F.col("embedding").cast("array<float>")
+        v = F.col("embedding").cast(f"array<{kind}>")
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & fine)
 
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = valid(vectors)
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     dim = sizes["d"]
     rows = rows.where(F.size("v") == dim)
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().combine_chunks()
-    model = Quantiser().fit(_matrix(some.column("v").combine_chunks(), dim))
-    index = materialize(rows.mapInArrow(_encoded(spark.sparkContext.broadcast(model), dim), "vec_id long, v array<float>, codes binary"), "index")
-    asked = valid(queries).where(F.size("v") == dim).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // QUERIES))
-    found = None
-    for i in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)) == i).toArrow().sort_by("vec_id").combine_chunks()
-        if block.num_rows:
-            shared = spark.sparkContext.broadcast((model, block.column("vec_id").to_numpy(), _matrix(block.column("v").combine_chunks(), dim)))
-            part = index.mapInArrow(_scan(shared, dim, top, candidates), "query_id long, vec_id long, score double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    model = spark.sparkContext.broadcast(Quantiser().fit(_matrix(some.column("v").combine_chunks(), dim).astype(np.float32)))
+    packed = "ids binary, vectors binary, codes binary"
+    # A block or a chunk is a row of its bytes: 1 to 2 MB for BLOCK vectors of 64 components.
+    index = materialize(rows.mapInArrow(_packed(dim, BLOCK, model), packed), "index")
+    groups = max(1, -(-index.count() // GROUP))
+    asked = valid(queries).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = materialize(asked.mapInArrow(_packed(dim, CHUNK), packed), "asked").select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    pairs = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).join(asked.select("q_ids", "q_vectors", group), "group")
+    found = pairs.drop("group").mapInArrow(_scan(model, dim, "f4" if kind == "float" else "f8", top), "query_id long, vec_id long, score double")
+    with arrow_rows(spark, 16):
+        found = materialize(found.distinct(), "found")
+    release(index)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.select("query_id", "rank", "vec_id", "score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,14 @@ BROADCAST_KEYS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; only where it is unset (tests, local mode) one of our own."""
+    """The folder of `spark.checkpoint.dir`; only where it is unset and the master is local (tests) one of our own. A cluster without one is an error,
+    as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_grovegrid_dir", None)
         if not found:
             found = spark.sparkContext._grovegrid_dir = f"file://{tempfile.mkdtemp(prefix='grovegrid-')}"
@@ -51,6 +55,18 @@ def sized(small: DataFrame, rows: int, limit: int = BROADCAST_KEYS) -> DataFrame
     return F.broadcast(small) if rows <= limit else small
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """What is run inside has Arrow batches of at most so many rows; the session's own value holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
     """Before Python stages: bound the rows of an Arrow batch, since texts can be long (a smaller value that
     the session has is kept), and let workers on this machine find this package where it is not installed."""

@@ -403,6 +403,34 @@ def test_neighbours(spark):
         assert mine.sort_values(["score", "vec_id"], ascending=[False, True]).vec_id.tolist() == mine.vec_id.tolist()
         found += len(set(np.lexsort((np.arange(900), -s))[:20]) & set(mine.vec_id))
     assert found >= 0.9 * 45 * 20
+
+
+@pytest.mark.parametrize("block", [4096, 500])
+def test_recall_with_a_twentieth_ranked_exactly(spark, data, monkeypatch, block):
+    """On all of sf0.1 (2,000 vectors), in one block and in several; at most 5 % of a block's rows, or 2 * top, are ranked exactly."""
+    monkeypatch.setattr(nearest_neighbours, "BLOCK", block)
+    monkeypatch.setattr(nearest_neighbours, "GROUP", 2)
+    table = spark.read.parquet(data.replace("sf0.001", "sf0.1") + "/embeddings.parquet")
+    rows = table.toPandas()
+    x, ids = np.stack(rows.embedding).astype(np.float64), rows.vec_id.to_numpy()
+    got = nearest_neighbours.nearest(table, table.where("vec_id % 20 = 0")).toPandas().groupby("query_id").vec_id.agg(set)
+    found = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(set(ids[np.lexsort((ids, -s))[:20]]) & got[ids[q]])
+    assert len(got) == (ids % 20 == 0).sum() and found >= 0.95 * 20 * len(got)
+
+
+def test_neighbour_edges(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 10)).astype(np.float32)
+    x[5] = x[7] = x[3]
+    rows = [(i, [float(v) for v in r], "a", 1.0) for i, r in enumerate(x)]
+    table = spark.createDataFrame([*rows, (1000, None, "", 0.0)], "vec_id long, embedding array<float>, v string, score double")
+    wide = spark.createDataFrame([(1, [1.0 + 2**-40, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.0]), (3, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.score) for r in nearest_neighbours.nearest(wide, wide.where("vec_id = 2")).orderBy("rank").collect()]
+    assert got == [(2, 3, 2.0), (2, 1, 1.0 + 2**-40), (2, 3, 0.5)]
     assert nearest_neighbours.nearest(table.limit(0), table).count() == 0
     few = table.where("vec_id < 4")
     assert nearest_neighbours.nearest(few, few.where("vec_id = 0")).count() == 3
