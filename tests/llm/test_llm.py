@@ -482,19 +482,85 @@ def test_wrapped_licenses(spark):
     assert [got[i][0] for i in range(1, 9)] == want and got[5][1] == got[7][1] == "inherited"
 
 
-def test_best_window_is_the_best_of_all():
-    t = license_scan.Templates()
-    t.weigh(1000, np.random.default_rng(1).integers(0, 900, len(t.known)))
+def test_best_stretches_are_the_best_of_all():
+    """The bounds leave out nothing: every line and stretch of every text against every template, one by one."""
     rng = np.random.default_rng(2)
-    for n in (1, 4, 30, 120):
-        terms = np.where(rng.random(n) < 0.7, rng.choice(t.known, n), rng.integers(1, 2**63, n).astype(np.uint64))
-        best = 0.0
-        for k, mine in enumerate(t.terms):
-            m = min(len(mine), n)
-            for i in range(n - m + 1):
-                row, length = t.vector(terms[i : i + m])
-                best = max(best, float(t.matrix[k] @ row / length))
-        assert abs(t.best_window(terms)[0] - best) < 1e-9
+    t = license_scan.Templates()
+    t.weigh(1000, rng.integers(0, 900, len(t.known)))
+    rows = []
+    for n in (1, 4, 30, 120, 400, 7, 60):
+        terms = np.where(rng.random(n) < 0.5, rng.choice(t.known, n), rng.integers(1, 2**63, n).astype(np.uint64))
+        some = t.terms[int(rng.integers(len(t.terms)))][: n // 2 + 1]
+        terms[: len(some)] = some
+        rows.append((terms, np.cumsum(rng.random(n) < 0.1)))
+    text = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+    got = t.best(np.concatenate([x for x, _ in rows]), text, np.concatenate([y for _, y in rows]), len(rows), 0.3)
+    for (terms, line), (c, k) in zip(rows, got, strict=True):
+        every = []
+        for j, mine in enumerate(t.terms):
+            m = min(len(mine), len(terms))
+            every += [t.cosine(j, terms[i : i + m]) for i in range(len(terms) - m + 1)] + [t.cosine(j, terms[line == x]) for x in np.unique(line)]
+        assert abs(c - (max(every) if max(every) >= 0.3 else 0.0)) < 1e-9 and (k >= 0) == (max(every) >= 0.3)
+
+
+def plain_licenses(files, least=0.7):
+    """Licences of (id, path, text), worked out file by file with dictionaries."""
+    import math
+
+    def terms(text):
+        found = ("".join(c for c in w if not (33 <= ord(c) < 127 and not c.isalnum())) for w in words(text))
+        return [w for w in found if w]
+
+    templates = [(n, collections.Counter(terms(x)), len(terms(x))) for n, x in license_scan.TEMPLATES]
+    known = {w for _, x, _ in templates for w in x}
+    held = collections.Counter(w for _, _, x in files for w in set(terms(x)) & known)
+    weight = lambda w: math.log((len(files) + 1) / (held[w] + 0.5))
+    length = lambda c: math.sqrt(sum((n * weight(w)) ** 2 for w, n in c.items()))
+    own = {}
+    for i, _, text in files:
+        whole, best = terms(text), (0.0, None)
+        lines = [terms(x) for x in (text or "").split("\n")]
+        for name, t, n in templates:
+            m = min(n, len(whole))
+            for part in [*lines, *(whole[j : j + m] for j in range(len(whole) - m + 1))]:
+                c = collections.Counter(part)
+                if c and (cosine := sum(x * weight(w) ** 2 * t[w] for w, x in c.items()) / length(c) / length(t)) > best[0] + 1e-12:
+                    best = (cosine, name)
+        own[i] = best if best[0] >= least else (None, None)
+    given = {}
+    for i, path, _ in files:
+        if path and own[i][1] and re.match(license_scan.FILE_NAME, path.split("/")[-1]):
+            folder = path.rpartition("/")[0]
+            given[folder] = min(given.get(folder, (9, "", "")), (-own[i][0], path, own[i][1]))
+    out = {}
+    for i, path, _ in files:
+        name, folder = own[i][1], (path or "").rpartition("/")[0]
+        while name is None and path and folder not in given and folder:
+            folder = folder.rpartition("/")[0]
+        out[i] = name or (given[folder][2] if path and folder in given else None)
+    return out, own
+
+
+def test_licenses_against_plain_python(spark, data):
+    import textwrap
+
+    wrap = lambda x, lead="": "\n".join(lead + y for y in textwrap.wrap(x, 72))
+    mit = [x for n, x in license_scan.TEMPLATES if n == "MIT"][-1]
+    bsd = [x for n, x in license_scan.TEMPLATES if n == "BSD-3-Clause"][-1]
+    apache = [x for n, x in license_scan.TEMPLATES if n == "Apache-2.0"]
+    gpl = [x for n, x in license_scan.TEMPLATES if n == "GPL-3.0"][-1]
+    copyright_ = "Copyright (c) 2021 Some Body and others"
+    files = [(1, "mit/LICENSE", f"MIT License\n\n{copyright_}\n\n" + wrap(mit.removeprefix("MIT License "))), (2, "mit/src/a.c", "int main;"), (3, "bsd/COPYING", copyright_ + "\nAll rights reserved.\n\n" + wrap(bsd)), (4, "bsd/x/y/z.py", None),
+             (5, "apache/LICENSE.txt", wrap(apache[-1], "   ") + "\n\n" + wrap(" ".join(some_words(3, 900)))), (6, "apache/a.go", "// " + copyright_ + "\n" + wrap(apache[-2], "// ") + "\n\npackage a"), (7, "gpl/COPYING", wrap(gpl, "    ") + "\n" + wrap(" ".join(some_words(4, 3000)))),
+             (8, "gpl/deep/down/b.rs", "fn"), (9, "", "x"), (10, None, wrap(mit)), (11, "gpl/COPYING", "nothing here"), (12, "two/LICENSE", wrap(mit)), (13, "two/COPYING", wrap(mit)), (14, "two/c", "")]
+    docs = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").select("doc_id", "text").toPandas()
+    files += [(100 + i, f"docs/{i % 7}/{i}.txt", x) for i, x in zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True) if len(x or "") < 3000]
+    got = {r.id: r for r in license_scan.scan_licenses(spark.createDataFrame(files, "id long, path string, text string").repartition(3)).collect()}
+    want, own = plain_licenses(files)
+    assert {i: r.license for i, r in got.items()} == want
+    assert all((r.similarity is None) == (own[i][1] is None) and (r.similarity is None or abs(r.similarity - own[i][0]) < 1e-6) for i, r in got.items())
+    assert [want[i] for i in range(1, 11)] == ["MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", "Apache-2.0", "Apache-2.0", "GPL-3.0", "GPL-3.0", None, "MIT"]
+    assert got[14].license_path == "two/COPYING"
 
 
 def test_licenses(spark):
