@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
+from .spatial import nearest_join
 
 
 def segment(points: DataFrame, **options) -> DataFrame:
@@ -21,6 +22,12 @@ def segment(points: DataFrame, **options) -> DataFrame:
     return points.select("tile_id", "point_id", "x_mm", "y_mm", "z_mm").groupBy("tile_id").applyInPandas(tile, "tile_id string, point_id long, tid long")
 
 
+def propagate(points: DataFrame, labelled: DataFrame, reach: int = 2500) -> DataFrame:
+    """(tile_id, point_id, tid) of the points that join a tree in one round: that of the nearest of labelled(..., tid) at less than reach (ties: lowest id)."""
+    near = nearest_join(points, labelled, reach).select("tile_id", F.col("q_id").alias("point_id"), "p_id")
+    return near.join(labelled.select("tile_id", F.col("point_id").alias("p_id"), "tid"), ["tile_id", "p_id"]).select("tile_id", "point_id", "tid")
+
+
 def hulls(points: DataFrame, keys: tuple[str, ...] = ("tile_id", "tid")) -> DataFrame:
     """Convex hull (ring), area (m2) and centroid (mm) for each tree of three points at least."""
     kinds = dict(points.select(*keys).dtypes)
@@ -135,9 +142,11 @@ def voxel_faces(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def open_edges(faces: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Per solid: faces, undirected edges, edges with an odd number of faces (0: watertight), and six times the volume."""
-    pairs = F.array(*(F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))))
-    edges = faces.select(*keys, F.explode(pairs).alias("e")).groupBy(*keys, "e").agg(F.count(F.lit(1)).alias("n"))
-    edges = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"), F.sum((F.col("n") % 2).cast("long")).alias("n_open"))
+    pairs = F.array(*(F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), F.lit(i).alias("i")) for i, (p, q) in enumerate((("a", "b"), ("b", "c"), ("c", "a")))))
     c = lambda p, q: F.col(f"{p}.{q}")
     six = c("a", "x") * (c("b", "y") * c("c", "z") - c("b", "z") * c("c", "y")) - c("a", "y") * (c("b", "x") * c("c", "z") - c("b", "z") * c("c", "x")) + c("a", "z") * (c("b", "x") * c("c", "y") - c("b", "y") * c("c", "x"))
-    return faces.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_faces"), F.sum(six).alias("six_volume")).join(edges, list(keys))
+    # A face's volume is counted with its first edge, so that one pass over the edges gives all.
+    one = F.when(F.col("e.i") == 0, F.lit(1)).otherwise(F.lit(0))
+    edges = faces.select(*keys, six.alias("six"), F.explode(pairs).alias("e")).groupBy(*keys, "e.u", "e.v")
+    edges = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(one).alias("f"), F.sum(one * F.col("six")).alias("six"))
+    return edges.groupBy(*keys).agg(F.sum("f").cast("long").alias("n_faces"), F.sum("six").alias("six_volume"), F.count(F.lit(1)).alias("n_edges"), F.sum((F.col("n") % 2).cast("long")).alias("n_open"))

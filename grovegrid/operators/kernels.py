@@ -7,13 +7,6 @@ from itertools import product
 import numpy as np
 
 
-def _keys(cells: np.ndarray) -> np.ndarray:
-    low = cells.min(0)
-    size = cells.max(0) - low + 3
-    c = cells - low + 1
-    return (c[:, 0] * size[1] + c[:, 1]) * size[2] + c[:, 2]
-
-
 def close_pairs(q: np.ndarray, p: np.ndarray, cell: int, bound: int, closed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All (i, j, squared distance) with q[i], p[j] within the bound, for bound <= cell**2."""
     if not len(q) or not len(p):
@@ -37,6 +30,61 @@ def close_pairs(q: np.ndarray, p: np.ndarray, cell: int, bound: int, closed: boo
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def pair_blocks(q: np.ndarray, p: np.ndarray, cell: int, bound: int, closed: bool, chunk: int = 8192):
+    """close_pairs for some thousand query points at a time, so that memory does not grow with all pairs."""
+    order = np.lexsort(tuple((q // (8 * cell)).T)) if len(q) else np.zeros(0, np.int64)
+    for lo in range(0, len(q), chunk):
+        mine = order[lo : lo + chunk]
+        low, high = q[mine].min(0) - cell, q[mine].max(0) + cell
+        near = np.flatnonzero(((p >= low) & (p <= high)).all(1))
+        i, j, d2 = close_pairs(q[mine], p[near], cell, bound, closed)
+        yield mine[i], near[j], d2
+
+
+def radius_components(xyz: np.ndarray, radius: int, below: int | None = None) -> np.ndarray:
+    """The lowest index of each point's component in the closed radius graph, or in that of squared distances less than `below`; of each block's pairs only a spanning forest is kept."""
+    edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j, _ in pair_blocks(xyz, xyz, radius, radius * radius if below is None else below, below is None):
+        keep = i < j
+        ids, local = np.unique(np.concatenate((i[keep], j[keep])), return_inverse=True)
+        root = components(len(ids), local[: keep.sum()], local[keep.sum() :])
+        edges.append((ids[root], ids))
+    return components(len(xyz), *(np.concatenate(x) for x in zip(*edges, strict=True)))
+
+
+def filter_vegetation(xyz: np.ndarray, returns: np.ndarray, number: np.ndarray, branches: dict, cell: int = 1500, link: int = 750, least: int = 30, grid: int = 250, reach: int = 600, low: int = -1200, high: int = 2500) -> np.ndarray:
+    """Which points of a tile (in the order of their ids) are vegetation: the core, that is each branch without outliers and small
+    components, and early echoes in its dilated cells with a core point nearer than `reach`. branches: (mask, neighbours, deviations)."""
+    core = np.zeros(len(xyz), bool)
+    for mask, k, sigma in branches:
+        at = np.flatnonzero(mask)
+        mean = mean_knn_distance(xyz[at], k, cell) / 1000
+        known = mean[~np.isnan(mean)]
+        top = known.mean() + sigma * (known.std(ddof=1) if len(known) > 1 else 0.0) if len(known) else 0.0
+        core[at[np.isnan(mean) | (mean <= top)]] = True
+    at = np.flatnonzero(core)
+    root = radius_components(xyz[at], link)
+    core[at[np.bincount(root, minlength=len(at))[root] < least]] = False
+    at, rest = np.flatnonzero(core), np.flatnonzero(~core & (returns < number))
+    if not len(at) or not len(rest):
+        return core
+    r = reach // grid + 1
+    steps = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if (a * a + b * b) * grid * grid <= reach * reach]
+    cells, mine = xyz[at, :2] // grid, xyz[rest, :2] // grid
+    shift, width = min(cells[:, 0].min(), mine[:, 0].min()) - r, max(cells[:, 1].max(), mine[:, 1].max()) + 2 * r + 1 - min(cells[:, 1].min(), mine[:, 1].min())
+    base = min(cells[:, 1].min(), mine[:, 1].min()) - r
+    code = lambda c: (c[:, 0] - shift) * (width + r) + c[:, 1] - base
+    full = np.unique(code(cells))
+    full = np.unique(np.concatenate([full + a * (width + r) + b for a, b in steps]))
+    rest = rest[np.isin(code(mine), full)]
+    for i, j, d2 in pair_blocks(xyz[rest], xyz[at], reach, reach * reach, False):
+        order = np.lexsort((j, d2, i))
+        first = order[np.unique(i[order], return_index=True)[1]]
+        dz = xyz[rest[i[first]], 2] - xyz[at[j[first]], 2]
+        core[rest[i[first][(dz >= low) & (dz <= high)]]] = True
+    return core
+
+
 def mean_knn_distance(xyz: np.ndarray, k: int, cell: int, chunk: int = 4096) -> np.ndarray:
     """Mean distance of each point to its k nearest others (all others, if fewer; nan for a lone point).
 

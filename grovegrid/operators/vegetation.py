@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
-from .spatial import grid_join, nearest_join
+from .spatial import nearest_join
 
 #: branch -> (echo predicate, neighbours, deviations)
 BRANCHES = {"B": ("number_of_returns = 3 AND return_number <= 2", 50, 0.9), "C": ("number_of_returns >= 4 AND return_number <= 3", 32, 1.0)}
@@ -37,14 +38,19 @@ def sor(points: DataFrame, k: int, sigma: float, cell: int = 1500) -> DataFrame:
     return rows.join(stats, "tile_id").withColumn("keep", keep).drop("_mu", "_sd")
 
 
-def component_sizes(points: DataFrame, radius: int = 750) -> DataFrame:
-    """(tile_id, point_id, component, size): components of the closed radius graph within each tile; component is its lowest id."""
+def of_class(points: DataFrame, *classes: int) -> DataFrame:
+    """Points of these classes; none named: all."""
+    return points.where(F.col("classification").isin(*classes)) if classes else points
+
+
+def component_sizes(points: DataFrame, radius: int = 750, below: int | None = None) -> DataFrame:
+    """(tile_id, point_id, component, size): components of the closed radius graph within each tile, or with `below` of squared distances less than
+    it (at most radius squared); component is its lowest id."""
 
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("point_id", ignore_index=True)
         xyz = rows[["x_mm", "y_mm", "z_mm"]].to_numpy()
-        a, b, _ = kernels.close_pairs(xyz, xyz, radius, radius * radius, True)
-        root = kernels.components(len(rows), a, b)
+        root = kernels.radius_components(xyz, radius, below)
         return pd.DataFrame({"tile_id": rows.tile_id, "point_id": rows.point_id, "component": rows.point_id.to_numpy()[root]})
 
     found = points.select("tile_id", "point_id", "x_mm", "y_mm", "z_mm").groupBy("tile_id").applyInPandas(tile, "tile_id string, point_id long, component long")
@@ -84,12 +90,39 @@ def core_points(points: DataFrame, radius: int = 750, least: int = 30) -> DataFr
 
 
 def vegetation(points: DataFrame) -> DataFrame:
-    """The core and the accepted candidates of each tile, with all columns of points."""
-    core = core_points(points).persist()  # used four times
-    return core.unionByName(accepted(candidates(points, core), core).select(*core.columns))
+    """The core and the accepted candidates of each tile, with all columns of points: the steps above in one pass per tile.
+
+    A few other columns go along; of wide tables only coordinates and echoes do, and the rows kept are joined by point.
+    """
+    cols = ["tile_id", "point_id", "x_mm", "y_mm", "z_mm", "return_number", "number_of_returns"]
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("point_id", ignore_index=True)
+        rn, nr = rows.return_number.to_numpy(), rows.number_of_returns.to_numpy()
+        early = rn < nr
+        masks = {"B": early & (nr == 3) & (rn <= 2), "C": early & (nr >= 4) & (rn <= 3)}
+        return rows[kernels.filter_vegetation(rows[["x_mm", "y_mm", "z_mm"]].to_numpy(), rn, nr, [(masks[b], k, s) for b, (_, k, s) in BRANCHES.items()])]
+
+    small = points.select(*cols)
+    if len(points.columns) > 12:
+        return points.join(small.groupBy("tile_id").applyInPandas(tile, small.schema).select("tile_id", "point_id"), ["tile_id", "point_id"], "left_semi")
+    return points.groupBy("tile_id").applyInPandas(tile, points.schema)
 
 
 def radius_pairs(points: DataFrame, radius: int, closed: bool, limit: int | None = None) -> DataFrame:
-    """Per tile the number of ordered pairs of different points within reach, and checks on them."""
-    pairs = grid_join(points, points, radius, closed, limit=limit).where("q_id <> p_id")
-    return pairs.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("d2").alias("sum_d2"), F.countDistinct("q_id").alias("n_points"))
+    """Per tile the number of ordered pairs of different points within reach, and checks on them. Pairs are counted where they are
+    found, some thousand points at a time; none is shuffled."""
+    bound = radius * radius if limit is None else limit
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        xyz, ids = rows[["x_mm", "y_mm", "z_mm"]].to_numpy(), rows.point_id.to_numpy()
+        n = total = 0
+        seen = np.zeros(len(rows), bool)
+        for i, j, d2 in kernels.pair_blocks(xyz, xyz, radius, bound, closed):
+            other = ids[i] != ids[j]
+            n, total = n + int(other.sum()), total + int(d2[other].sum())
+            seen[i[other]] = True
+        return pd.DataFrame({"tile_id": rows.tile_id.iloc[:1], "n_pairs": [n], "sum_d2": [total], "n_points": [int(len(np.unique(ids[seen])))]})
+
+    found = points.select("tile_id", "point_id", "x_mm", "y_mm", "z_mm").groupBy("tile_id").applyInPandas(tile, "tile_id string, n_pairs long, sum_d2 long, n_points long")
+    return found.where("n_pairs > 0")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.points import AOI_SQL, aoi, points, with_points
-from ..operators import cityjson, forest, spatial, vegetation
+from ..operators import cityjson, forest, metrics, spatial, vegetation
 from ..sources import tiles
 from ..streaming.ingest import pending
 
@@ -100,14 +100,36 @@ def radius_pairs_open_sqrt(spark, d):
     return vegetation.radius_pairs(points(spark, d), 1582, False, 2_500_000)
 
 
-@query()
+_SOR = f"""br AS (SELECT *, {_BRANCH} AS branch FROM points WHERE {_BRANCH} IS NOT NULL),
+nn AS (
+  SELECT q.tile_id, q.branch, q.point_id, min((q.x_mm - p.x_mm) ** 2 + (q.y_mm - p.y_mm) ** 2 + (q.z_mm - p.z_mm) ** 2, CASE q.branch WHEN 'B' THEN 50 ELSE 32 END) AS near
+  FROM br q JOIN br p ON q.tile_id = p.tile_id AND q.branch = p.branch AND q.point_id <> p.point_id GROUP BY ALL),
+md AS (SELECT br.tile_id, br.branch, br.point_id, list_sum(list_transform(near, lambda v: sqrt(v))) / len(near) / 1000 AS m FROM br LEFT JOIN nn USING (tile_id, branch, point_id)),
+st AS (SELECT tile_id, branch, avg(m) AS mu, coalesce(stddev_samp(m), 0) AS sd FROM md GROUP BY ALL),
+sor AS (SELECT md.tile_id, point_id, md.branch, m, coalesce(m <= mu + CASE md.branch WHEN 'B' THEN 0.9 ELSE 1.0 END * sd, true) AS keep FROM md JOIN st USING (tile_id, branch))"""
+
+
+def _components_sql(source: str, radius: int) -> str:
+    """Components of the closed radius graph within tiles: cells, edges, and minima passed on until none changes."""
+    cell = ", ".join(f"floor({a}_mm / {radius}.0)::BIGINT AS c{a}" for a in "xyz")
+    return f"""cv AS (SELECT tile_id, point_id, x_mm, y_mm, z_mm, {cell} FROM {source}),
+co AS (SELECT cv.*, cx + i AS nx, cy + j AS ny, cz + k AS nz FROM cv, generate_series(-1, 1) a(i), generate_series(-1, 1) b(j), generate_series(-1, 1) c(k)),
+ce AS (SELECT q.point_id AS a, p.point_id AS b FROM co q JOIN cv p ON q.tile_id = p.tile_id AND nx = p.cx AND ny = p.cy AND nz = p.cz
+  WHERE q.point_id <> p.point_id AND (q.x_mm - p.x_mm) ** 2 + (q.y_mm - p.y_mm) ** 2 + (q.z_mm - p.z_mm) ** 2 <= {radius} ** 2),
+cc(node, label) USING KEY (node) AS (
+  SELECT point_id, point_id FROM cv
+  UNION SELECT ce.b, min(cc.label) FROM cc JOIN ce ON ce.a = cc.node JOIN recurring.cc r ON r.node = ce.b WHERE cc.label < r.label GROUP BY ce.b),
+cs AS (SELECT cv.tile_id, point_id, label AS component, count(*) OVER (PARTITION BY cv.tile_id, label) AS size FROM cc JOIN cv ON point_id = node)"""
+
+
+@query(f"WITH {_SOR} SELECT tile_id, point_id, branch, round(m, 6) AS mean_distance, keep FROM sor")
 def sor_keep(spark, d):
     p = vegetation.echo_branch(points(spark, d))
     parts = [vegetation.sor(p.where(F.col("branch") == b), k, s).select("tile_id", "point_id", "branch", F.round("mean_distance", 6).alias("mean_distance"), "keep") for b, (_, k, s) in vegetation.BRANCHES.items()]
     return parts[0].unionByName(parts[1])
 
 
-@query()
+@query(f"WITH RECURSIVE br AS (SELECT * FROM points WHERE {_BRANCH} IS NOT NULL), {_components_sql('br', 750)} SELECT tile_id, point_id, component, size FROM cs")
 def min_cluster_keep(spark, d):
     p = vegetation.echo_branch(points(spark, d)).where("branch is not null")
     return vegetation.component_sizes(p)
@@ -146,7 +168,12 @@ def bounded_nearest(spark, d):
     return spatial.nearest_join(rest, core, 600)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SOR}, kept AS (SELECT points.* FROM points SEMI JOIN (SELECT * FROM sor WHERE keep) USING (point_id)), {_components_sql('kept', 750)},
+core AS (SELECT kept.* FROM kept SEMI JOIN (SELECT * FROM cs WHERE size >= 30) USING (point_id)),
+early AS (SELECT * FROM points WHERE return_number < number_of_returns AND point_id NOT IN (SELECT point_id FROM core)), {_DIL},
+rest AS (SELECT r.* FROM early r SEMI JOIN dil ON dil.tile_id = r.tile_id AND dil.ix = floor(r.x_mm / 250.0)::BIGINT AND dil.iy = floor(r.y_mm / 250.0)::BIGINT), {_NEAR},
+best AS (SELECT q_id, arg_min(p_id, (d2, p_id)) AS p_id FROM m WHERE d2 < 360000 GROUP BY q_id)
+SELECT * FROM core UNION ALL SELECT rest.* FROM rest JOIN best ON q_id = rest.point_id JOIN core ON core.point_id = p_id WHERE rest.z_mm - core.z_mm BETWEEN -1200 AND 2500""")
 def vegetation_final(spark, d):
     return vegetation.vegetation(points(spark, d))
 
@@ -310,12 +337,77 @@ def cityjson_tile(spark, d):
     return cityjson.documents(solids, _centres(spark, d).drop("tile_id").groupBy("gtid").agg(F.count(F.lit(1)).alias("n_tiles")))
 
 
-@query("WITH v AS (SELECT DISTINCT src_id AS gtid, floor(x_mm / 250.0)::BIGINT AS i, floor(y_mm / 250.0)::BIGINT AS j, floor(z_mm / 250.0)::BIGINT AS k FROM points), c AS (SELECT DISTINCT src_id AS gtid, floor(x_mm / 1000.0)::BIGINT AS i, floor(y_mm / 1000.0)::BIGINT AS j, floor(z_mm / 1000.0)::BIGINT AS k FROM points), a AS (SELECT gtid, count(*) AS occ FROM v GROUP BY 1), b AS (SELECT gtid, count(*) * 64 AS interior FROM c GROUP BY 1) SELECT gtid, round(greatest(0.0, least(1.0, 1 - occ / interior)), 9) AS porosity FROM a JOIN b USING (gtid)")
+_SOLID = "col AS (SELECT tile_id, src_id AS gtid, floor(x_mm / 500.0)::BIGINT AS i, floor(y_mm / 500.0)::BIGINT AS j, min(floor(z_mm / 500.0)::BIGINT) AS low, max(floor(z_mm / 500.0)::BIGINT) AS high FROM points GROUP BY ALL)"
+
+
+@query(f"""WITH {_SOLID}, fine AS (
+  SELECT tile_id, gtid, i * 2 + a AS i, j * 2 + b AS j, unnest(generate_series(low * 2, high * 2 + 1)) AS k FROM col, generate_series(0, 1) u(a), generate_series(0, 1) v(b)),
+occ AS (SELECT DISTINCT tile_id, src_id AS gtid, floor(x_mm / 250.0)::BIGINT AS i, floor(y_mm / 250.0)::BIGINT AS j, floor(z_mm / 250.0)::BIGINT AS k FROM points)
+SELECT tile_id, gtid, count(*) AS interior, count(occ.k) AS occupied, round(greatest(0.0, least(1.0, 1 - count(occ.k) / count(*))), 9) AS porosity FROM fine LEFT JOIN occ USING (tile_id, gtid, i, j, k) GROUP BY ALL""")
 def porosity(spark, d):
+    """Occupied interior voxels of each crown's solid against all interior ones."""
+    return metrics.porosity(_trees(spark, d), ("tile_id", "gtid")).withColumn("porosity", F.round("porosity", 9))
+
+
+@query(f"WITH {_SOLID} SELECT tile_id, gtid, i, j, unnest(generate_series(low, high)) AS k FROM col")
+def crown_solid(spark, d):
+    return metrics.crown_solid(_trees(spark, d), ("tile_id", "gtid"))
+
+
+@query()
+def crown_width(spark, d):
+    h = forest.hulls(_trees(spark, d), ("tile_id", "gtid"))
+    return h.select("tile_id", "gtid", F.round("area_m2", 6).alias("area_m2"), F.round(forest.crown_width(F.col("area_m2")), 6).alias("crown_width_m"))
+
+
+@query()
+def r50(spark, d):
+    return metrics.r50(_trees(spark, d), ("tile_id", "gtid")).withColumn("r50", F.round("r50", 6))
+
+
+@query()
+def tree_metrics(spark, d):
+    return metrics.bundle(_trees(spark, d), forest.min_raster(points(spark, d)))
+
+
+@query()
+def tree_solids(spark, d):
+    """Crown and stem of each tree: faces, open edges (0: closed) and volume."""
     t = _trees(spark, d)
-    occ = forest.voxels(t, 250, ("gtid",)).groupBy("gtid").agg(F.count(F.lit(1)).alias("occ"))
-    solid = forest.voxels(t, 1000, ("gtid",)).groupBy("gtid").agg((F.count(F.lit(1)) * 64).alias("interior"))
-    return occ.join(solid, "gtid").select("gtid", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("occ") / F.col("interior"))), 9).alias("porosity"))
+    m = metrics.bundle(t, forest.min_raster(points(spark, d)), with_r50=False)
+    return forest.open_edges(metrics.solids(t, m, _centres(spark, d)), ("tile_id", "gtid", "role"))
+
+
+@query("SELECT src_id AS gtid, point_id, round(x_mm / 1000.0 - avg(x_mm) OVER w / 1000, 9) + 0.0 AS x, round(y_mm / 1000.0 - avg(y_mm) OVER w / 1000, 9) + 0.0 AS y, round(z_mm / 1000.0 - avg(z_mm) OVER w / 1000, 9) + 0.0 AS z FROM points WINDOW w AS (PARTITION BY src_id)")
+def localize(spark, d):
+    return metrics.localized(_trees(spark, d)).select("gtid", "point_id", *((F.round(a, 9) + 0.0).alias(a) for a in "xyz"))
+
+
+@query("SELECT tile_id, point_id FROM points WHERE classification = 1")
+def class_filter(spark, d):
+    return vegetation.of_class(points(spark, d), 1).select("tile_id", "point_id")
+
+
+@query("""WITH RECURSIVE top AS (SELECT * FROM points QUALIFY (max(z_mm) OVER (PARTITION BY tile_id) - z_mm) // 1500 = 0), """ + _components_sql("top", 1582).replace("<= 1582 ** 2", "< 2500000") + """
+SELECT tile_id, point_id, component, size FROM cs WHERE size >= 3""")
+def slab_cluster_top(spark, d):
+    """Clusters of each tile's top slab."""
+    top = points(spark, d).withColumn("_top", F.max("z_mm").over(W.partitionBy("tile_id"))).where("_top - z_mm < 1500").drop("_top")
+    return vegetation.component_sizes(top, 1582, 2_500_000).where("size >= 3")
+
+
+_FRONT = """seed AS (SELECT * FROM points WHERE return_number = 1 AND number_of_returns >= 4), left_ AS (SELECT * FROM points WHERE return_number > 1 AND number_of_returns >= 4)"""
+
+
+@query(f"""WITH {_FRONT},
+k AS (SELECT *, floor(x_mm / 2500.0)::BIGINT AS cx, floor(y_mm / 2500.0)::BIGINT AS cy, floor(z_mm / 2500.0)::BIGINT AS cz FROM seed),
+o AS (SELECT q.*, floor(x_mm / 2500.0)::BIGINT + i AS nx, floor(y_mm / 2500.0)::BIGINT + j AS ny, floor(z_mm / 2500.0)::BIGINT + l AS nz FROM left_ q, generate_series(-1, 1) a(i), generate_series(-1, 1) b(j), generate_series(-1, 1) c(l)),
+m AS (SELECT o.tile_id, o.point_id, k.point_id AS p_id, k.src_id, ((o.x_mm - k.x_mm) ** 2 + (o.y_mm - k.y_mm) ** 2 + (o.z_mm - k.z_mm) ** 2)::BIGINT AS d2 FROM o JOIN k ON o.tile_id = k.tile_id AND nx = cx AND ny = cy AND nz = cz)
+SELECT tile_id, point_id, arg_min(src_id, (d2, p_id)) AS tid FROM m WHERE d2 < 6250000 GROUP BY tile_id, point_id""")
+def front_propagation(spark, d):
+    """One synchronous round: points not yet in a tree join that of the nearest point that is, at less than 2.5 m."""
+    p = points(spark, d).where("number_of_returns >= 4")
+    return forest.propagate(p.where("return_number > 1"), p.where("return_number = 1").withColumn("tid", F.col("src_id")))
 
 
 @query("SELECT 'segment' AS stage, CASE WHEN n >= 1000 THEN 'ok' ELSE 'small_tile' END AS status, count(*) AS n, sum((n >= 1000)::INT)::BIGINT AS n_worked FROM (SELECT tile_id, count(*) AS n FROM points GROUP BY tile_id) GROUP BY ALL")

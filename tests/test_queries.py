@@ -177,3 +177,90 @@ def test_stream(spark, data, tmp_path):
     schema = ", ".join(f"{n} {t}" for n, t in p.dtypes)
     process_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), schema, echo_counts).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg({"n": "sum"}).first()[0] == p.count()
+
+
+def test_stream_of_two_batches(spark, tmp_path):
+    """A tile whose points come in two batches is processed whole."""
+    from grovegrid.streaming.ingest import echo_counts, process_arrivals
+
+    schema = "tile_id string, point_id long, number_of_returns int"
+    run = lambda: process_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), schema, echo_counts).awaitTermination(90)
+    for rows in ([("000001_000002", i, 1) for i in range(5)] + [("b", 9, 2)], [("000001_000002", i, 1) for i in range(5, 8)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    got = {(r.tile_id, r.n) for r in spark.read.schema("number_of_returns int, n long, tile_id string").parquet(str(tmp_path / "out")).collect()}
+    assert got == {("000001_000002", 8), ("b", 1)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_vegetation_in_one_pass(spark, seed):
+    """The kernel of a tile against the steps as joins."""
+    rng = np.random.default_rng(seed)
+    n = 1500
+    xyz = rng.integers(0, 3500, (n, 3))
+    nr = rng.integers(1, 6, n)
+    rows = [("t" if i % 3 else "u", i, *map(int, xyz[i]), int(rng.integers(1, nr[i] + 1)), int(nr[i]), 1) for i in range(n)]
+    p = spark.createDataFrame(rows, "tile_id string, point_id long, x_mm long, y_mm long, z_mm long, return_number int, number_of_returns int, classification int")
+    core = vegetation.core_points(p)
+    want = sorted(map(tuple, core.unionByName(vegetation.accepted(vegetation.candidates(p, core), core).select(*core.columns)).collect()))
+    assert sorted(map(tuple, vegetation.vegetation(p).collect())) == want
+    if seed == 0:
+        assert 0 < len(want) < n
+
+
+def test_pairs_in_blocks():
+    p = cloud(1) // 8
+    d2 = ((p[:, None] - p[None]) ** 2).sum(2)
+    got = sorted((int(a), int(b)) for i, j, _ in kernels.pair_blocks(p, p, 800, 640_000, True, 50) for a, b in zip(i, j, strict=True))
+    assert got == sorted(map(tuple, np.argwhere(d2 <= 640_000).tolist()))
+    root = kernels.radius_components(p, 800)
+    assert all(root[a] == root[b] for a, b in got) and all(root[r] == r <= i for i, r in enumerate(root))
+
+
+def test_r50_and_porosity_by_hand():
+    """Against every voxel of the solid and every point, one by one."""
+    from grovegrid.operators import metrics
+
+    rng = np.random.default_rng(8)
+    p = rng.integers(-1500, 1500, (40, 3))
+    solid = {}
+    for x, y, z in (p // 500).tolist():
+        low, high = solid.get((x, y), (z, z))
+        solid[x, y] = min(low, z), max(high, z)
+    q = np.array([(x * 500 + a, y * 500 + b, z * 500 + c) for (x, y), (low, high) in solid.items() for z in range(low, high + 1) for a in range(0, 500, 100) for b in range(0, 500, 100) for c in range(0, 500, 100)])
+    want = np.median(np.sqrt(((q[:, None] - p[None]) ** 2).sum(2)).min(1)) / 1000
+    assert abs(metrics.median_gap(p, np.arange(40)) - want) < 1e-9
+    assert np.isnan(metrics.median_gap(p[:0], np.arange(0)))
+    close = np.array([[0, 0, 0], [5, 5, 5], [400, 400, 400]])
+    assert metrics.median_gap(close, np.array([1, 0, 2])) == metrics.median_gap(close[1:], np.arange(2))
+
+
+def test_metrics_and_solids(spark, data):
+    """Every tree has a row; stems and crowns are closed, with the volumes of their shapes."""
+    t = queries._trees(spark, data)
+    got = queries.tree_metrics(spark, data).collect()
+    assert len(got) == t.select("tile_id", "gtid").distinct().count() and got[0].__fields__[2:] == ["crown_width_m", "crown_median_z", "crown_r50_m", "crown_porosity", "trunk_H_m", "trunk_DBH_m", "trunk_radius_m", "trunk_base_height_m"]
+    m = {(r.tile_id, r.gtid): r for r in got}
+    for r in queries.tree_solids(spark, data).collect():
+        assert r.n_open == 0 and r.six_volume > 0
+        if r.role == "trunk":
+            x = m[r.tile_id, r.gtid]
+            prism = 24 / 2 * np.sin(2 * np.pi / 24) * x.trunk_radius_m**2 * x.trunk_H_m
+            assert r.n_faces == 96 and abs(r.six_volume / 6e9 - prism) < 0.2 * prism + 1e-3
+
+
+def test_stem_and_normalized(spark):
+    from pyspark.sql import functions as F
+
+    from grovegrid.operators import metrics
+
+    place = lambda *v: tuple(F.lit(float(c)) for c in v)
+    for base, top in (((0, 0, 0), (0, 0, 9)), ((1, 2, 3), (8, 2, 3)), ((5, 5, 5), (7, 9, 20))):
+        faces = spark.range(1).select("id", F.explode(metrics.stem(place(*base), place(*top), F.lit(2.0))).alias("f")).select("id", *(F.struct(*(F.round(f"f.{c}.{a}", 6).alias(a) for a in "xyz")).alias(c) for c in "abc"))
+        r = forest.open_edges(faces, ("id",)).first()
+        long = np.sqrt(sum((a - b) ** 2 for a, b in zip(base, top, strict=True)))
+        assert r.n_open == 0 and abs(r.six_volume / 6 - 12 * np.sin(np.pi / 12) * 4 * long) < 1e-3
+    assert spark.range(1).select(metrics.stem(place(0, 0, 0), place(0, 0, 0), F.lit(2.0)).alias("f"), metrics.stem(place(0, 0, 0), place(0, 0, 1), F.lit(0.0)).alias("g")).first() == (None, None)
+    rows = spark.createDataFrame([("t", 1, float("nan"), float("inf"), 2.0)], "tile_id string, gtid long, crown_r50_m double, trunk_H_m double, crown_width_m double")
+    r = metrics.normalized(rows).first()
+    assert list(r[:3]) == [1, "t", 2.0] and all(v is None for v in r[3:])
