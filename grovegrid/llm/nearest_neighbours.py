@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .storage import arrow_rows, materialize, prepare, release
 
 SAMPLE = 8192
-#: Rows that are scanned at once, queries that are asked at once, and blocks in a group.
+#: Rows that are scanned at once, queries that are asked at once, and blocks in a group where there are many.
 BLOCK, CHUNK, GROUP = 4096, 1024, 16
 #: The share of a block's rows that is ranked exactly for a query, and the most rows of it.
 SHARE, CANDIDATES = 0.05, 100
@@ -244,7 +244,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, sample: int =
     packed = "ids binary, vectors binary, codes binary"
     # A block or a chunk is a row of its bytes: 1 to 2 MB for BLOCK vectors of 64 components.
     index = materialize(rows.mapInArrow(_packed(dim, BLOCK, model), packed), "index")
-    groups = max(1, -(-index.count() // GROUP))
+    blocks = index.count()
+    groups = max(1, min(blocks, 64), -(-blocks // GROUP))
     asked = valid(queries).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = materialize(asked.mapInArrow(_packed(dim, CHUNK), packed), "asked").select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
