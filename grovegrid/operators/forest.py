@@ -85,9 +85,8 @@ def trunk_base(trees: DataFrame, dtm: DataFrame, cell: int = 500, reach: int = 2
     return pairs.groupBy("tile_id", "gtid").agg(F.min(F.struct("d2", "row", "col", "z_mm")).alias("b")).select("tile_id", "gtid", F.col("b.row").alias("row"), F.col("b.col").alias("col"), F.col("b.z_mm").alias("base_z_mm"))
 
 
-def trunk_base_under(trees: DataFrame, hulls: DataFrame, dtm: DataFrame, cell: int = 500, coarse: int = 4000) -> DataFrame:
-    """For each of trees(tile_id, gtid): of all raster cells of the own tile whose centres lie in or on the tree's hull
-    (hulls: ring counter-clockwise, cx, cy) the one nearest to the centroid (ties: row, then column); nulls if there is none."""
+def cells_under(hulls: DataFrame, dtm: DataFrame, cell: int = 500, coarse: int = 4000) -> DataFrame:
+    """Raster cells of the own tile whose centres (px, py) lie in or on each of hulls(tile_id, gtid, ring counter-clockwise, cx, cy)."""
     one = hulls.select("tile_id", "gtid", "ring", "cx", "cy", *(f(f"ring.{a}_mm").alias(f"{a}{n}") for n, f in enumerate((F.array_min, F.array_max)) for a in "xy"))
     for g, lo, hi in (("gx", "x0", "x1"), ("gy", "y0", "y1")):
         one = one.withColumn(g, F.explode(F.sequence(F.floor(F.col(lo) / coarse), F.floor(F.col(hi) / coarse))))
@@ -95,8 +94,14 @@ def trunk_base_under(trees: DataFrame, hulls: DataFrame, dtm: DataFrame, cell: i
     two = dtm.withColumns({"px": x, "py": y, "gx": F.floor(x / coarse), "gy": F.floor(y / coarse)})
     pairs = one.join(two, ["tile_id", "gx", "gy"]).where("px between x0 and x1 and py between y0 and y1")
     inside = "forall(sequence(0, size(ring) - 1), i -> (ring[(i + 1) % size(ring)].x_mm - ring[i].x_mm) * (py - ring[i].y_mm) - (ring[(i + 1) % size(ring)].y_mm - ring[i].y_mm) * (px - ring[i].x_mm) >= 0)"
+    return pairs.where(F.expr(inside))
+
+
+def trunk_base_under(trees: DataFrame, hulls: DataFrame, dtm: DataFrame, cell: int = 500, coarse: int = 4000) -> DataFrame:
+    """For each of trees(tile_id, gtid): of all raster cells of the own tile whose centres lie in or on the tree's hull
+    (hulls: ring counter-clockwise, cx, cy) the one nearest to the centroid (ties: row, then column); nulls if there is none."""
     d2 = (F.col("cx") - F.col("px")) * (F.col("cx") - F.col("px")) + (F.col("cy") - F.col("py")) * (F.col("cy") - F.col("py"))
-    best = pairs.where(F.expr(inside)).withColumn("d2", d2).groupBy("tile_id", "gtid").agg(F.min(F.struct("d2", "row", "col", "z_mm")).alias("b"))
+    best = cells_under(hulls, dtm, cell, coarse).withColumn("d2", d2).groupBy("tile_id", "gtid").agg(F.min(F.struct("d2", "row", "col", "z_mm")).alias("b"))
     out = trees.select("tile_id", "gtid").distinct().join(best, ["tile_id", "gtid"], "left")
     return out.select("tile_id", "gtid", F.col("b.row").alias("row"), F.col("b.col").alias("col"), F.col("b.z_mm").alias("base_z_mm"))
 

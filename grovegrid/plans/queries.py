@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.points import AOI_SQL, aoi, points, with_points
-from ..operators import cityjson, forest, metrics, spatial, vegetation
-from ..sources import tiles
+from ..operators import cityjson, forest, ground, metrics, spatial, vegetation
+from ..sources import tables, tiles
 from ..streaming.ingest import pending
 
 QUERIES: dict = {}
@@ -383,6 +383,19 @@ def localize(spark, d):
     return metrics.localized(_trees(spark, d)).select("gtid", "point_id", *((F.round(a, 9) + 0.0).alias(a) for a in "xyz"))
 
 
+@query()
+def ground_cloth(spark, d):
+    """Points of the ground by a cloth of 2 m cells."""
+    return ground.classify_ground(points(spark, d), cell=2000).groupBy("tile_id", "classification").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'filter' AS stage, tile_id, CASE WHEN count(*) FILTER (number_of_returns >= 7) >= 1 THEN 'ok' ELSE 'empty_tile' END AS status, count(*) FILTER (number_of_returns >= 7) >= 1 AS did_work, (count(*) FILTER (number_of_returns >= 7)) || ' rows' AS detail FROM points GROUP BY tile_id")
+def tile_outcomes(spark, d):
+    """A row for every tile, also for those that nothing is left of."""
+    p = points(spark, d)
+    return tables.outcomes(p, p.where("number_of_returns >= 7"), "filter")
+
+
 @query("SELECT tile_id, point_id FROM points WHERE classification = 1")
 def class_filter(spark, d):
     return vegetation.of_class(points(spark, d), 1).select("tile_id", "point_id")

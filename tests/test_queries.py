@@ -264,3 +264,94 @@ def test_stem_and_normalized(spark):
     rows = spark.createDataFrame([("t", 1, float("nan"), float("inf"), 2.0)], "tile_id string, gtid long, crown_r50_m double, trunk_H_m double, crown_width_m double")
     r = metrics.normalized(rows).first()
     assert list(r[:3]) == [1, "t", 2.0] and all(v is None for v in r[3:])
+
+
+def test_ground_by_cloth(spark):
+    """A gentle slope with boxes on it: the slope is ground, the boxes' tops are not."""
+    from grovegrid.operators import ground
+
+    rng = np.random.default_rng(1)
+    xy = rng.integers(0, 30000, (4000, 2))
+    box = ((xy // 1000) % 10 < 3).all(1)
+    z = xy[:, 0] // 30 + np.where(box, 4000, 0)
+    rows = [("t", i, int(x), int(y), int(h), 0, "k") for i, ((x, y), h) in enumerate(zip(xy, z, strict=True))]
+    p = spark.createDataFrame(rows, "tile_id string, point_id long, x_mm long, y_mm long, z_mm long, classification int, other string")
+    got = ground.classify_ground(p, cell=1000).toPandas().set_index("point_id").sort_index()
+    assert list(got.columns) == [c for c in p.columns if c != "point_id"]
+    assert (got.classification.to_numpy()[~box] == 2).mean() > 0.9 and (got.classification.to_numpy()[box] == 1).mean() > 0.9
+
+
+def test_tables_of_a_case(spark, data, tmp_path):
+    from grovegrid.sources import tables
+
+    case = tables.Case(spark, str(tmp_path), "town")
+    p = points(spark, data)
+    case.write(p, "points")
+    assert case.read("points").count() == p.count() and case.tiles() == sorted(r[0] for r in p.select("tile_id").distinct().collect())
+    case.write(p.limit(5), "points", overwrite=False)
+    assert case.read("points").count() == p.count() and not case.exists("dtm")
+    with pytest.raises(ValueError):
+        case.read("no such table")
+    t = queries._trees(spark, data)
+    ids = forest.number_trees(t)
+    tables.write_gtid_map(ids, str(tmp_path / "map"))
+    assert sorted(map(tuple, tables.read_gtid_map(spark, str(tmp_path / "map")).collect())) == sorted(map(tuple, ids.select("tile_id", "tid", "gtid").collect()))
+    tables.write_segmentation(t, str(tmp_path / "seg"))
+    back = tables.read_segmentation(spark, str(tmp_path / "seg"))
+    assert back.count() == t.count() and back.agg({"x_mm": "sum"}).first()[0] == t.agg({"x_mm": "sum"}).first()[0]
+    assert back.groupBy("tile_id").agg({"tid": "min"}).select("min(tid)").distinct().collect() == [(0,)]
+    tables.write_coloured(t, str(tmp_path / "rgb"))
+    assert all(len(r.value.split()) == 6 and all(0 <= int(c) < 256 for c in r.value.split()[3:]) for r in spark.read.text(str(tmp_path / "rgb")).limit(50).collect())
+    hulls = forest.hulls(t)
+    tables.write_hulls(hulls, str(tmp_path / "hulls"))
+    texts = [f.read_text() for f in (tmp_path / "hulls").rglob("*.txt")]
+    assert sum(len(json.loads(x)["features"]) for x in texts) == hulls.count() and all(g["geometry"]["coordinates"][0][0] == g["geometry"]["coordinates"][0][-1] for x in texts for g in json.loads(x)["features"])
+    dtm = forest.min_raster(p)
+    tables.write_raster(dtm, str(tmp_path / "dtm"))
+    cells = {(r.tile_id, r.row, r.col): r.z_mm for r in dtm.collect()}
+    n = 0
+    for f in (tmp_path / "dtm").rglob("*.txt"):
+        lines = f.read_text().splitlines()
+        head = dict(x.split() for x in lines[:6])
+        tile, rows = f.parent.name.split("=")[1], lines[6:]
+        assert len(rows) == int(head["nrows"])
+        r0, c0 = round(float(head["yllcorner"]) / 0.5), round(float(head["xllcorner"]) / 0.5)
+        for i, line in enumerate(rows):
+            for j, v in enumerate(line.split()):
+                if v != "-9999":
+                    n += 1
+                    assert cells[tile, r0 + len(rows) - 1 - i, c0 + j] == round(float(v) * 1000)
+    assert n == len(cells)
+    under = tables.read_raster_under(dtm, forest.hulls(t, ("tile_id", "gtid")))
+    assert under.join(dtm, ["tile_id", "row", "col", "z_mm"], "left_anti").isEmpty() and not under.isEmpty()
+    tables.write_documents(queries.cityjson_tile(spark, data), str(tmp_path / "city"))
+    assert all(json.loads(f.read_text())["type"] == "CityJSON" for f in (tmp_path / "city").rglob("*.txt"))
+    (tmp_path / "index.json").write_text(json.dumps({"features": [{"properties": {"GT_AHNSUB": "37EN1"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [10.5, 0], [10.5, -4], [0, 0]]]}}]}))
+    assert [tuple(r) for r in tables.tile_catalog(spark, str(tmp_path / "index.json")).collect()] == [("37EN1", 0.0, -4.0, 10.5, 0.0)]
+
+
+def test_fetch(spark, tmp_path):
+    import io
+    import urllib.error
+
+    from grovegrid.sources import tables
+
+    def opener(url, timeout):
+        if url.endswith("missing"):
+            raise urllib.error.HTTPError(url, 404, "", None, None)
+        if url.endswith("broken"):
+            raise OSError("reset")
+        return io.BytesIO(b"x" * 10)
+
+    target = str(tmp_path / "a" / "b.laz")
+    assert tables.fetch("http://h/b.laz", target, opener=opener) == ("ok", True, target)
+    assert tables.fetch("http://h/b.laz", target, opener=opener)[:2] == ("exists", False)
+    assert tables.fetch("http://h/missing", str(tmp_path / "c"), opener=opener)[:2] == ("not_in_coverage", False)
+    assert tables.fetch("http://h/broken", str(tmp_path / "d"), opener=opener) == ("download_failed", False, "reset")
+    assert sorted(f.name for f in tmp_path.rglob("*") if f.is_file()) == ["b.laz"]
+    source = tmp_path / "src"
+    source.mkdir()
+    (source / "t1.laz").write_bytes(b"1")
+    rows = [("t1", f"file://{source}/t1.laz", True), ("t1", f"file://{source}/t1.lax", False), ("t2", f"file://{source}/t2.laz", True)]
+    got = {r.tile_id: (r.status, r.did_work) for r in tables.fetch_tiles(spark.createDataFrame(rows, "tile_id string, url string, required boolean"), str(tmp_path / "tiles")).collect()}
+    assert got == {"t1": ("ok", True), "t2": ("download_failed", False)}
