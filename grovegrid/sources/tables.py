@@ -150,7 +150,7 @@ def write_raster(dtm: DataFrame, path: str, cell: int = 500, nodata: int = -9999
     box = dtm.groupBy("tile_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     rows = dtm.groupBy("tile_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "z_mm"))).alias("m"))
     every = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).join(rows, ["tile_id", "row"], "left")
-    value = F.transform(F.sequence("c0", "c1"), lambda c: F.coalesce(F.format_string("%.3f", F.col("m")[c] / 1000.0), F.lit(str(nodata))))
+    value = F.transform(F.sequence("c0", "c1"), lambda c: F.when(F.col("m")[c].isNotNull(), F.format_string("%.3f", F.col("m")[c] / 1000.0)).otherwise(str(nodata)))
     lines = every.select("tile_id", (-F.col("row")).alias("at"), F.array_join(value, " ").alias("value"))
     corner = lambda c: F.format_string("%.3f", F.col(c) * cell / 1000.0)
     head = box.select("tile_id", F.posexplode(F.array(
