@@ -148,7 +148,8 @@ def test_fast_ids_equal_the_tokenizer():
 def test_decontamination_edges(spark, edge, none):
     items = spark.createDataFrame([(1, "A b c D e f"), (2, None), (3, ""), (4, "one"), (5, LONG[:300]), (5, "zz")], "item_id long, text string")
     hits = sorted(map(tuple, decontamination.contained(edge, items).collect()), key=str)
-    assert hits == sorted([(None, 1, 2, 2), (7, 1, 2, 2), (8, 1, 2, 2), (3, 4, 1, 1), (3, 4, 1, 1), *((d, 5, n, n) for d in (4, 5) for n in [len(words(LONG[:300])) - 4] if LONG[:300].endswith(" "))], key=str) or {h[:2] for h in hits} >= {(None, 1), (7, 1), (8, 1), (3, 4), (4, 5), (5, 5)}
+    assert collections.Counter(h[:2] for h in hits) == collections.Counter([(None, 1), (7, 1), (8, 1), (3, 4), (3, 4), (4, 5), (5, 5)])
+    assert {h for h in hits if h[1] != 5} == {(None, 1, 2, 2), (7, 1, 2, 2), (8, 1, 2, 2), (3, 4, 1, 1)}
     left = decontamination.decontaminate(edge, items)
     assert left.columns == edge.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 6]
     assert decontamination.contained(none, items).count() == 0 and decontamination.contained(edge, items.limit(0)).count() == 0
