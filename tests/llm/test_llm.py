@@ -372,7 +372,7 @@ def test_language_model(spark, edge, none):
 
 def test_language_model_sums_to_one_and_windows():
     sample = np.random.default_rng(2).integers(0, 50, (40, lm_scoring.WINDOW + 1))
-    model = lm_scoring.AttentionModel(sample, 60, np.arange(60) % 2, 59)
+    model = lm_scoring.AttentionModel(np.bincount(sample.ravel(), minlength=60), np.arange(60) % 2)
     pairs = np.zeros((lm_scoring.KEPT + 2, lm_scoring.KEPT + 1), np.int64)
     np.add.at(pairs, (model.slot[sample[:, :-1]].ravel(), model.slot[sample[:, 1:]].ravel()), 1)
     model.set_counts(np.bincount(sample.ravel(), minlength=60), pairs)
@@ -606,7 +606,7 @@ def test_jaccard_keys_are_linear_and_lose_no_link():
 def test_language_model_scores_equal_the_forward_pass():
     rng = np.random.default_rng(8)
     sample = rng.integers(0, 90, (64, lm_scoring.WINDOW + 1))
-    model = lm_scoring.AttentionModel(sample, 100, np.arange(100) % 2, 99)
+    model = lm_scoring.AttentionModel(np.bincount(sample.ravel(), minlength=100), np.arange(100) % 2)
     pairs = np.zeros((lm_scoring.KEPT + 2, lm_scoring.KEPT + 1), np.int64)
     np.add.at(pairs, (model.slot[sample[:, :-1]].ravel(), model.slot[sample[:, 1:]].ravel()), 1)
     model.set_counts(np.bincount(sample.ravel(), minlength=100), pairs)
@@ -624,3 +624,35 @@ def test_language_model_scores_equal_the_forward_pass():
                 t, b = mine[a + p], before[0, p]
                 total += np.log(z[p, model.to_class[t]]) + model.inner[b, model.slot[t]] + model.single[t] - model.prior[b, model.to_class[t]]
         assert got[i] == pytest.approx(total / np.log(10), rel=1e-4)
+
+
+def test_language_model_learns_from_windows_in_proportion(spark):
+    kind, rng = np.dtype("<u2"), np.random.default_rng(4)
+    texts = [rng.integers(0, 200, int(n)).astype(kind) for n in (1, 31, 32, 33, 64, 65, 700, 9000)]
+    rows = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "h long, ids binary")
+    form = "shard long, key long, ids binary"
+    every = [np.frombuffer(r.ids, np.int32) for r in rows.mapInArrow(lm_scoring._windows_to_learn(5, 1, kind), form).collect()]
+    want = []
+    for t in texts:
+        seq = np.concatenate(([-2], t.astype(np.int32), np.full(lm_scoring.WINDOW, -1, np.int32)))
+        want += [seq[j : j + lm_scoring.WINDOW + 1] for j in range(0, len(t), lm_scoring.WINDOW)]
+    assert sorted(map(tuple, every)) == sorted(map(tuple, want))
+    some = rows.mapInArrow(lm_scoring._windows_to_learn(5, 4, kind), form)
+    assert len(want) / 6 < some.count() < len(want) / 3
+    assert {r.shard for r in some.collect()} <= set(range(5))
+
+
+def test_language_model_takes_the_mean_of_shards_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FAN", 2)
+    rng = np.random.default_rng(6)
+    model = lm_scoring.AttentionModel(np.arange(60), np.arange(60) % 2)
+    model.set_counts(np.arange(60), np.ones((lm_scoring.KEPT + 2, lm_scoring.KEPT + 1), np.int64))
+    rows = [(s, k, rng.integers(0, 60, lm_scoring.WINDOW + 1).astype(np.int32).tobytes()) for s in range(5) for k in range(s + 1)]
+    total = 0.0
+    for s in range(5):
+        alone = lm_scoring.AttentionModel(np.arange(60), np.arange(60) % 2)
+        alone.prior = model.prior
+        alone.fit(np.array([np.frombuffer(i, np.int32) for t, _, i in rows if t == s], np.int64))
+        total = total + (s + 1) * np.frombuffer(alone.weights(), np.float32).astype(float)
+    got = lm_scoring.learn(model, spark.createDataFrame(rows, "shard long, key long, ids binary"), 5, rounds=1)
+    assert np.allclose(np.frombuffer(got.weights(), np.float32), total / 15, atol=1e-4)
