@@ -30,11 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: a lost executor costs no recomputation.
+
+    row_group: bytes of a row group, which a writing task holds in memory; for tables of whole texts.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/grovegrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._grovegrid_path = path
     return out

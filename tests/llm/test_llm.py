@@ -656,3 +656,13 @@ def test_language_model_takes_the_mean_of_shards_in_steps(spark, monkeypatch):
         total = total + (s + 1) * np.frombuffer(alone.weights(), np.float32).astype(float)
     got = lm_scoring.learn(model, spark.createDataFrame(rows, "shard long, key long, ids binary"), 5, rounds=1)
     assert np.allclose(np.frombuffer(got.weights(), np.float32), total / 15, atol=1e-4)
+
+
+def test_key_index_finds_every_key():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 1000, 5000):
+        keys = np.unique(np.concatenate((rng.integers(0, 2**64, n, np.uint64), np.array([0, 2**64 - 1] if n > 2 else [], np.uint64))))
+        asked = np.concatenate((keys, rng.integers(0, 2**64, 500, np.uint64), np.array([0, 1, 2**63, 2**64 - 1], np.uint64)))
+        at, hit = lm_scoring.KeyIndex(keys).find(asked)
+        assert hit.tolist() == np.isin(asked, keys).tolist()
+        assert (keys[at[hit]] == asked[hit]).all()
