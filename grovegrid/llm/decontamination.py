@@ -4,9 +4,11 @@ An item of q distinct k-word shingles is found in a document that holds at least
 Items are partitioned by q: of each, the sketch keeps the q - ceil(q * percent / 100) + 1 smallest
 shingle hashes (a bottom-m MinHash whose m follows the size). A document that holds enough of the
 item's shingles misses at most q - ceil(...) of them, hence holds one of the sketch: nothing is missed,
-however short the item and long the document. Documents are streamed past the sketches; a document's
-shingles above the largest sketch value are skipped, and each pair found is verified on the words
-themselves. Items are taken in blocks of bounded size, each broadcast to one pass over the documents.
+however short the item and long the document. Items of q from 2^b to 2^(b+1) - 1 are a partition with
+an index of its own: the larger its items, the smaller the share of the hash range that its sketches
+take up. Documents are streamed past the partitions; in each, a document's shingles above the
+partition's largest sketch value are skipped, and so are documents with fewer shingles than an item of
+that size needs. Each pair found is verified on the words themselves. Items are taken in blocks of bounded size, each broadcast to one pass over the documents.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. A text of fewer than k words is one shingle; a text
 without words (or null) is never found and contains nothing. Repeated rows are each judged.
@@ -33,13 +35,33 @@ def _shingle_bytes(words: K.Words, text: int, k: int, at: int) -> bytes:
     return b" ".join(K.LOWER[words.data[words.start[j] : words.end[j]]].tobytes() for j in range(first, min(first + k, hi)))
 
 
+class Partition:
+    """The sketches of the items of a band of sizes."""
+
+    def __init__(self, keys: list[np.ndarray], owners: list[np.ndarray], need: list[int]):
+        keys, owners, need = np.concatenate(keys), np.concatenate(owners), np.repeat(need, [len(k) for k in keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners, self.need = keys[order], owners[order], need[order]
+        self.top, self.least = self.keys[-1], int(self.need.min())
+
+    def pairs(self, h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) for hashes h of texts doc, whose numbers of shingles are in size, that meet a sketch."""
+        near = (h <= self.top) & (size[doc] >= self.least)
+        h, doc = h[near], doc[near]
+        lo, hi = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
+        found = set()
+        for d, a, b in zip(doc[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            found.update((d, o) for o, n in zip(self.owners[a:b].tolist(), self.need[a:b].tolist(), strict=True) if size[d] >= n)
+        return found
+
+
 class Items:
-    """Sketches of a block of items."""
+    """Partitions by size of a block of items."""
 
     def __init__(self, rows: list[tuple], k: int, percent: int):
         self.k, self.percent = k, percent
         self.ids, self.sets, self.known = [], [], []
-        keys, owners = [], []
+        bands: dict[int, tuple[list, list, list]] = {}
         for _, _, words in K.texts(pa.array([t for _, t in rows], pa.string())):
             h, off = K.shingle_hashes(words, k)
             for i in range(len(off) - 1):
@@ -50,28 +72,24 @@ class Items:
                 self.sets.append(s)
                 self.known.append({_shingle_bytes(words, i, k, int(j)) for j in first})
                 if q:
-                    sketch = s[: q + (-q * percent // 100) + 1]
-                    keys.append(sketch)
-                    owners.append(np.full(len(sketch), n))
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owners = keys[order], owners[order]
-        self.top = self.keys[-1] if len(keys) else np.uint64(0)
+                    need = -(-q * percent // 100)
+                    keys, owners, needs = bands.setdefault(q.bit_length(), ([], [], []))
+                    keys.append(s[: q - need + 1])
+                    owners.append(np.full(len(keys[-1]), n))
+                    needs.append(need)
+        self.partitions = [Partition(*bands[b]) for b in sorted(bands)]
         self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        for p in self.partitions:
+            self.filter[(p.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def search(self, words: K.Words):
         """(text, item, shingles shared) for the pairs with enough of the item's shingles."""
         h, off = K.shingle_hashes(words, self.k)
-        if not len(self.keys) or not len(h):
+        if not self.partitions or not len(h):
             return
         at = np.flatnonzero(self.filter[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        at = at[h[at] <= self.top]
-        lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-        doc = np.searchsorted(off, at, "right") - 1
-        pairs = sorted({(d, int(o)) for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True) for o in self.owners[a:b]})
+        doc, size = np.searchsorted(off, at, "right") - 1, np.diff(off)
+        pairs = sorted(set().union(*(p.pairs(h[at], doc, size) for p in self.partitions)))
         for d, item in pairs:
             mine = h[off[d] : off[d + 1]]
             spot = np.searchsorted(self.sets[item], mine)

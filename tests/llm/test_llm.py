@@ -666,3 +666,25 @@ def test_key_index_finds_every_key():
         at, hit = lm_scoring.KeyIndex(keys).find(asked)
         assert hit.tolist() == np.isin(asked, keys).tolist()
         assert (keys[at[hit]] == asked[hit]).all()
+
+
+def test_items_of_all_sizes_against_plain_sets(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    made = lambda n: [str(x) for x in rng.choice(vocabulary, int(n))]
+    items = [made(n) for n in (1, 2, 4, 5, 6, 7, 9, 12, 20, 40, 90, 200, 400) for _ in range(3)]
+    docs = []
+    for item in items:
+        for share in (0.0, 0.04, 0.1):
+            body = [w if rng.random() >= share else "changed" for w in item]
+            docs.append(made(rng.integers(0, 300)) + body + made(rng.integers(0, 40)))
+    docs += [item[: int(len(item) * 0.82) + 4] for item in items] + [item[: len(item) // 2] for item in items]
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+    want = set()
+    for i, a in enumerate(map(shingles, docs)):
+        for j, b in enumerate(map(shingles, items)):
+            if 100 * len(a & b) >= 80 * len(b):
+                want.add((i, j, len(b), len(a & b)))
+    table = lambda rows, name: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{name} long, text string")
+    got = decontamination.contained(table(docs, "doc_id"), table(items, "item_id")).collect()
+    assert len(want) > 80 and set(map(tuple, got)) == want and len(got) == len(want)
