@@ -16,6 +16,7 @@ blocked, and any other allowed.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +32,9 @@ LISTED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-w
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _single_bits() -> Column:
-    return F.array(*(F.lit((1 << j) - (1 << 64 if j == 63 else 0)).cast("long") for j in range(64)))
+def _literals(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
+    """A column of a few given strings, as literals of the plan."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")).alias(name))
 
 
 class Level:
@@ -56,7 +58,7 @@ class Level:
         out = F.lit(True)
         for p in self._places(key):
             word = F.get(self.column, F.shiftright(p, 6).cast("int"))
-            out = out & (word.bitwiseAND(F.get(_single_bits(), p.bitwiseAND(F.lit(63)).cast("int"))) != 0)
+            out = out & (F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) != 0)
         return out
 
     def fix(self) -> Level:
@@ -122,10 +124,11 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     size = rows.count() * max(1, len(keys), len(parents))
     sets, verdicts = [], sorted({v for _, _, v in rules})
     for v in verdicts:
-        table = spark.createDataFrame([(a + b,) for a, b, x in rules if x == v], "key string")
+        table = _literals(spark, "key", [a + b for a, b, x in rules if x == v])
         sets.append(Cascade(table, rule_keys, size))
-    fits = [F.array_max(F.transform(F.filter("__keys", c.has), lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))) for c in sets]
-    best = F.array_max(F.array_compact(F.array(*(F.when(f.isNotNull(), F.struct(f["n"].alias("n"), f["k"].alias("k"), F.lit(v).alias("v"))) for f, v in zip(fits, verdicts, strict=True)))))
+    # One expression for each key, as the subqueries of a cascade cannot stand within higher-order functions.
+    fits = [F.when(k.isNotNull() & c.has(k), F.struct(F.length(k).alias("n"), k.alias("k"), F.lit(v).alias("v"))) for c, v in zip(sets, verdicts, strict=True) for k in keys]
+    best = F.array_max(F.array_compact(F.array(*fits))) if fits else None
     try:
         blocked = Cascade(hosts.select(F.col("host").alias("key")), host_keys, size)
     except OverflowError:  # too long a list for a projection
@@ -135,15 +138,15 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
         rows = rows.join(bad, "__host", "left")
         on_list = F.coalesce("__bad", F.lit(False))
     else:
-        on_list = F.exists("__hosts", blocked.has)
-    out = rows.withColumn("__best", best if sets else F.lit(None).cast("struct<n:int,k:string,v:string>"))
+        on_list = functools.reduce(Column.__or__, (blocked.has(x) for x in parents), F.lit(False))
+    out = rows.withColumn("__best", best if fits else F.lit(None).cast("struct<n:int,k:string,v:string>"))
     out = out.withColumns({"host": h, "path": p, "rule": F.col("__best.k"), "verdict": F.coalesce("__best.v", F.when(on_list, "block").otherwise("allow"))})
     return out.drop("__host", "__path", "__keys", "__hosts", "__best", "__bad")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = spark.createDataFrame([(x,) for x in LISTED], "host string")
+    listed = _literals(spark, "host", LISTED)
     return url_filter(pages, RULES, listed).drop("url")
 
 

@@ -688,3 +688,14 @@ def test_items_of_all_sizes_against_plain_sets(spark):
     table = lambda rows, name: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{name} long, text string")
     got = decontamination.contained(table(docs, "doc_id"), table(items, "item_id")).collect()
     assert len(want) > 80 and set(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_thousands_of_listed_hosts(spark):
+    rng = np.random.default_rng(3)
+    hosts = [f"h{i}.{'abc'[i % 3]}.example.net" for i in range(0, 9000, 3)] + [f"s{i}.org" for i in range(1000)]
+    asked = [f"{p}{h}" for p in ("", "x.", "x") for h in (f"h{int(i)}.{'abc'[int(i) % 3]}.example.net" for i in rng.integers(0, 9000, 1500))] + [f"y.s{i}.org" for i in range(0, 2000, 7)]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(asked)], "page_id long, url string")
+    listed = set(hosts)
+    got = url_filter.url_filter(pages, url_filter.RULES, spark.createDataFrame([(h,) for h in hosts], "host string")).collect()
+    parents = lambda h: {".".join(h.split(".")[i:]) for i in range(h.count(".") + 1)}
+    assert {r.page_id: r.verdict for r in got} == {i: "block" if parents(h) & listed else "allow" for i, h in enumerate(asked)}
