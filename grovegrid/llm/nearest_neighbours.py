@@ -9,7 +9,9 @@ products of the original vectors in double precision.
 
 Centres are fitted on a bounded sample (SAMPLE rows by hash of vec_id); every row is encoded and
 scanned. Rows are packed to blocks and queries to chunks, which meet in one equi-join on groups of blocks, so
-that neither the plan nor the driver grows with the queries. Vectors that are null, zero
+that neither the plan nor the driver grows with the queries. It is a sorted merge, never a broadcast: the queries are
+repeated for each group, which the planner does not count. A task holds the blocks of one group (GROUP of them, HELD bytes)
+while the chunks stream by, so that what is found for a chunk is merged over the group. Vectors that are null, zero
 or hold null or non-finite components take no part, nor do those of another than the most common
 length. Equal vectors within a block of rows are scanned once, and ties go to the smaller vec_id. Rows
 without a vec_id take no part; rows that repeat both columns count once; of several vectors under the vec_id of a
@@ -28,7 +30,9 @@ from .storage import arrow_rows, materialize, prepare, release
 
 SAMPLE = 8192
 #: Rows that are scanned at once, queries that are asked at once, and blocks in a group where there are many.
-BLOCK, CHUNK, GROUP = 4096, 1024, 16
+BLOCK, CHUNK, GROUP = 4096, 1024, 64
+#: Groups that there are at least, blocks permitting; bytes of a group, which a task holds; bytes of a row group of blocks.
+GROUPS, HELD, ROW_GROUP = 64, 72 << 20, 16 << 20
 #: The share of a block's rows that is ranked exactly for a query, and the most rows of it.
 SHARE, CANDIDATES = 0.05, 100
 
@@ -243,15 +247,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, sample: int =
     model = spark.sparkContext.broadcast(Quantiser().fit(_matrix(some.column("v").combine_chunks(), dim).astype(np.float32)))
     packed = "ids binary, vectors binary, codes binary"
     # A block or a chunk is a row of its bytes: 1 to 2 MB for BLOCK vectors of 64 components.
-    index = materialize(rows.mapInArrow(_packed(dim, BLOCK, model), packed), "index")
+    index = materialize(rows.mapInArrow(_packed(dim, BLOCK, model), packed), "index", ROW_GROUP, wide=True)
     blocks = index.count()
-    groups = max(1, min(blocks, 64), -(-blocks // GROUP))
+    most = max(1, min(GROUP, HELD // (BLOCK * dim * (4 if kind == "float" else 8))))
+    groups = max(1, min(blocks, GROUPS), -(-blocks // most))
     asked = valid(queries).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = materialize(asked.mapInArrow(_packed(dim, CHUNK), packed), "asked").select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = materialize(asked.mapInArrow(_packed(dim, CHUNK), packed), "asked", ROW_GROUP, wide=True).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-    pairs = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).join(asked.select("q_ids", "q_vectors", group), "group")
+    # A merge streams its left side and holds the rows of a key on its right.
+    pairs = asked.select("q_ids", "q_vectors", group).hint("merge").join(index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), "group")
     found = pairs.drop("group").mapInArrow(_scan(model, dim, "f4" if kind == "float" else "f8", top), "query_id long, vec_id long, score double")
-    with arrow_rows(spark, 16):
+    with arrow_rows(spark, 4):
         found = materialize(found.distinct(), "found")
     release(index)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -30,14 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, row_group: int | None = None, wide: bool = False) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: a lost executor costs no recomputation.
 
     row_group: bytes of a row group, which a writing task holds in memory; for tables of whole texts.
+    wide: a row is a MB or so. Sizes are looked at after each row, as the first hundred would be a row group and a page.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/grovegrid/{name}-{uuid.uuid4().hex}"
-    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
+    to = df.write.option("parquet.block.size", row_group) if row_group else df.write
+    if wide:
+        to = to.options(**{"parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1})
+    to.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._grovegrid_path = path
     return out

@@ -1,12 +1,14 @@
 """Edge cases, brute-force checks and oracles of the training-data operators."""
 
 import collections
+import glob
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,6 +425,30 @@ def test_recall_with_a_twentieth_ranked_exactly(spark, data, monkeypatch, block)
     assert len(got) == (ids % 20 == 0).sum() and found >= 0.95 * 20 * len(got)
 
 
+def test_neighbours_hold_one_group_of_blocks(spark, monkeypatch):
+    """Queries are repeated for each group: they are never broadcast, and what is found for a chunk is merged over a group's blocks."""
+    N, seen = nearest_neighbours, {}
+
+    def spy(df, name, *a, write=N.materialize, **b):
+        seen[name] = (df._jdf.queryExecution().executedPlan().toString(), out := write(df, name, *a, **b))
+        if name == "index":
+            seen["files"] = [pq.ParquetFile(p) for p in glob.glob(f"{out._grovegrid_path.removeprefix('file://')}/*.parquet")]
+        return out
+
+    monkeypatch.setattr(N, "materialize", spy)
+    for name, value in (("BLOCK", 50), ("CHUNK", 4), ("GROUP", 18), ("GROUPS", 1), ("ROW_GROUP", 8192)):
+        monkeypatch.setattr(N, name, value, raising=False)
+    x = np.random.default_rng(5).standard_normal((900, 10))
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = N.nearest(table, table.where("vec_id % 20 = 0"), top=20)
+    assert got.count() == 45 * 20
+    plan, found = seen["found"]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # 12 chunks and 18 blocks in one group; chunks of which more than 8 are held are given out, and one of them may go on
+    assert found.count() <= 45 * 20 * 1.5
+    assert [f.metadata.num_row_groups > 3 for f in seen["files"]] == [True]
+
+
 def test_neighbour_edges(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((900, 10)).astype(np.float32)
