@@ -24,6 +24,8 @@ by pairs of blocks. Documents under a null doc_id get no links but to equal sets
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import components
-from .storage import materialize, prepare, release, sized
+from .storage import arrow_rows, materialize, prepare, release, sized
 
 U = np.uint64
 
@@ -173,10 +175,11 @@ def _set_rows(k: int, exact: bool):
     return run
 
 
-def near_pairs(cls: list, n: np.ndarray, roots: list, sketches: list, percent: int, every: bool) -> list[tuple]:
-    """Pairs within one key that may link: a spanning forest of them over the roots, or every one across roots."""
+def near_pairs(cls: list, n: np.ndarray, roots: list, sketches: list, percent: int, every: bool):
+    """Pairs (two arrays at a time, some PAIRS of them) within one key that may link: a spanning forest of them over the roots, or every one across roots."""
     width = min(map(len, sketches))
     rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in sketches]).view(np.uint64)
+    cls = np.array(cls, np.int64)
     groups: dict = {}
     for i, r in enumerate(roots):
         groups.setdefault(r, []).append(i)
@@ -187,12 +190,19 @@ def near_pairs(cls: list, n: np.ndarray, roots: list, sketches: list, percent: i
         fits = (d <= (n[others] + n[i]) * (100 - percent) // (100 + percent)) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
         return others[fits]
 
-    out = []
+    one, two, held = [], [], 0
     if every:
         for i in range(len(cls)):
             rest = np.arange(i + 1, len(cls))
-            out += [(cls[i], cls[j]) for j in near(i, rest[root[rest] != root[i]]).tolist()]
-        return out
+            two.append(near(i, rest[root[rest] != root[i]]))
+            one.append(np.full(len(two[-1]), i))
+            held += len(two[-1])
+            if held >= PAIRS:
+                yield cls[np.concatenate(one)], cls[np.concatenate(two)]
+                one, two, held = [], [], 0
+        if held:
+            yield cls[np.concatenate(one)], cls[np.concatenate(two)]
+        return
     left = np.ones(len(cls), bool)
     for start in range(len(cls)):
         if not left[start]:
@@ -203,38 +213,49 @@ def near_pairs(cls: list, n: np.ndarray, roots: list, sketches: list, percent: i
             i = todo.pop()
             others = np.flatnonzero(left)
             if not len(others):
-                return out
+                todo = []
+                break
             for j in near(i, others).tolist():
                 if left[j]:
-                    out.append((cls[i], cls[j]))
+                    one.append(i)
+                    two.append(j)
                     same = groups[roots[j]]
                     left[same] = False
                     todo += same
-    return out
+    if one:
+        yield cls[one], cls[two]
 
 
 def _candidates(percent: int, every: bool):
-    """Rows (grp, cid, n, root, sketch) sorted by grp -> pairs (a, b, grp)."""
+    """Rows (grp, cid, n, root, sketch) sorted by grp -> pairs (a, b, grp). The rows of one group are held, but of its pairs, of
+    which every one can be near, some PAIRS at a time."""
 
     def run(batches):
-        held, group = [], None
+        held, group, out, rows = [], None, [], 0
 
-        def flush():
-            return [(min(p), max(p), group) for p in near_pairs([h[0] for h in held], np.array([h[1] for h in held]), [h[2] for h in held], [h[3] for h in held], percent, every)] if len(held) > 1 else []
+        def pairs():
+            if len(held) > 1:
+                cls, n, roots, sketches = zip(*held, strict=True)
+                for a, b in near_pairs(cls, np.array(n), roots, sketches, percent, every):
+                    yield np.minimum(a, b), np.maximum(a, b), pa.repeat(group, len(a))
 
-        def batch(rows):
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["a", "b", "grp"])
+        def batch():
+            cols = list(zip(*out, strict=True)) if out else [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.string())]]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1])), pa.concat_arrays(cols[2])], ["a", "b", "grp"])
 
-        for b in batches:
-            out = []
-            for g, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "cid", "n", "root", "sketch")), strict=True):
+        for b in chain(batches, [None]):
+            of = zip(*(b.column(c).to_pylist() for c in ("grp", "cid", "n", "root", "sketch")), strict=True) if b is not None else [(None,) * 5]
+            for g, *row in of:
                 if g != group:
-                    out += flush()
+                    for found in pairs():
+                        out.append(found)
+                        rows += len(found[0])
+                        if rows >= PAIRS:
+                            yield batch()
+                            out, rows = [], 0
                     held, group = [], g
                 held.append(row)
-            yield batch(out)
-        yield batch(flush())
+        yield batch()
 
     return run
 
@@ -260,7 +281,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     ends = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "ends")
     sets = materialize(texts.join(sized(ends, ends.count()), "cid", "left_semi").mapInArrow(_set_rows(k, True), "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
     one, two = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("xa")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("xb"))
-    links = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_linked(percent), "a long, b long"), "links")
+    with arrow_rows(pairs.sparkSession, READ):
+        links = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_linked(percent), "a long, b long"), "links")
     release(ends, sets)
     return links
 
@@ -277,6 +299,8 @@ def _dealt(members: DataFrame, sizes: DataFrame, most: int = 4096) -> DataFrame:
 #: Documents of a sample in which frequent keys are looked for, and the shares in which those of a SHARES-th of them are dealt out. A key
 #: that the sample misses is dealt out whole, with the same result.
 SAMPLE, SHARES = 16384, 64
+#: Pairs of classes that a task holds before it emits them, about; rows of pairs with both sets that it reads together.
+PAIRS, READ = 1 << 16, 100
 #: Numbers of classes from here on stand for further texts under a doc_id that has several.
 FURTHER = 1 << 62
 

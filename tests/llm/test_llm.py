@@ -629,6 +629,23 @@ def test_jaccard_keys_are_linear_and_lose_no_link():
                 assert len(np.intersect1d(J.block_keys(np.unique(a), percent), J.block_keys(np.unique(b), percent)))
 
 
+def test_near_pairs_of_a_large_group_are_emitted_in_parts():
+    from grovegrid.llm import ngram_jaccard as J
+
+    rng = np.random.default_rng(12)
+    base = np.unique(rng.integers(0, 2**64 - 1, 300, dtype=np.uint64))
+    sets = [np.unique(np.append(base, rng.integers(0, 2**64 - 1, 2, dtype=np.uint64))) for _ in range(700)]
+    cols = [["g"] * 700, list(range(700)), [len(s) for s in sets], [i // 2 for i in range(700)], [J.fold(s) for s in sets]]
+    table = pa.table(dict(zip(("grp", "cid", "n", "root", "sketch"), cols, strict=True)))
+    # all are near; pairs of one root are left out
+    out = list(J._candidates(80, True)(iter(table.to_batches(max_chunksize=97))))
+    got = pa.Table.from_batches(out).to_pydict()
+    assert sorted(zip(got["a"], got["b"], strict=True)) == [(i, j) for i in range(700) for j in range(i + 1, 700) if i // 2 != j // 2] and set(got["grp"]) == {"g"}
+    assert max(b.num_rows for b in out) < 1.1 * 2**16
+    tree = pa.Table.from_batches(list(J._candidates(80, False)(iter(table.to_batches(max_chunksize=97)))))
+    assert tree.num_rows == 349
+
+
 def test_language_model_scores_equal_the_forward_pass():
     rng = np.random.default_rng(8)
     sample = rng.integers(0, 90, (64, lm_scoring.WINDOW + 1))
