@@ -5,9 +5,9 @@ id: one head of causal attention over the ids of a window gives a vector, whose
 log probabilities of the classes after the id before; within a class, ids go by their probabilities after
 that id. All counts (words for the base, ids, pairs of ids) are gathered from every training document;
 classes and the KEPT ids with a row of their own follow the counts of all training ids, and pairs are
-counted for those, the others being one in them. The attention weights learn from one in EVERY of the windows of every
-training document, by hash, at any size of the input: the windows are dealt out in shards of about
-SHARD, each fitted in a task of its own from common weights, whose mean starts the next round.
+counted for those, the others being one in them. The attention weights learn from every window of every
+training document, once, at any size of the input: the windows are dealt out by hash to ROUNDS rounds and in each to shards of
+about SHARD, each fitted in a task of its own from common weights, whose mean starts the next round.
 Windows overlap: each but the first scores only what follows its first WINDOW - STRIDE places, so every
 id is scored once, with context, in batches with a causal mask.
 
@@ -34,7 +34,7 @@ from .subwords import WordIds, text_ids
 
 U = np.uint64
 WINDOW, STRIDE, WIDTH, CLASSES, SINGLE, KEPT = 32, 24, 24, 256, 240, 2047
-EVERY, SHARD, ROUNDS, FAN, MOST_WORDS = 16, 12_000, 2, 64, 1_000_000
+EVERY, SHARD, ROUNDS, FAN, MOST_WORDS = 1, 12_000, 2, 64, 1_000_000
 END_WORD = U(0x9D8A7C6B5E4F3A21)
 #: Word counts that a task holds before it sums and emits them.
 HELD = 1_000_000
@@ -309,9 +309,9 @@ def _pairs(shared, kind: np.dtype):
     return run
 
 
-def _windows_to_learn(shards: int, every: int, kind: np.dtype):
+def _windows_to_learn(shards: int, every: int, kind: np.dtype, form: type = np.int32):
     """(shard, key, ids) of the windows, one in `every` by hash, of each text; the first id is the one before, -2 at
-    the start, and ids past the end are -1."""
+    the start, and ids past the end are -1. form: of the ids; unsigned ones of 16 bits have -2 and -1 as their largest."""
 
     def run(batches):
         places = np.arange(WINDOW + 1)
@@ -331,13 +331,25 @@ def _windows_to_learn(shards: int, every: int, kind: np.dtype):
                 key = K.mix(key)
                 shard.append((key % U(shards)).astype(np.int64))
                 keys.append((key >> U(1)).astype(np.int64))
-                rows += [r.tobytes() for r in got.astype(np.int32)]
+                rows += [r.tobytes() for r in got.astype(form)]
             flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (shard, keys)]
             yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(rows, pa.binary())], ["shard", "key", "ids"])
 
     return run
 
 
+def _short(vocabulary: int) -> type:
+    """The smallest form of the ids of windows that leaves room for -2 and -1."""
+    return np.uint16 if vocabulary <= (1 << 16) - 2 else np.int32
+
+
+def _window_ids(rows: list) -> np.ndarray:
+    """The windows of one shard, in either form."""
+    short = bool(rows) and len(rows[0]) == 2 * (WINDOW + 1)
+    ids = np.frombuffer(b"".join(rows), np.uint16 if short else np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
+    return np.where(ids >= (1 << 16) - 2, ids - (1 << 16), ids) if short else ids
+
+
 FITTED = "shard long, n long, weights binary"
 
 
@@ -349,7 +361,7 @@ def _fitted(shared):
         model = copy.copy(model)
         model.p = {n: w.copy() for n, w in model.p.items()}
         rows = sorted(zip(group.column("key").to_pylist(), group.column("ids").to_pylist(), strict=True))
-        ids = np.frombuffer(b"".join(r for _, r in rows), np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
+        ids = _window_ids([r for _, r in rows])
         model.fit(ids, rate=rate)
         return pa.table({"shard": group.column("shard").slice(0, 1), "n": pa.array([len(ids)], pa.int64()), "weights": pa.array([model.weights()], pa.binary())})
 
@@ -365,7 +377,7 @@ def _mean(group: pa.Table) -> pa.Table:
 
 
 def learn(model: AttentionModel, windows: DataFrame, shards: int, rounds: int = ROUNDS) -> AttentionModel:
-    """Fit the model's attention weights to windows(shard, key, ids): in each round every shard in a task of its own,
+    """Fit the model's attention weights to windows(shard, key, ids), each in one of the rounds: there every shard in a task of its own,
     then their mean, taken in steps of FAN shards, so that the driver gets FAN sets of weights at most."""
     sc = windows.sparkSession.sparkContext
     for r in range(rounds):
@@ -373,7 +385,8 @@ def learn(model: AttentionModel, windows: DataFrame, shards: int, rounds: int =
         small.inner = small.single = small.made = None
         shared = sc.broadcast((small, 0.01 / (1 + r)))
         # A fixed number of partitions: by bytes, which are few, many shards would be joined into one task.
-        fitted = materialize(windows.repartition(min(2 * shards, 20_000), "shard").groupBy("shard").applyInArrow(_fitted(shared), FITTED), "fitted")
+        mine = windows.where(F.pmod(F.shiftright("key", 40), F.lit(rounds)) == r)
+        fitted = materialize(mine.repartition(min(2 * shards, 20_000), "shard").groupBy("shard").applyInArrow(_fitted(shared), FITTED), "fitted")
         left, done = shards, [fitted]
         while left > FAN:
             left = -(-left // FAN)
@@ -472,11 +485,9 @@ def score_documents(docs: DataFrame, tokenizer: str, most_words: int = MOST_WORD
     pairs = np.zeros((KEPT + 2) * (KEPT + 1), np.int64)
     pairs[found.column("key").to_numpy()] = found.column("n").to_numpy()
     model.set_counts(ids, pairs.reshape(KEPT + 2, KEPT + 1))
-    shards = max(1, round(sum(n for _, n in few[3]) / every / SHARD))
-    windows = training.select(F.xxhash64("doc_id", "ids").alias("h"), "ids").mapInArrow(_windows_to_learn(shards, every, kind), "shard long, key long, ids binary")
-    windows = materialize(windows, "windows")
-    learn(model, windows, shards)
-    release(windows)
+    shards = max(1, round(sum(n for _, n in few[3]) / every / ROUNDS / SHARD))
+    windows = training.select(F.xxhash64("doc_id", "ids").alias("h"), "ids").mapInArrow(_windows_to_learn(shards, every, kind, _short(size)), "shard long, key long, ids binary")
+    learn(model, windows, shards)  # made anew in each round, which costs less than a table of them
     vocabulary = counts.where("kind = 0")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = 1

@@ -685,6 +685,29 @@ def test_language_model_learns_from_windows_in_proportion(spark):
     assert {r.shard for r in some.collect()} <= set(range(5))
 
 
+def test_language_model_learns_from_each_window_once(spark, monkeypatch):
+    rng, seen = np.random.default_rng(3), []
+    docs = [(i, " ".join(rng.choice(["the cat", "sat on", "a mat.", "Then", "it's gone"], int(rng.integers(0, 200))))) for i in range(60)]
+
+    def spy(df, name, *a, write=lm_scoring.materialize, **b):
+        out = write(df, name, *a, **b)
+        if name == "fitted":
+            seen.append(out.agg(F.sum("n"), F.count("n")).first())
+        return out
+
+    monkeypatch.setattr(lm_scoring, "materialize", spy)
+    monkeypatch.setattr(lm_scoring, "SHARD", 50)
+    lm_scoring.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), TOKENIZER)
+    training = pa.array([t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1])
+    windows = sum(int((-(-np.diff(off) // lm_scoring.WINDOW)).sum()) for _, _, _, off in subwords.text_ids(training, TOKENIZER, subwords.WordIds.of(TOKENIZER).apart))
+    assert len(seen) == lm_scoring.ROUNDS and sum(n for n, _ in seen) == windows and all(m > 1 for _, m in seen)
+    # in 16 bits the windows are the same
+    ids = np.append(rng.integers(0, 49_000, 40), 65_533).astype("<u2")
+    rows = [pa.RecordBatch.from_pydict({"h": pa.array([7]), "ids": pa.array([ids.tobytes()], pa.binary())})]
+    short, wide = (lm_scoring._window_ids(next(lm_scoring._windows_to_learn(2, 1, np.dtype("<u2"), *form)(rows)).column("ids").to_pylist()) for form in ((np.uint16,), ()))
+    assert (short == wide).all() and wide.min() == -2 and wide.max() == 65_533
+
+
 def test_language_model_takes_the_mean_of_shards_in_steps(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FAN", 2)
     rng = np.random.default_rng(6)
