@@ -1,9 +1,9 @@
 """Language-model scoring with a small causal self-attention model, trained in numpy on subword ids.
 
 Ids come from a public word BPE, and a text ends with an end id. The model predicts the class of the next
-id: one head of causal attention over the ids of a window gives a vector, whose logits are added to the
-log probabilities of the classes after the id before; within a class, ids go by their probabilities after
-that id. All counts (words for the base, ids, pairs of ids) are gathered from every training document;
+id in two steps, its group of classes and the class within it: one head of causal attention over the ids of
+a window gives a vector, whose logits are added to the log probabilities of the groups, and of the classes
+of a group, after the id before; within a class, ids go by their probabilities after that id. All counts (words for the base, ids, pairs of ids) are gathered from every training document;
 classes and the KEPT ids with a row of their own follow the counts of all training ids, and pairs are
 counted for those, the others being one in them. The attention weights learn from every window of every
 training document, once, at any size of the input: the windows are dealt out by hash to ROUNDS rounds and in each to shards of
@@ -34,6 +34,8 @@ from .subwords import WordIds, text_ids
 
 U = np.uint64
 WINDOW, STRIDE, WIDTH, CLASSES, SINGLE, KEPT = 32, 24, 24, 256, 240, 2047
+#: Classes come in groups of equal size: the model predicts the group, then the class within it. TILE: places of one product.
+GROUPS, SIZE, TILE = 16, CLASSES // 16, 32
 EVERY, SHARD, ROUNDS, FAN, MOST_WORDS = 1, 12_000, 2, 64, 1_000_000
 END_WORD = U(0x9D8A7C6B5E4F3A21)
 #: Word counts that a task holds before it sums and emits them.
@@ -65,6 +67,7 @@ class AttentionModel:
     """count: of each id. slot: the embedding row of an id; to_class: its class."""
 
     MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+    KEYS_MASK = np.ascontiguousarray(MASK.T)
 
     def __init__(self, count: np.ndarray, ends_word: np.ndarray):
         order = np.argsort(-count, kind="stable")
@@ -76,7 +79,7 @@ class AttentionModel:
         self.begin = KEPT + 1
         rng = np.random.default_rng(11)
         w = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"e": w(KEPT + 2, WIDTH) * np.float32(8), "pos": w(WINDOW, WIDTH) * np.float32(0.5), "q": w(WIDTH, WIDTH), "k": w(WIDTH, WIDTH), "v": w(WIDTH, WIDTH), "h": w(WIDTH, WIDTH), "b": np.zeros(WIDTH, np.float32), "o": w(WIDTH, CLASSES) * np.float32(0.1)}
+        self.p = {"e": w(KEPT + 2, WIDTH) * np.float32(8), "pos": w(WINDOW, WIDTH) * np.float32(0.5), "q": w(WIDTH, WIDTH), "k": w(WIDTH, WIDTH), "v": w(WIDTH, WIDTH), "h": w(WIDTH, WIDTH), "b": np.zeros(WIDTH, np.float32), "g": w(WIDTH, GROUPS) * np.float32(0.1), "o": w(WIDTH, CLASSES).reshape(WIDTH, GROUPS, SIZE).transpose(1, 0, 2) * np.float32(0.1)}
 
     def set_counts(self, ids: np.ndarray, pairs: np.ndarray, off: float = 0.5) -> None:
         """Corpus counts: of each id, and of (slot before, slot); absolute discounting down to single ids."""
@@ -99,6 +102,27 @@ class AttentionModel:
             with np.errstate(divide="ignore"):  # a slot or class without ids
                 self.inner[i] = np.log(p)
                 self.prior[i] = np.log(np.bincount(class_of, p[:KEPT], CLASSES) + p[KEPT] * share[KEPT])
+        self._arrange(pairs.sum(1))
+
+    def _arrange(self, often: np.ndarray) -> None:
+        """Put classes that come after the same slots into a group: halves by the first principal component, four times."""
+        top = np.argsort(-often, kind="stable")[:CLASSES]
+        joint = np.exp(self.prior.astype(np.float64)) * often[:, None]
+        total = joint.sum(0)
+        x = np.sqrt(joint[top] / np.maximum(total, 1e-300)).T
+        x[total == 0] = x[total > 0].mean(0) if total.any() else 0
+        parts = [np.arange(CLASSES)]
+        while len(parts) < GROUPS:
+            halves = []
+            for at in parts:
+                y = x[at] - x[at].mean(0)
+                at = at[np.argsort(np.round(y @ np.linalg.svd(y, full_matrices=False)[2][0], 9), kind="stable")]
+                halves += [at[: len(at) // 2], at[len(at) // 2 :]]
+            parts = halves
+        order = np.concatenate(parts)
+        rank = np.empty(CLASSES, np.int64)
+        rank[order] = np.arange(CLASSES)
+        self.to_class, self.prior = rank[self.to_class], np.ascontiguousarray(self.prior[:, order])
 
     def weights(self) -> bytes:
         return b"".join(w.astype(np.float32).tobytes() for w in self.p.values())
@@ -115,116 +139,248 @@ class AttentionModel:
         q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
         a = _softmax(q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + self.MASK)
         h = x + a @ v
-        o = np.tanh(h @ p["h"] + p["b"])
-        return x, q, k, v, a, h, o
+        return np.tanh(h @ p["h"] + p["b"])
 
     def _forward(self, inputs: np.ndarray, before: np.ndarray):
-        *inner, o = self._hidden(inputs)
-        return *inner, o, _softmax(o @ self.p["o"] + self.prior[before])
+        """The vectors of places, and the probabilities of classes there: that of the group times that within it."""
+        o = self._hidden(inputs)
+        share = np.exp(self.prior[before]).reshape(*before.shape, GROUPS, -1)
+        of_group = _softmax(o @ self.p["g"] + np.maximum(_log(share.sum(-1)), -1e9))
+        within = _softmax(np.einsum("...i,gij->...gj", o, self.p["o"]) + np.maximum(_log(share), -1e9))
+        return o, (of_group[..., None] * within).reshape(*before.shape, CLASSES)
+
+    def _shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the groups after each slot, and of the classes, a row for each (slot, group)."""
+        share = np.exp(self.prior).reshape(-1, SIZE)
+        return share.sum(1).reshape(-1, GROUPS), share
+
+    def gradient(self, inputs: np.ndarray, wanted: np.ndarray, shares: tuple, g: dict[str, np.ndarray]) -> None:
+        """Into g, the gradient of the mean of -log P(wanted class) over the places that have one (-1: none); inputs: slots of windows.
+
+        Arrays of places have features first within a window where that makes products faster. Weights of the attention are
+        never divided by their sums: a row of ones below the values gives these, and one below the gradients takes the mean
+        off. Places are sorted by the wanted group and filled up to whole tiles, each a product with its group's weights.
+        """
+        p, (n, w), d, wide = self.p, inputs.shape, WIDTH, np.float32(WIDTH**-0.5)
+        inputs, wanted = inputs.ravel(), wanted.ravel()
+        x = p["e"].take(inputs, axis=0).reshape(n, w, d)
+        x += p["pos"]
+        y = np.empty((n, 3 * d + 1, w), np.float32)
+        into = np.concatenate((p["q"].T * wide, p["k"].T, p["v"].T))
+        turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+        np.matmul(into, turned, out=y[:, : 3 * d])
+        y[:, 3 * d] = 1
+        q, k, v = y[:, :d], y[:, d : 2 * d], y[:, 2 * d :]
+        a = k.transpose(0, 2, 1) @ q  # keys by queries
+        a += self.KEYS_MASK
+        seen = v @ np.exp(a, out=a)
+        if not (seen[:, d].min() > 1e-20 and seen[:, d].max() < 1e30):
+            a = k.transpose(0, 2, 1) @ q + self.KEYS_MASK
+            a -= a.max(1, keepdims=True)
+            seen = v @ np.exp(a, out=a)
+        part = 1 / seen[:, d:]
+        seen = seen[:, :d]
+        seen *= part
+        h = np.ones((n, d + 1, w), np.float32)
+        np.add(seen, turned, out=h[:, :d])
+        o = np.zeros((n * w + 1, d), np.float32)
+        made = o[:-1].reshape(n, w, d)
+        np.matmul(h.transpose(0, 2, 1), np.concatenate((p["h"], p["b"][None])), out=made)
+        np.tanh(made, out=made)
+
+        at, of, tiles, first = _tiled(wanted)
+        weight = (at < n * w).astype(np.float32)
+        weight /= max(1, weight.sum())
+        mine, before = o.take(at, axis=0), inputs.take(at, mode="clip").astype(np.int64)
+        row, far = np.arange(len(at)), self._far()
+        z = mine @ p["g"]
+        _less_wanted(z, shares[0].take(before, axis=0), row, of, weight, far)
+        g["g"][:] = mine.T @ z
+        back = z @ np.ascontiguousarray(p["g"].T)
+        split = lambda m: m.reshape(len(tiles), TILE, m.shape[1])
+        np.matmul(split(mine), p["o"].take(tiles, axis=0), out=split(z))
+        _less_wanted(z, shares[1].take(before * GROUPS + of, axis=0), row, wanted.take(at, mode="clip") % SIZE, weight, far)
+        g["o"][:] = 0
+        if len(tiles):
+            g["o"][tiles[first]] = np.add.reduceat(split(mine).transpose(0, 2, 1) @ split(z), first, axis=0)
+        back += (split(z) @ p["o"].transpose(0, 2, 1).copy().take(tiles, axis=0)).reshape(back.shape)
+        mine *= mine
+        np.subtract(1, mine, out=mine)
+        back *= mine
+        o[:] = 0
+        o[at] = back
+        of_h = (h @ made).sum(0)
+        g["h"][:], g["b"][:] = of_h[:d], of_h[d]
+
+        dy = np.empty((n, 4 * d, w), np.float32)
+        dh = dy[:, 3 * d :]
+        np.matmul(p["h"], np.ascontiguousarray(made.transpose(0, 2, 1)), out=dh)
+        back = np.empty((n, d + 1, w), np.float32)
+        np.multiply(dh, part, out=back[:, :d])
+        seen *= back[:, :d]
+        np.matmul(np.full((1, d), -1, np.float32), seen, out=back[:, d:])
+        ds = v.transpose(0, 2, 1) @ back
+        ds *= a
+        np.matmul(k, ds, out=dy[:, :d])
+        np.matmul(q, np.ascontiguousarray(ds.transpose(0, 2, 1)), out=dy[:, d : 2 * d])
+        np.matmul(back[:, :d], np.ascontiguousarray(a.transpose(0, 2, 1)), out=dy[:, 2 * d : 3 * d])
+        made = (dy[:, : 3 * d] @ x).sum(0)
+        g["q"][:], g["k"][:], g["v"][:] = made[:d].T * wide, made[d : 2 * d].T, made[2 * d :].T
+        dx = dy.transpose(0, 2, 1) @ np.concatenate((into, np.eye(d, dtype=np.float32)))
+        g["pos"][:] = dx.sum(0)
+        order = np.argsort(inputs, kind="stable")
+        row = inputs[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        g["e"][:] = 0
+        g["e"][row[first]] = np.add.reduceat(dx.reshape(-1, d).take(order, axis=0), first)
 
     def fit(self, ids: np.ndarray, epochs: int = 1, batch: int = 64, rate: float = 0.01) -> AttentionModel:
         """ids: windows (first column the id before, -2: none; -1 past the end) of WINDOW + 1 ids."""
         self.made = None
-        rng, t = np.random.default_rng(13), 0
-        m, s = {n: np.zeros_like(w) for n, w in self.p.items()}, {n: np.zeros_like(w) for n, w in self.p.items()}
-        share = np.exp(self.prior)
+        rng, t, shares = np.random.default_rng(13), 0, self._shares()
+        # All weights are one array, of which p has the parts; so are gradients and both moments, scaled.
+        flat = np.concatenate([w.ravel() for w in self.p.values()])
+        grad, m, s, step = (np.zeros_like(flat) for _ in range(4))
+        self.p, g = self._parts(flat), self._parts(grad)
+        inputs = self._shifted(ids[:, :-1])[0].astype(np.uint16)
+        wanted = np.where(ids[:, 1:] >= 0, self.to_class[np.maximum(ids[:, 1:], 0)], -1).astype(np.int16)
         for _ in range(epochs if len(ids) else 0):
             order = rng.permutation(len(ids))
             for lo in range(0, len(order), batch):
-                rows = ids[order[lo : lo + batch]]
-                inputs, before = self._shifted(rows[:, :-1])
-                wanted, mask = self.to_class[np.maximum(rows[:, 1:], 0)], rows[:, 1:] >= 0
-                x, q, k, v, a, h, o = self._hidden(inputs)
-                p, flat = self.p, lambda y: y.reshape(-1, y.shape[-1])
-                # z: the gradient of the logits, softmax less one at the wanted class, by each place's weight.
-                weight = (mask / max(1, mask.sum())).astype(np.float32)
-                z = o @ p["o"]
-                if np.abs(p["o"]).sum(0).max() > 60:
-                    z = _softmax(z + self.prior[before]) * weight[..., None]
-                else:
-                    np.exp(z, out=z)
-                    z *= share.take(before, axis=0)
-                    z *= (weight / np.einsum("abc->ab", z))[..., None]
-                flat(z)[np.arange(z.shape[0] * z.shape[1]), wanted.ravel()] -= weight.ravel()
-                g = {"o": flat(o).T @ flat(z)}
-                dh = (z @ p["o"].T) * (1 - o * o)
-                g["h"], g["b"] = flat(h).T @ flat(dh), flat(dh).sum(0)
-                dh = dh @ p["h"].T
-                da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-                ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-                dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-                for n, d in (("q", dq), ("k", dk), ("v", dv)):
-                    g[n] = flat(x).T @ flat(d)
-                dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-                g["pos"] = dx.sum(0)
-                g["e"] = np.zeros_like(p["e"])
-                order_in = np.argsort(inputs, axis=None, kind="stable")
-                row, at = np.unique(inputs.ravel()[order_in], return_index=True)
-                g["e"][row] = np.add.reduceat(flat(dx)[order_in], at)
+                rows = order[lo : lo + batch]
+                self.gradient(inputs[rows], wanted[rows], shares, g)
                 t += 1
-                for n in p:
-                    m[n] = 0.9 * m[n] + 0.1 * g[n]
-                    s[n] = 0.99 * s[n] + 0.01 * g[n] ** 2
-                    p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                scale = (0.01 / (1 - 0.99**t)) ** 0.5
+                m *= np.float32(0.9)
+                m += grad
+                s *= np.float32(0.99)
+                s += np.multiply(grad, grad, out=step)
+                np.sqrt(s, out=step)
+                step += np.float32(1e-8 / scale)
+                np.divide(m, step, out=step)
+                step *= np.float32(rate * 0.1 / (1 - 0.9**t) / scale)
+                flat -= step
         return self
 
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of an array that holds all weights."""
+        ends = np.cumsum([w.size for w in self.p.values()])
+        return {n: flat[z - w.size : z].reshape(w.shape) for (n, w), z in zip(self.p.items(), ends.tolist(), strict=True)}
+
     def _shifted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known = np.maximum(ids, 0)
         inputs = np.where(ids == -2, self.begin, self.slot[known])
         return inputs, inputs
 
     def _tables(self) -> tuple:
-        """What scoring needs of each id and place: (query, key, value with a one, rest); class shares; whether
+        """What scoring needs of each id and place: (query, key, value with a one), and the rest; shares; whether
         weights can go without their maximum taken off, and whether logits cannot."""
         p, d = self.p, WIDTH
-        one = lambda x, v: np.full((len(x), 1), v, np.float32)
-        known = lambda x, v: np.concatenate((x @ p["q"] * np.float32(d**-0.5), x @ p["k"], x @ p["v"] @ p["h"], one(x, v), x @ p["h"] + v * p["b"]), axis=1).astype(np.float32)
+        known = lambda x, v: np.concatenate((x @ p["q"] * np.float32(d**-0.5), x @ p["k"], x @ p["v"] @ p["h"], np.full((len(x), 1), v)), axis=1).astype(np.float32)
         of_id, of_place = known(p["e"], 0), known(p["pos"], 1)
         most = sum(float(np.abs(x[:, :d] @ y[:, d : 2 * d].T).max()) for x in (of_id, of_place) for y in (of_id, of_place))
-        return of_id, of_place, np.exp(self.prior), most < 60, np.abs(p["o"]).sum(0).max() > 60
+        rest = p["e"] @ p["h"], p["pos"] @ p["h"] + p["b"]
+        return of_id, of_place, rest, self._shares(), most < 60, self._far()
+
+    def _far(self) -> bool:
+        """Whether logits, of vectors between -1 and 1, can be too large for exp."""
+        return max(np.abs(self.p["g"]).sum(0).max(), np.abs(self.p["o"]).sum(1).max()) > 60
 
-    def log10(self, ids: np.ndarray, off: np.ndarray, batch: int = 48) -> np.ndarray:
+    def log10(self, ids: np.ndarray, off: np.ndarray, batch: int = 128) -> np.ndarray:
         """log10 probability of each text, ids[off[i]:off[i + 1]] with its end id.
 
         The same sums as _forward, arranged for few operations: what depends on an id or a place alone is made
-        once, classes are worked out for scored places only, and a batch fits a core's cache.
+        once, groups are worked out for scored places only and classes for the group of the id there, and a batch
+        fits a core's cache.
         """
         d = WIDTH
         if self.made is None:
             self.made = self._tables()
-        of_id, of_place, share, calm, far = self.made
+        of_id, of_place, rest, shares, calm, far = self.made
         owner, start, firsts = spans(np.diff(off))
         start = start + off[owner]
+        stops = off[owner + 1]
         begin = np.zeros(len(ids) + 1, bool)
         begin[off[:-1]] = True
-        classes, places = self.to_class[ids], np.arange(WINDOW)
+        classes, places = self.to_class[ids].astype(np.int16), np.arange(WINDOW)
         before = np.where(begin[:-1], self.begin, self.slot[np.roll(ids, 1)])
         # The log probability of an id's class after the one before cancels out with that of the id within it.
         got = self.inner[before, self.slot[ids]].astype(np.float64) + self.single[ids]
         for lo in range(0, len(start), batch):
             at = start[lo : lo + batch, None] + places
-            stop = off[owner[lo : lo + batch] + 1][:, None]
+            stop = stops[lo : lo + batch, None]
             mask = (at < stop) & (places >= firsts[lo : lo + batch, None])
-            x = of_id.take(before.take(np.minimum(at, stop - 1)), axis=0)
+            np.minimum(at, stop - 1, out=at)
+            x = of_id.take(before.take(at), axis=0)
             x += of_place
-            a = x[..., :d] @ x[..., d : 2 * d].transpose(0, 2, 1)
+            a = x[..., :d] @ np.ascontiguousarray(x[..., d : 2 * d].transpose(0, 2, 1))
             a += self.MASK
             if not calm:
                 a -= a.max(-1, keepdims=True)
             np.exp(a, out=a)
             # The last column of the values is one, so that of the product is what weights sum to.
-            o = (a @ x[..., 2 * d : 3 * d + 1])[mask]
-            o = np.tanh(x[..., 3 * d + 1 :][mask] + o[:, :d] / o[:, d:])
-            at = at[mask]
-            u = o @ self.p["o"]
-            if far:
-                u -= u.max(1, keepdims=True)
-            hit = u[np.arange(len(at)), classes[at]]
-            np.exp(u, out=u)
-            got[at] += hit - np.log(np.einsum("ij,ij->i", u, share.take(before.take(at), axis=0)))
+            seen = (a @ x[..., 2 * d :]).reshape(-1, d + 1)
+            mine, of, tiles, _ = _tiled(np.where(mask, classes.take(at), np.int16(-1)).ravel())
+            real = mine < len(seen)
+            np.minimum(mine, len(seen) - 1, out=mine)
+            at = at.ravel().take(mine)
+            prior = before.take(at)
+            seen = seen.take(mine, axis=0)
+            o = rest[0].take(prior, axis=0)
+            o += rest[1].take(mine % WINDOW, axis=0)
+            o += seen[:, :d] / seen[:, d:]
+            np.tanh(o, out=o)
+            row = np.arange(len(at))
+            u = o @ self.p["g"]
+            share = shares[0].take(prior, axis=0)
+            more = np.log(share.reshape(-1).take(row * GROUPS + of)) + _hit(u, share, row, of, far)
+            split = lambda m: m.reshape(len(tiles), TILE, m.shape[1])
+            np.matmul(split(o), self.p["o"].take(tiles, axis=0), out=split(u))
+            more += _hit(u, shares[1].take(prior * GROUPS + of, axis=0), row, classes.take(at) % SIZE, far)
+            got[at[real]] += more[real]
         return np.bincount(np.repeat(np.arange(len(off) - 1), np.diff(off)), got, len(off) - 1) / np.log(10)
 
 
+def _log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(x)
+
+
+def _hit(u: np.ndarray, share: np.ndarray, row: np.ndarray, wanted: np.ndarray, far: bool) -> np.ndarray:
+    """The wanted logits less the log of what all weigh, each by its share; u is used up."""
+    if far:
+        u -= u.max(1, keepdims=True)
+    hit = u.reshape(-1).take(row * u.shape[1] + wanted)
+    np.exp(u, out=u)
+    u *= share
+    return hit - np.log(u @ np.ones(u.shape[1], np.float32))
+
+
+def _less_wanted(z: np.ndarray, share: np.ndarray, row: np.ndarray, wanted: np.ndarray, weight: np.ndarray, far: bool) -> None:
+    """In place of logits: probabilities, each by its share, less one at the wanted place; all times the row's weight."""
+    if far:
+        z -= np.where(share > 0, z, -np.inf).max(1, keepdims=True)
+        np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    z *= share
+    z *= (weight / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+    z.reshape(-1)[row * z.shape[1] + wanted] -= weight
+
+
+def _tiled(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, their groups, groups of tiles, first tile of each group there) of the places with a wanted class (-1: none), sorted
+    by its group, with places past the last that fill up the tiles."""
+    of = (wanted // SIZE).astype(np.uint8)
+    n = np.bincount(of, minlength=GROUPS)[:GROUPS]
+    order = np.argsort(of, kind="stable")[: n.sum()]
+    each = -(-n // TILE)
+    spare = np.cumsum(each * TILE - n) - (each * TILE - n)
+    out = np.full(int(each.sum()) * TILE, len(wanted))
+    out[np.arange(len(order)) + np.repeat(spare, n)] = order
+    tiles = np.repeat(np.arange(GROUPS), each)
+    return out, np.repeat(tiles, TILE), tiles, (np.cumsum(each) - each)[each > 0]
+
+
 def _held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
 

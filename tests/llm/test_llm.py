@@ -669,6 +669,41 @@ def test_language_model_scores_equal_the_forward_pass():
         assert got[i] == pytest.approx(total / np.log(10), rel=1e-4)
 
 
+def test_language_model_gradient_is_that_of_the_forward_pass():
+    rng = np.random.default_rng(9)
+    sample = np.minimum(rng.zipf(1.2, (50, lm_scoring.WINDOW + 1)), 400) - 1
+    sample[::3, 0], sample[::4, 20:], sample[5, 1:] = -2, -1, -1
+    model = lm_scoring.AttentionModel(np.bincount(sample[sample >= 0], minlength=400), np.arange(400) % 2)
+    before, after = sample[:, :-1], sample[:, 1:]
+    pairs = np.zeros((lm_scoring.KEPT + 2, lm_scoring.KEPT + 1), np.int64)
+    known = after >= 0
+    np.add.at(pairs, (np.where(before == -2, model.begin, model.slot[before])[known], model.slot[after[known]]), 1)
+    model.set_counts(np.bincount(sample[sample >= 0], minlength=400), pairs)
+    inputs, slots = model._shifted(before)
+    wanted = np.where(known, model.to_class[np.maximum(after, 0)], -1)
+
+    def loss(p):
+        model.p = p
+        z = model._forward(inputs, slots)[-1]
+        return -np.log(np.take_along_axis(z, np.maximum(wanted, 0)[..., None], 2)[..., 0][known]).mean()
+
+    small = model.fit(sample).p
+    # With large weights neither softmax can go without its maximum taken off.
+    for p in (small, {n: w * np.float32({"g": 100, "o": 100, "q": 60}.get(n, 1)) for n, w in small.items()}):
+        g = {n: np.full_like(w, 7) for n, w in p.items()}
+        model.p = p
+        assert model._far() == (p is not small)
+        model.gradient(inputs.astype(np.uint16), wanted.astype(np.int16), model._shares(), g)
+        wide = {n: w.astype(float) for n, w in p.items()}
+        for n, w in wide.items():
+            along = rng.standard_normal(w.shape)
+            slope = (loss(wide | {n: w + 1e-5 * along}) - loss(wide | {n: w - 1e-5 * along})) / 2e-5
+            assert abs(slope - (g[n] * along).sum()) < 5e-3 * np.linalg.norm(g[n]) + 1e-5, n
+    model.p = small
+    model.gradient(inputs[5:6].astype(np.uint16), wanted[5:6].astype(np.int16), model._shares(), g)
+    assert not any(x.any() for x in g.values())
+
+
 def test_language_model_learns_from_windows_in_proportion(spark):
     kind, rng = np.dtype("<u2"), np.random.default_rng(4)
     texts = [rng.integers(0, 200, int(n)).astype(kind) for n in (1, 31, 32, 33, 64, 65, 700, 9000)]
