@@ -150,9 +150,12 @@ class AttentionModel:
         return o, (of_group[..., None] * within).reshape(*before.shape, CLASSES)
 
     def _shares(self) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of the groups after each slot, and of the classes, a row for each (slot, group)."""
-        share = np.exp(self.prior).reshape(-1, SIZE)
-        return share.sum(1).reshape(-1, GROUPS), share
+        """Shares of the groups after each slot, and of the classes in their group, a row for each (slot, group). Rows sum to one,
+        so that a group that hardly ever comes after a slot does not vanish in 32 bits."""
+        share = np.exp(self.prior.astype(np.float64)).reshape(-1, SIZE)
+        of_group = share.sum(1)
+        share /= np.maximum(of_group, 1e-300)[:, None]
+        return of_group.astype(np.float32).reshape(-1, GROUPS), share.astype(np.float32)
 
     def gradient(self, inputs: np.ndarray, wanted: np.ndarray, shares: tuple, g: dict[str, np.ndarray]) -> None:
         """Into g, the gradient of the mean of -log P(wanted class) over the places that have one (-1: none); inputs: slots of windows.
@@ -332,8 +335,7 @@ class AttentionModel:
             np.tanh(o, out=o)
             row = np.arange(len(at))
             u = o @ self.p["g"]
-            share = shares[0].take(prior, axis=0)
-            more = np.log(share.reshape(-1).take(row * GROUPS + of)) + _hit(u, share, row, of, far)
+            more = _hit(u, shares[0].take(prior, axis=0), row, of, far)
             split = lambda m: m.reshape(len(tiles), TILE, m.shape[1])
             np.matmul(split(o), self.p["o"].take(tiles, axis=0), out=split(u))
             more += _hit(u, shares[1].take(prior * GROUPS + of, axis=0), row, classes.take(at) % SIZE, far)

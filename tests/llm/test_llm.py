@@ -704,6 +704,25 @@ def test_language_model_gradient_is_that_of_the_forward_pass():
     assert not any(x.any() for x in g.values())
 
 
+def test_language_model_scores_what_hardly_ever_follows():
+    model = lm_scoring.AttentionModel(np.arange(400), np.arange(400) % 2)
+    pairs = np.ones((lm_scoring.KEPT + 2, lm_scoring.KEPT + 1), np.int64)
+    pairs[0] = 0
+    pairs[0, 1] = 10**13  # one id has a single successor, very often
+    model.set_counts(np.arange(400) * 10**9, pairs)
+    model.p["g"][:] = 0
+    model.p["o"] = np.full_like(model.p["o"], -2.4)
+    model.p["h"][:], model.p["b"][:] = 0, 9  # all vectors are one, so that logits are -57.6
+    assert not model._far()
+    first, other = (int(np.flatnonzero(model.slot == i)[0]) for i in (0, 7))
+    got = model.log10(np.array([first, other]), np.array([0, 2])) - model.log10(np.array([first]), np.array([0, 1]))
+    want = (model.inner[0, 7] + model.single[other]) / np.log(10)
+    assert got[0] == pytest.approx(want, abs=1e-3)
+    ids = np.full((2, lm_scoring.WINDOW + 1), -1)
+    ids[:, 0], ids[:, 1] = first, other
+    assert all(np.isfinite(w).all() for w in model.fit(ids).p.values())
+
+
 def test_language_model_learns_from_windows_in_proportion(spark):
     kind, rng = np.dtype("<u2"), np.random.default_rng(4)
     texts = [rng.integers(0, 200, int(n)).astype(kind) for n in (1, 31, 32, 33, 64, 65, 700, 9000)]
