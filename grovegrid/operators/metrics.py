@@ -7,16 +7,18 @@ closed and encloses every point. Metrics that are undefined are null, each by it
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import forest
+from . import forest, groups
+from .kernels import lookup, member
 
-#: The voxel edge of crown solids and of porosity, the cap on a crown's extent (m) and voxels, and the samples and thinning of r50.
-SOLID_MM, FINE_MM, MOST_SPAN, MOST_VOXELS, SAMPLES, THIN_MM = 500, 250, 100.0, 20_000_000, 600_000, 20
+#: The voxel edge of crown solids and of porosity, the cap on a crown's extent (m) and voxels, and the thinning of median_gap.
+SOLID_MM, FINE_MM, MOST_SPAN, MOST_VOXELS, THIN_MM = 500, 250, 100.0, 20_000_000, 20
 
 
 def crown_columns(points: DataFrame, keys: tuple[str, ...] = ("gtid",), size: int = SOLID_MM) -> DataFrame:
@@ -44,41 +46,120 @@ def porosity(points: DataFrame, keys: tuple[str, ...] = ("gtid",), size: int = S
     return out.select(*keys, "interior", "occupied", F.when(fine_enough, share).alias("porosity"))
 
 
-def median_gap(xyz: np.ndarray, order: np.ndarray, size: int = SOLID_MM, step: int = 100, thin: int = THIN_MM, samples: int = SAMPLES) -> float:
-    """r50 in metres: the median distance from the solid's step-voxels (lower corners, the first `samples` in order) to the nearest
-    point, points thinned to the first by `order` of each thin-voxel."""
+def near_candidates(low: np.ndarray, high: np.ndarray, points: np.ndarray, cell: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (cell, point), sorted by cell, those whose point may be the nearest to some place in its cell's box: it is no farther than
+    the farthest corner is from the point for which that is least."""
+    near, far = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64)
+    for i in range(3):
+        p = points[:, i][point]
+        a, b = low[:, i][cell] - p, p - high[:, i][cell]
+        side = np.maximum(np.maximum(a, b), 0)
+        near += side * side
+        side = np.maximum(-a, -b)
+        far += side * side
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    keep = near <= np.repeat(np.minimum.reduceat(far, first), np.diff(first, append=len(cell)))
+    return cell[keep], point[keep]
+
+
+def lattice_gaps(voxels: np.ndarray, points: np.ndarray, size: int, step: int, most: int = 100_000) -> Iterator[np.ndarray]:
+    """Squared distances (mm2) from each voxel's places, size // step along each edge, to the nearest point: exact, some voxels at a time.
+    From large cells down to voxels each passes the points that may be nearest on to those in it, about `most` pairs at once."""
+    # From the lowest corner on, cells of all levels are counted from 0.
+    voxels, points = voxels - voxels.min(0), points - voxels.min(0) * size
+    level, cells = 0, [voxels]
+    while len(cells[level]) > 1 and len(cells[level]) * len(points) > most:
+        cells.append(np.unique(cells[level] // 2, axis=0))
+        level += 1
+    box = lambda c, k: (c * (size << k), (c + 1) * (size << k) - step)
+    # Narrow numbers where no square in sight is too large for them.
+    reach = max(int(voxels.max() + 1) * size, int(points.max())) - min(0, int(points.min()))
+    kind = np.int32 if 3 * reach * reach < 1 << 31 else np.int64
+    side = np.arange(0, size, step, dtype=kind)
+    places = points.T.astype(kind)
+
+    def down(mine: np.ndarray, k: int, counts: np.ndarray, point: np.ndarray) -> Iterator[np.ndarray]:
+        # mine: cells of level k, each with its own run of counts points.
+        cell, point = near_candidates(*box(mine, k), points, np.repeat(np.arange(len(mine)), counts), point)
+        counts = np.bincount(cell, minlength=len(mine))
+        first = np.cumsum(counts) - counts
+        if k:
+            inner = np.unique(np.concatenate([mine[:, None] * 2 + np.array(list(np.ndindex(2, 2, 2)))]).reshape(-1, 3), axis=0)
+            inner = inner[member(inner, cells[k - 1])]
+            above = lookup(inner // 2, mine)
+            yield from parts(inner, k - 1, counts[above], first[above], point)
+            return
+        for lo, hi in runs(counts, max(most // len(side) ** 3, 1)):
+            at = slice(first[lo], first[hi - 1] + counts[hi - 1])
+            x, y, z = ((places[i][point[at], None] - (mine[:, i] * size).astype(kind)[cell[at], None] - side) ** 2 for i in range(3))
+            xy = (x[:, :, None] + y[:, None, :]).reshape(len(x), -1)
+            d2 = (xy[:, :, None] + z[:, None, :]).reshape(len(x), -1)
+            yield np.minimum.reduceat(d2, first[lo:hi] - first[lo]).ravel()
+
+    def parts(mine, k, counts, first, point):
+        for lo, hi in runs(counts, most):
+            n = counts[lo:hi]
+            yield from down(mine[lo:hi], k, n, point[np.repeat(first[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+
+    top = cells[level]
+    yield from parts(top, level, np.full(len(top), len(points)), np.zeros(len(top), np.int64), np.arange(len(points)))
+
+
+def runs(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of counts that add up to `most`, or hold one."""
+    total, lo = np.cumsum(counts), 0
+    while lo < len(counts):
+        hi = max(int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")), lo + 1)
+        yield lo, hi
+        lo = hi
+
+
+def median_gap(xyz: np.ndarray, order: np.ndarray, size: int = SOLID_MM, step: int = 100, thin: int = THIN_MM) -> float:
+    """r50 in metres: the median distance from all of the solid's step-voxels (lower corners) to the nearest point; with `thin`, points are
+    thinned to the first by `order` of each thin-voxel. size is a multiple of step."""
     if not len(xyz):
         return math.nan
-    p = xyz[np.argsort(order, kind="stable")].astype(np.int64)
-    p = p[np.sort(np.unique(p // thin, axis=0, return_index=True)[1])]
+    p = xyz.astype(np.int64)
+    if thin:
+        p = p[np.argsort(order, kind="stable")]
+        p = p[np.sort(np.unique(p // thin, axis=0, return_index=True)[1])]
     cells, column = np.unique(xyz[:, :2] // size, axis=0, return_inverse=True)
     k = xyz[:, 2] // size
     low, high = np.full(len(cells), k.max()), np.full(len(cells), k.min())
     np.minimum.at(low, column, k)
     np.maximum.at(high, column, k)
-    n = size // step
-    inner = np.stack(np.meshgrid(*[np.arange(n)] * 2, indexing="ij"), axis=-1).reshape(-1, 2) * step
-    corners = [np.concatenate((np.repeat(inner + c * size, (h - l + 1) * n, axis=0), np.tile(np.arange(l * n, (h + 1) * n) * step, n * n)[:, None]), axis=1) for c, l, h in zip(cells, low, high, strict=True)]
-    q = np.concatenate(corners)
-    q = q[np.lexsort((q[:, 2], q[:, 1], q[:, 0]))][:samples]
-    shift = p.min(0)
-    a, b = (q - shift).astype(np.float64), (p - shift).astype(np.float64)
-    best = np.empty(len(a))
-    for lo in range(0, len(a), 4096):
-        part = a[lo : lo + 4096]
-        best[lo : lo + 4096] = ((part**2).sum(1)[:, None] - 2 * part @ b.T + (b**2).sum(1)).min(1)
-    return float(np.median(np.sqrt(np.maximum(best, 0)))) / 1000
-
-
-def r50(points: DataFrame, keys: tuple[str, ...] = ("gtid",), size: int = SOLID_MM, step: int = 100) -> DataFrame:
-    """(keys, r50) of each tree; a tree is worked on in one task, as many points as it has."""
-    kinds = dict(points.select(*keys).dtypes)
-
-    def tree(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[list(keys)].iloc[:1].assign(r50=median_gap(rows[["x_mm", "y_mm", "z_mm"]].to_numpy(), rows.point_id.to_numpy(), size, step))
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", r50 double"
-    return points.select(*keys, "point_id", "x_mm", "y_mm", "z_mm").groupBy(*keys).applyInPandas(tree, schema)
+    n = high - low + 1
+    up = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    voxels = np.concatenate((np.repeat(cells, n, axis=0), up[:, None]), axis=1).astype(np.int64)
+    # Distances are kept as values and how often each occurs, so that memory goes with their range.
+    value, often, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def counted():
+        v, at = np.unique(np.concatenate((value, *held)), return_inverse=True)
+        return v, np.bincount(at, np.concatenate((often, np.ones(len(at) - len(value), np.int64))), len(v)).astype(np.int64)
+
+    for d2 in lattice_gaps(voxels, p, size, step):
+        held.append(d2)
+        if sum(map(len, held)) > 4_000_000:
+            (value, often), held = counted(), []
+    if not len(value):
+        return float(np.median(np.sqrt(np.concatenate(held)))) / 1000
+    value, often = counted()
+    total = np.cumsum(often)
+    middle = value[np.searchsorted(total, [(total[-1] - 1) // 2, total[-1] // 2], "right")]
+    return float(np.mean(np.sqrt(middle))) / 1000
+
+
+def r50(points: DataFrame, keys: tuple[str, ...] = ("gtid",), size: int = SOLID_MM, step: int = 100, thin: int = 0) -> DataFrame:
+    """(keys, r50) of each tree, over all places of its solid and all its points; a tree is worked on in one task, as many points as it has."""
+    names = ["x_mm", "y_mm", "z_mm"]
+
+    def trees(table: pa.Table, first: np.ndarray) -> pa.Table:
+        xyz, order = groups.columns(table, names), table.column("point_id").to_numpy()
+        gaps = [median_gap(p, o, size, step, thin) for p, o in zip(np.split(xyz, first[1:]), np.split(order, first[1:]), strict=True)]
+        return table.select(list(keys)).take(first).append_column("r50", pa.array(gaps, pa.float64()))
+
+    return groups.in_groups(points.select(*keys, "point_id", *names), keys, trees, groups.key_schema(points, keys) + ", r50 double")
 
 
 def bundle(points: DataFrame, dtm: DataFrame, with_r50: bool = True) -> DataFrame:

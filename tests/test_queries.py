@@ -235,6 +235,24 @@ def test_r50_and_porosity_by_hand():
     assert metrics.median_gap(close, np.array([1, 0, 2])) == metrics.median_gap(close[1:], np.arange(2))
 
 
+def test_r50_of_a_tall_crown():
+    """No place of a solid of 750,000 is left out, and pairs in small parts give the same."""
+    from grovegrid.operators import metrics
+
+    p = np.array([[0, 0, 0], [490, 490, 3_000_000 - 1], [10, 20, 700_000], [400, 480, 900_000]])
+    x, y, z = np.meshgrid(np.arange(0, 500, 100), np.arange(0, 500, 100), np.arange(0, 3_000_000, 100), indexing="ij")
+    q = np.stack((x.ravel(), y.ravel(), z.ravel()), axis=1)
+    best = np.min([((q - a) ** 2).sum(1) for a in p], axis=0)
+    assert len(q) == 750_000 and abs(metrics.median_gap(p, np.arange(4)) - np.median(np.sqrt(best)) / 1000) < 1e-9
+    rng = np.random.default_rng(2)
+    p = rng.integers(-2000, 2000, (200, 3))
+    voxels = np.unique(p // 500, axis=0)
+    want = np.sort(np.concatenate(list(metrics.lattice_gaps(voxels, p, 500, 100, 10**9))))
+    assert np.array_equal(np.sort(np.concatenate(list(metrics.lattice_gaps(voxels, p, 500, 100, 500)))), want)
+    q = (voxels[:, None] * 500 + np.array(list(np.ndindex(5, 5, 5))) * 100).reshape(-1, 3)
+    assert np.array_equal(np.sort(((q[:, None] - p) ** 2).sum(2).min(1)), want)
+
+
 def test_metrics_and_solids(spark, data):
     """Every tree has a row; stems and crowns are closed, with the volumes of their shapes."""
     t = queries._trees(spark, data)
