@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import groups, kernels
 from .spatial import nearest_join
 
 
@@ -125,26 +126,43 @@ def trunk_ring(sections: int = 24) -> Column:
 
 
 def voxels(points: DataFrame, size: int, keys: tuple[str, ...]) -> DataFrame:
-    return points.select(*keys, *(F.floor(F.col(f"{a}_mm") / size).alias(v) for a, v in zip("xyz", "ijk", strict=True))).distinct()
+    return voxel_of(points, size, keys).distinct()
 
 
-#: Corner offsets of the two triangles of each side of a voxel, outward.
-_SIDES = [
-    ((-1, 0, 0), ((0, 0, 0), (0, 0, 1), (0, 1, 1)), ((0, 0, 0), (0, 1, 1), (0, 1, 0))), ((1, 0, 0), ((1, 0, 0), (1, 1, 0), (1, 1, 1)), ((1, 0, 0), (1, 1, 1), (1, 0, 1))),
-    ((0, -1, 0), ((0, 0, 0), (1, 0, 0), (1, 0, 1)), ((0, 0, 0), (1, 0, 1), (0, 0, 1))), ((0, 1, 0), ((0, 1, 0), (0, 1, 1), (1, 1, 1)), ((0, 1, 0), (1, 1, 1), (1, 1, 0))),
-    ((0, 0, -1), ((0, 0, 0), (0, 1, 0), (1, 1, 0)), ((0, 0, 0), (1, 1, 0), (1, 0, 0))), ((0, 0, 1), ((0, 0, 1), (1, 0, 1), (1, 1, 1)), ((0, 0, 1), (1, 1, 1), (0, 1, 1))),
-]
+def voxel_of(points: DataFrame, size: int, keys: tuple[str, ...]) -> DataFrame:
+    """The voxel (keys, i, j, k) of each point."""
+    return points.select(*keys, *(F.floor(F.col(f"{a}_mm") / size).alias(v) for a, v in zip("xyz", "ijk", strict=True)))
 
 
 def voxel_faces(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Triangles (ax..cz, in voxel corners) between a voxel and an empty neighbour: a closed surface."""
     corner = lambda v: F.struct((F.col("i") + v[0]).alias("x"), (F.col("j") + v[1]).alias("y"), (F.col("k") + v[2]).alias("z"))
-    sides = F.array(*(F.struct((F.col("i") + n[0]).alias("ni"), (F.col("j") + n[1]).alias("nj"), (F.col("k") + n[2]).alias("nk"), F.array(*(F.struct(*(corner(v).alias(c) for v, c in zip(t, "abc", strict=True))) for t in ts)).alias("ts")) for n, *ts in _SIDES))
+    sides = F.array(*(F.struct((F.col("i") + n[0]).alias("ni"), (F.col("j") + n[1]).alias("nj"), (F.col("k") + n[2]).alias("nk"), F.array(*(F.struct(*(corner(v).alias(c) for v, c in zip(t, "abc", strict=True))) for t in ts)).alias("ts")) for n, *ts in kernels.SIDES))
     out = cells.withColumn("s", F.explode(sides)).select(*keys, "s.*")
     full = cells.withColumnsRenamed({"i": "ni", "j": "nj", "k": "nk"})
     return out.join(full, [*keys, "ni", "nj", "nk"], "left_anti").select(*keys, F.explode("ts").alias("t")).select(*keys, "t.*")
 
 
+def checked(rows: DataFrame, keys: tuple[str, ...], mesh) -> DataFrame:
+    """(keys, n_faces, six_volume, n_edges, n_open) of each solid that has a face: mesh(rows of whole solids, solid of each) gives solids and corners of
+    their triangles. Only rows are dealt out, no faces or edges."""
+
+    def solids(table: pa.Table, first: np.ndarray) -> pa.Table:
+        solid = np.repeat(np.arange(len(first)), np.diff(first, append=table.num_rows))
+        got = kernels.mesh_checks(*mesh(table, solid), len(first))
+        out = table.select(list(keys)).take(first)
+        for name, values in zip(("n_faces", "six_volume", "n_edges", "n_open"), got, strict=True):
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        return out.filter(pa.array(got[0] > 0))
+
+    return groups.in_groups(rows, keys, solids, groups.key_schema(rows, keys) + ", n_faces long, six_volume long, n_edges long, n_open long")
+
+
+def voxel_checks(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """open_edges of the surface of voxels (keys, i, j, k; each any number of times)."""
+    return checked(cells.select(*keys, "i", "j", "k"), keys, lambda table, solid: kernels.voxel_surface(solid, groups.columns(table, ["i", "j", "k"])))
+
+
 def open_edges(faces: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Per solid: faces, undirected edges, edges with an odd number of faces (0: watertight), and six times the volume."""
     pairs = F.array(*(F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), F.lit(i).alias("i")) for i, (p, q) in enumerate((("a", "b"), ("b", "c"), ("c", "a")))))

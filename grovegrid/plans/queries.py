@@ -321,7 +321,8 @@ s AS (SELECT v.*, i + a AS ni, j + b AS nj, k + c AS nk FROM v, (VALUES (1, 0, 0
 f AS (SELECT tile_id, gtid, count(*) * 2 AS n_faces FROM s ANTI JOIN v t ON s.tile_id = t.tile_id AND s.gtid = t.gtid AND ni = t.i AND nj = t.j AND nk = t.k GROUP BY ALL)
 SELECT tile_id, gtid, n_faces, 0::BIGINT AS n_open, (6 * count(*))::BIGINT AS six_volume FROM f JOIN v USING (tile_id, gtid) GROUP BY ALL""")
 def mesh_watertight(spark, d):
-    return forest.open_edges(_faces(spark, d), ("tile_id", "gtid")).drop("n_edges")
+    keys = ("tile_id", "gtid")
+    return forest.voxel_checks(forest.voxel_of(_trees(spark, d), 500, keys), keys).drop("n_edges")
 
 
 @query("SELECT tile_id, gtid, n, coalesce(sum(n) OVER (PARTITION BY tile_id ORDER BY gtid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM (SELECT tile_id, src_id AS gtid, count(*) AS n FROM points GROUP BY ALL)")

@@ -253,6 +253,19 @@ def test_r50_of_a_tall_crown():
     assert np.array_equal(np.sort(((q[:, None] - p) ** 2).sum(2).min(1)), want)
 
 
+def test_checks_of_voxels_deal_out_no_faces(spark):
+    """As open_edges of the faces, with one exchange; large coordinates and voxels that repeat or touch along an edge included."""
+    rows = [("t", g, *map(int, c)) for g in range(7) for c in np.random.default_rng(g).integers(0, 4, (1 + g * 9, 3)) + g * 10**8 * (g > 4)]
+    rows += [("u", 1, 0, 0, 0), ("u", 1, 1, 1, 0), ("u", 1, 0, 0, 0)]
+    cells = spark.createDataFrame(rows, "tile_id string, gtid long, i long, j long, k long")
+    got, small = forest.voxel_checks(cells, ("tile_id", "gtid")), cells.where("i < 100000")
+    want = forest.open_edges(forest.voxel_faces(small.distinct(), ("tile_id", "gtid")), ("tile_id", "gtid"))
+    assert sorted(map(tuple, got.where("tile_id = 'u' or gtid < 5").select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("gtid >= 5").agg({"n_open": "sum"}).first()[0] == 0 and got.count() == 8
+    plan = queries.mesh_watertight(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 2
+
+
 def test_metrics_and_solids(spark, data):
     """Every tree has a row; stems and crowns are closed, with the volumes of their shapes."""
     t = queries._trees(spark, data)
