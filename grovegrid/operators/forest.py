@@ -29,29 +29,48 @@ def propagate(points: DataFrame, labelled: DataFrame, reach: int = 2500) -> Data
     return near.join(labelled.select("tile_id", F.col("point_id").alias("p_id"), "tid"), ["tile_id", "p_id"]).select("tile_id", "point_id", "tid")
 
 
-def hulls(points: DataFrame, keys: tuple[str, ...] = ("tile_id", "tid")) -> DataFrame:
-    """Convex hull (ring), area (m2) and centroid (mm) for each tree of three points at least."""
-    kinds = dict(points.select(*keys).dtypes)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 3:
-            return pd.DataFrame(columns=[*keys, "ring", "area_m2", "cx", "cy"])
-        ring = kernels.hull(rows[["x_mm", "y_mm"]].to_numpy())
-        x, y = ring[:, 0].astype(float), ring[:, 1].astype(float)
-        cross = x * np.roll(y, -1) - np.roll(x, -1) * y
-        area = cross.sum() / 2
-        if area > 0:
-            ox, oy = x[0], y[0]
-            c2 = (x - ox) * (np.roll(y, -1) - oy) - (np.roll(x, -1) - ox) * (y - oy)
-            cx = ox + ((x + np.roll(x, -1) - 2 * ox) * c2).sum() / (6 * area)
-            cy = oy + ((y + np.roll(y, -1) - 2 * oy) * c2).sum() / (6 * area)
-        else:
-            cx, cy = x.mean(), y.mean()
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "ring": [[{"x_mm": int(a), "y_mm": int(b)} for a, b in ring]], "area_m2": [max(area, 0.0) / 1e6], "cx": [cx], "cy": [cy]})
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ring array<struct<x_mm:bigint,y_mm:bigint>>, area_m2 double, cx double, cy double"
-    distinct = points.select(*keys, "x_mm", "y_mm")
-    return distinct.groupBy(*keys).applyInPandas(one, schema)
+def hulls(points: DataFrame, keys: tuple[str, ...] = ("tile_id", "tid"), every: bool = False) -> DataFrame:
+    """Convex hull (ring), area (m2) and centroid (mm) for each tree of three points at least; with every, nulls for the others."""
+
+    def trees(table: pa.Table, first: np.ndarray) -> pa.Table:
+        found = [outline(xy) for xy in np.split(groups.columns(table, ["x_mm", "y_mm"]), first[1:])]
+        out = outlined(table.select(list(keys)).take(first), found)
+        return out if every else out.filter(pa.array([f is not None for f in found], pa.bool_()))
+
+    return groups.in_groups(points.select(*keys, "x_mm", "y_mm"), keys, trees, f"{groups.key_schema(points, keys)}, {OUTLINE}")
+
+
+#: Fixed value: the columns that outlined adds.
+OUTLINE = "ring array<struct<x_mm:bigint,y_mm:bigint>>, area_m2 double, cx double, cy double"
+
+
+def outline(xy: np.ndarray) -> tuple[np.ndarray, float, float, float] | None:
+    """The hull's corners, area (m2) and centroid; none for fewer than three points."""
+    if len(xy) < 3:
+        return None
+    ring = kernels.hull(xy)
+    x, y = ring[:, 0].astype(float), ring[:, 1].astype(float)
+    area = (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2
+    if area > 0:
+        ox, oy = x[0], y[0]
+        c2 = (x - ox) * (np.roll(y, -1) - oy) - (np.roll(x, -1) - ox) * (y - oy)
+        cx = ox + ((x + np.roll(x, -1) - 2 * ox) * c2).sum() / (6 * area)
+        cy = oy + ((y + np.roll(y, -1) - 2 * oy) * c2).sum() / (6 * area)
+    else:
+        cx, cy = x.mean(), y.mean()
+    return ring, max(area, 0.0) / 1e6, cx, cy
+
+
+def outlined(rows: pa.Table, found: list) -> pa.Table:
+    """rows with the columns of OUTLINE, one outline or none for each."""
+    rings = [np.zeros((0, 2), np.int64) if f is None else f[0] for f in found]
+    corners = np.concatenate(rings).astype(np.int64)
+    values = pa.StructArray.from_arrays([pa.array(corners[:, 0]), pa.array(corners[:, 1])], ["x_mm", "y_mm"])
+    ends = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rings]))), pa.int32())
+    rows = rows.append_column("ring", pa.ListArray.from_arrays(ends, values, mask=pa.array([f is None for f in found], pa.bool_())))
+    for i, name in enumerate(("area_m2", "cx", "cy"), 1):
+        rows = rows.append_column(name, pa.array([None if f is None else float(f[i]) for f in found], pa.float64()))
+    return rows
 
 
 def number_trees(trees: DataFrame) -> DataFrame:
@@ -86,27 +105,41 @@ def trunk_base(trees: DataFrame, dtm: DataFrame, cell: int = 500, reach: int = 2
     return pairs.groupBy("tile_id", "gtid").agg(F.min(F.struct("d2", "row", "col", "z_mm")).alias("b")).select("tile_id", "gtid", F.col("b.row").alias("row"), F.col("b.col").alias("col"), F.col("b.z_mm").alias("base_z_mm"))
 
 
-def cells_under(hulls: DataFrame, dtm: DataFrame, cell: int = 500, coarse: int = 4000) -> DataFrame:
-    """Raster cells of the own tile whose centres (px, py) lie in or on each of hulls(tile_id, gtid, ring counter-clockwise, cx, cy)."""
-    one = hulls.select("tile_id", "gtid", "ring", "cx", "cy", *(f(f"ring.{a}_mm").alias(f"{a}{n}") for n, f in enumerate((F.array_min, F.array_max)) for a in "xy"))
+def cells_under(hulls: DataFrame, dtm: DataFrame, cell: int = 500, coarse: int = 4000, kept: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """Raster cells of the own tile whose centres (px, py) lie in or on each of hulls(tile_id, gtid, ring counter-clockwise, cx, cy); with how
+    left also hulls without one."""
+    one = hulls.select("tile_id", "gtid", "ring", "cx", "cy", *(kept or []), *(f(f"ring.{a}_mm").alias(f"{a}{n}") for n, f in enumerate((F.array_min, F.array_max)) for a in "xy"))
     for g, lo, hi in (("gx", "x0", "x1"), ("gy", "y0", "y1")):
-        one = one.withColumn(g, F.explode(F.sequence(F.floor(F.col(lo) / coarse), F.floor(F.col(hi) / coarse))))
+        one = one.withColumn(g, F.explode_outer(F.sequence(F.floor(F.col(lo) / coarse), F.floor(F.col(hi) / coarse))))
     x, y = (F.col("col") * 2 + 1) * cell / 2, (F.col("row") * 2 + 1) * cell / 2
     two = dtm.withColumns({"px": x, "py": y, "gx": F.floor(x / coarse), "gy": F.floor(y / coarse)})
-    pairs = one.join(two, ["tile_id", "gx", "gy"]).where("px between x0 and x1 and py between y0 and y1")
     inside = "forall(sequence(0, size(ring) - 1), i -> (ring[(i + 1) % size(ring)].x_mm - ring[i].x_mm) * (py - ring[i].y_mm) - (ring[(i + 1) % size(ring)].y_mm - ring[i].y_mm) * (px - ring[i].x_mm) >= 0)"
-    return pairs.where(F.expr(inside))
+    same = [F.col(f"q.{c}") == F.col(f"c.{c}") for c in ("tile_id", "gx", "gy")]
+    on = same[0] & same[1] & same[2] & F.expr("px between x0 and x1 and py between y0 and y1") & F.expr(inside)
+    return one.alias("q").join(two.alias("c"), on, how).select(*(F.col(f"q.{c}") for c in one.columns), *(F.col(f"c.{c}") for c in two.columns if c not in ("tile_id", "gx", "gy")))
+
+
+def _nearest_cell() -> Column:
+    d2 = (F.col("cx") - F.col("px")) * (F.col("cx") - F.col("px")) + (F.col("cy") - F.col("py")) * (F.col("cy") - F.col("py"))
+    return F.min(F.when(d2.isNotNull(), F.struct(d2.alias("d2"), "row", "col", "z_mm")))
 
 
 def trunk_base_under(trees: DataFrame, hulls: DataFrame, dtm: DataFrame, cell: int = 500, coarse: int = 4000) -> DataFrame:
     """For each of trees(tile_id, gtid): of all raster cells of the own tile whose centres lie in or on the tree's hull
     (hulls: ring counter-clockwise, cx, cy) the one nearest to the centroid (ties: row, then column); nulls if there is none."""
-    d2 = (F.col("cx") - F.col("px")) * (F.col("cx") - F.col("px")) + (F.col("cy") - F.col("py")) * (F.col("cy") - F.col("py"))
-    best = cells_under(hulls, dtm, cell, coarse).withColumn("d2", d2).groupBy("tile_id", "gtid").agg(F.min(F.struct("d2", "row", "col", "z_mm")).alias("b"))
+    best = cells_under(hulls, dtm, cell, coarse).groupBy("tile_id", "gtid").agg(_nearest_cell().alias("b"))
     out = trees.select("tile_id", "gtid").distinct().join(best, ["tile_id", "gtid"], "left")
     return out.select("tile_id", "gtid", F.col("b.row").alias("row"), F.col("b.col").alias("col"), F.col("b.z_mm").alias("base_z_mm"))
 
 
+def with_trunk_base(crowns: DataFrame, dtm: DataFrame, cell: int = 500, coarse: int = 4000) -> DataFrame:
+    """trunk_base_under for crowns(tile_id, gtid, ring, cx, cy, ...), one row for each tree with a null ring where it has no hull; all columns but these
+    three are kept. Crowns are worked out once, where trunk_base_under reads trees and hulls apart."""
+    kept = [c for c in crowns.columns if c not in ("tile_id", "gtid", "ring", "cx", "cy")]
+    best = cells_under(crowns, dtm, cell, coarse, kept, "left").groupBy("tile_id", "gtid").agg(*(F.first(c).alias(c) for c in kept), _nearest_cell().alias("b"))
+    return best.select("tile_id", "gtid", *kept, F.col("b.row").alias("row"), F.col("b.col").alias("col"), F.col("b.z_mm").alias("base_z_mm"))
+
+
 def crown_width(area_m2: Column) -> Column:
     """The diameter (m) of a circle of the hull's area."""
     return 2 * F.sqrt(area_m2 / F.pi())
@@ -143,19 +176,28 @@ def voxel_faces(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return out.join(full, [*keys, "ni", "nj", "nk"], "left_anti").select(*keys, F.explode("ts").alias("t")).select(*keys, "t.*")
 
 
-def checked(rows: DataFrame, keys: tuple[str, ...], mesh) -> DataFrame:
+CHECKS = ("n_faces", "six_volume", "n_edges", "n_open")
+
+
+def checked(rows: DataFrame, keys: tuple[str, ...], mesh, single: bool = False) -> DataFrame:
     """(keys, n_faces, six_volume, n_edges, n_open) of each solid that has a face: mesh(rows of whole solids, solid of each) gives solids and corners of
-    their triangles. Only rows are dealt out, no faces or edges."""
+    their triangles. Only rows are dealt out, no faces or edges; with single each row is a solid and stays where it is."""
 
     def solids(table: pa.Table, first: np.ndarray) -> pa.Table:
         solid = np.repeat(np.arange(len(first)), np.diff(first, append=table.num_rows))
         got = kernels.mesh_checks(*mesh(table, solid), len(first))
         out = table.select(list(keys)).take(first)
-        for name, values in zip(("n_faces", "six_volume", "n_edges", "n_open"), got, strict=True):
+        for name, values in zip(CHECKS, got, strict=True):
             out = out.append_column(name, pa.array(values, pa.int64()))
         return out.filter(pa.array(got[0] > 0))
 
-    return groups.in_groups(rows, keys, solids, groups.key_schema(rows, keys) + ", n_faces long, six_volume long, n_edges long, n_open long")
+    def rowwise(batches):
+        for b in batches:
+            if b.num_rows:
+                yield from solids(pa.Table.from_batches([b]), np.arange(b.num_rows)).to_batches()
+
+    schema = groups.key_schema(rows, keys) + "".join(f", {c} long" for c in CHECKS)
+    return rows.mapInArrow(rowwise, schema) if single else groups.in_groups(rows, keys, solids, schema)
 
 
 def voxel_checks(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -246,7 +246,8 @@ def trunk_base(spark, d):
 @query()
 def trunk_base_hull(spark, d):
     t = _trees(spark, d)
-    return forest.trunk_base_under(t, forest.hulls(t, ("tile_id", "gtid")), forest.min_raster(points(spark, d)))
+    crowns = forest.hulls(t, ("tile_id", "gtid"), every=True).drop("area_m2")
+    return forest.with_trunk_base(crowns, forest.min_raster(points(spark, d)))
 
 
 @query("""WITH t AS (SELECT src_id AS gtid, median(z_mm) / 1000 AS mz, min(z_mm) / 1000.0 AS bz, 2 * sqrt((max(x_mm) - min(x_mm)) / 1000.0 * ((max(y_mm) - min(y_mm)) / 1000.0) / pi()) AS cw FROM points GROUP BY src_id)

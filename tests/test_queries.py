@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grovegrid.functions.points import points
 from grovegrid.operators import forest, kernels, spatial, vegetation
@@ -122,6 +123,22 @@ def test_trunk_base_under_wide_crowns(spark):
     assert got == {1: (18, 18, 70), 2: (19, 0, 60), 3: none, 4: none}
 
 
+def scans(df):
+    """How often the plan reads lineitem."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey#") and df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_trunk_base_reads_trees_once(spark, data):
+    """Rows of all trees, those of under three points too, from one reading of the trees and one of the raster's points."""
+    t = queries._trees(spark, data)
+    few = t.where("point_id % 100 = 1").limit(2).withColumn("gtid", F.lit(-1).cast("long")).withColumn("tile_id", F.lit("x"))
+    t, dtm = t.unionByName(few).localCheckpoint(), forest.min_raster(points(spark, data))
+    want = forest.trunk_base_under(t, forest.hulls(t, ("tile_id", "gtid")), dtm).collect()
+    got = forest.with_trunk_base(forest.hulls(t, ("tile_id", "gtid"), every=True).drop("area_m2"), dtm).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and ("x", -1) in {(r.tile_id, r.gtid) for r in got}
+    assert scans(queries.trunk_base_hull(spark, data)) == 2
+
+
 def test_trunk_base_and_width_of_hulls(spark, data):
     t = queries._trees(spark, data).toPandas()
     want = {g: 2 * np.sqrt(a / np.pi) for g, a in forest.hulls(queries._trees(spark, data), ("gtid",)).select("gtid", "area_m2").collect()}
