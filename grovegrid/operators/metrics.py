@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import forest, groups
-from .kernels import lookup, member
+from .kernels import filled, lookup, member, packed, voxel_surface
 
 #: The voxel edge of crown solids and of porosity, the cap on a crown's extent (m) and voxels, and the thinning of median_gap.
 SOLID_MM, FINE_MM, MOST_SPAN, MOST_VOXELS, THIN_MM = 500, 250, 100.0, 20_000_000, 20
@@ -123,14 +123,7 @@ def median_gap(xyz: np.ndarray, order: np.ndarray, size: int = SOLID_MM, step: i
     if thin:
         p = p[np.argsort(order, kind="stable")]
         p = p[np.sort(np.unique(p // thin, axis=0, return_index=True)[1])]
-    cells, column = np.unique(xyz[:, :2] // size, axis=0, return_inverse=True)
-    k = xyz[:, 2] // size
-    low, high = np.full(len(cells), k.max()), np.full(len(cells), k.min())
-    np.minimum.at(low, column, k)
-    np.maximum.at(high, column, k)
-    n = high - low + 1
-    up = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    voxels = np.concatenate((np.repeat(cells, n, axis=0), up[:, None]), axis=1).astype(np.int64)
+    voxels = filled(np.zeros(len(xyz), np.int64), xyz // size)[1]
     # Distances are kept as values and how often each occurs, so that memory goes with their range.
     value, often, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
@@ -162,19 +155,36 @@ def r50(points: DataFrame, keys: tuple[str, ...] = ("gtid",), size: int = SOLID_
     return groups.in_groups(points.select(*keys, "point_id", *names), keys, trees, groups.key_schema(points, keys) + ", r50 double")
 
 
+def crowns(points: DataFrame, keys: tuple[str, ...] = ("tile_id", "gtid"), with_r50: bool = True, size: int = SOLID_MM, fine: int = FINE_MM) -> DataFrame:
+    """(keys, ring, area_m2, cx, cy, median_z in mm, porosity, r50) of each tree, as hulls, porosity and r50 have them, from one reading of the points."""
+    names = ["x_mm", "y_mm", "z_mm"]
+
+    def full(xyz: np.ndarray) -> float | None:
+        interior = len(filled(np.zeros(len(xyz), np.int64), xyz // size)[1]) * (size // fine) ** 3
+        if np.ptp(xyz, axis=0).max() > MOST_SPAN * 1000 or interior > MOST_VOXELS:
+            return None
+        return max(0.0, min(1.0, 1 - len(np.unique(packed(xyz // fine)[0])) / interior))
+
+    def trees(table: pa.Table, first: np.ndarray) -> pa.Table:
+        each = np.split(groups.columns(table, names), first[1:])
+        ids = np.split(table.column("point_id").to_numpy(), first[1:])
+        out = forest.outlined(table.select(list(keys)).take(first), [forest.outline(p[:, :2]) for p in each])
+        gaps = [median_gap(p, o, thin=0) if with_r50 else None for p, o in zip(each, ids, strict=True)]
+        for name, values in (("median_z", [float(np.median(p[:, 2])) for p in each]), ("porosity", [full(p) for p in each]), ("r50", gaps)):
+            out = out.append_column(name, pa.array(values, pa.float64()))
+        return out
+
+    schema = f"{groups.key_schema(points, keys)}, {forest.OUTLINE}, median_z double, porosity double, r50 double"
+    return groups.in_groups(points.select(*keys, "point_id", *names), keys, trees, schema)
+
+
 def bundle(points: DataFrame, dtm: DataFrame, with_r50: bool = True) -> DataFrame:
     """One row per tree (tile_id, gtid) in canonical order: crown width, median height, r50, porosity, stem height, diameter, radius, base.
     What cannot be worked out is null and leaves the others as they are."""
-    keys = ("tile_id", "gtid")
-    shape = forest.hulls(points, keys)
-    out = points.groupBy(*keys).agg((F.median("z_mm") / 1000).alias("crown_median_z"))
-    out = out.join(shape.select(*keys, forest.crown_width(F.col("area_m2")).alias("crown_width_m")), list(keys), "left")
-    base = forest.trunk_base_under(points, shape, dtm).select(*keys, (F.col("base_z_mm") / 1000.0).alias("trunk_base_height_m"))
-    out = out.join(base, list(keys), "left").join(porosity(points, keys).select(*keys, F.col("porosity").alias("crown_porosity")), list(keys), "left")
-    gap = r50(points, keys).withColumnRenamed("r50", "crown_r50_m") if with_r50 else points.select(*keys).distinct().withColumn("crown_r50_m", F.lit(None).cast("double"))
+    out = forest.with_trunk_base(crowns(points, with_r50=with_r50), dtm)
+    out = out.select("tile_id", "gtid", (F.col("median_z") / 1000).alias("crown_median_z"), forest.crown_width(F.col("area_m2")).alias("crown_width_m"), F.col("porosity").alias("crown_porosity"), F.col("r50").alias("crown_r50_m"), (F.col("base_z_mm") / 1000.0).alias("trunk_base_height_m"))
     h, dbh, radius = forest.allometry(F.col("crown_width_m"), F.col("crown_median_z"), F.col("trunk_base_height_m"))
-    out = out.join(gap, list(keys), "left").withColumns({"trunk_H_m": h, "trunk_DBH_m": dbh, "trunk_radius_m": radius})
-    return normalized(out)
+    return normalized(out.withColumns({"trunk_H_m": h, "trunk_DBH_m": dbh, "trunk_radius_m": radius}))
 
 
 #: The attributes of a tree in their order.
@@ -199,40 +209,86 @@ def suspicious(x: Column, y: Column, z: Column, limit: float = 5000.0) -> Column
     return F.greatest(F.abs(x), F.abs(y), F.abs(z)) > limit
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def stem(base: tuple[Column, Column, Column], top: tuple[Column, Column, Column], radius: Column, sections: int = 24) -> Column:
     """Faces (structs a, b, c of x, y, z) of a closed cylinder from base to top, outward; null without a positive radius and length."""
-    axis = [t - b for b, t in zip(base, top, strict=True)]
-    length = F.sqrt(sum((a * a for a in axis[1:]), axis[0] * axis[0]))
-    d = [a / length for a in axis]
-    # Two directions across the axis: the first across it and x, or y where the axis runs along x.
-    along_x = F.abs(d[0]) > 0.9
-    u = [F.when(along_x, -d[2]).otherwise(F.lit(0.0)), F.when(along_x, F.lit(0.0)).otherwise(d[2]), F.when(along_x, d[0]).otherwise(-d[1])]
-    n = F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2])
-    u = [c / n for c in u]
-    v = [d[1] * u[2] - d[2] * u[1], d[2] * u[0] - d[0] * u[2], d[0] * u[1] - d[1] * u[0]]
-
-    def corner(i, end):
-        angle = (i % sections) * F.lit(2 * math.pi / sections)
-        return F.struct(*((e + radius * (F.cos(angle) * p + F.sin(angle) * q)).alias(a) for a, e, p, q in zip("xyz", end, u, v, strict=True)))
-
-    centre = lambda end: F.struct(*(e.cast("double").alias(a) for a, e in zip("xyz", end, strict=True)))
-    face = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
-    quads = F.transform(F.sequence(F.lit(0), F.lit(sections - 1)), lambda i: F.array(
-        face(corner(i, base), corner(i + 1, base), corner(i + 1, top)), face(corner(i, base), corner(i + 1, top), corner(i, top)),
-        face(centre(base), corner(i + 1, base), corner(i, base)), face(centre(top), corner(i, top), corner(i + 1, top))))
-    return F.when((radius > 0) & (length > 0), F.flatten(quads))
+    struct = lambda **values: F.struct(*(v.alias(n) for n, v in values.items()))
+    place = lambda v: struct(**dict(zip("xyz", v, strict=True)))
+    parts = lambda s: [s[a] for a in "xyz"]
+    span = lambda v: F.sqrt(sum((a * a for a in v[1:]), v[0] * v[0]))
+    steps = F.sequence(F.lit(0), F.lit(sections - 1))
+
+    def directions(e):
+        axis = [t - b for b, t in zip(parts(e["low"]), parts(e["high"]), strict=True)]
+        return _bound(struct(axis=place(axis), length=span(axis)), lambda w: place([a / w["length"] for a in parts(w["axis"])]))
+
+    def across(d):
+        # Two directions across the axis: the first across it and x, or y where the axis runs along x.
+        d = parts(d)
+        along_x = F.abs(d[0]) > 0.9
+        u = [F.when(along_x, -d[2]).otherwise(F.lit(0.0)), F.when(along_x, F.lit(0.0)).otherwise(d[2]), F.when(along_x, d[0]).otherwise(-d[1])]
+        return _bound(struct(u=place(u), n=F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2])), lambda w: place([c / w["n"] for c in parts(w["u"])]))
+
+    def third(d, u):
+        d, u = parts(d), parts(u)
+        return place([d[1] * u[2] - d[2] * u[1], d[2] * u[0] - d[0] * u[2], d[0] * u[1] - d[1] * u[0]])
+
+    def faces(e, u, v):
+        def ring(end):
+            angle = lambda i: i * F.lit(2 * math.pi / sections)
+            return F.transform(steps, lambda i: place([c + e["r"] * (F.cos(angle(i)) * p + F.sin(angle(i)) * q) for c, p, q in zip(parts(e[end]), parts(u), parts(v), strict=True)]))
+
+        def sides(w, i):
+            low, low_next, high, high_next = w["low"][i], w["low"][(i + 1) % sections], w["high"][i], w["high"][(i + 1) % sections]
+            face = lambda a, b, c: struct(a=a, b=b, c=c)
+            return F.array(face(low, low_next, high_next), face(low, high_next, high), face(e["low"], low_next, low), face(e["high"], high, high_next))
+
+        return _bound(struct(low=ring("low"), high=ring("high")), lambda w: F.flatten(F.transform(steps, lambda i: sides(w, i))))
+
+    double = lambda v: [c.cast("double") for c in v]
+    ends = struct(low=place(double(base)), high=place(double(top)), r=radius.cast("double"))
+    mesh = _bound(ends, lambda e: _bound(directions(e), lambda d: _bound(across(d), lambda u: _bound(third(d, u), lambda v: faces(e, u, v)))))
+    return F.when((radius > 0) & (span([t - b for b, t in zip(base, top, strict=True)]) > 0), mesh)
+
+
+def stems(metrics: DataFrame, places: DataFrame) -> DataFrame:
+    """(tile_id, gtid, faces in mm) of the stem of each tree whose base and radius are known, or null: from the base at places(tile_id, gtid, cx, cy in
+    mm) to the crown's median height."""
+    rows = metrics.join(places, ["tile_id", "gtid"]).where("trunk_base_height_m is not null and trunk_radius_m is not null")
+    low = F.col("cx"), F.col("cy"), F.col("trunk_base_height_m") * 1000
+    faces = stem(low, (F.col("cx"), F.col("cy"), F.col("crown_median_z") * 1000), F.col("trunk_radius_m") * 1000)
+    return rows.select("tile_id", "gtid", faces.alias("faces"))
 
 
 def solids(points: DataFrame, metrics: DataFrame, places: DataFrame) -> DataFrame:
-    """Faces (tile_id, gtid, role, a, b, c in whole mm) of each tree's crown and, where its base and radius are known, its stem: from the base
-    at places(tile_id, gtid, cx, cy in mm) to the crown's median height. A tree without any solid has no row."""
+    """Faces (tile_id, gtid, role, a, b, c in whole mm) of each tree's crown and stem (see stems). A tree without any solid has no row."""
     keys = ("tile_id", "gtid")
     voxel = forest.voxel_faces(crown_solid(points, keys), keys)
     scaled = lambda c: F.struct(*((F.col(f"{c}.{a}") * SOLID_MM).cast("long").alias(a) for a in "xyz")).alias(c)
     crown = voxel.select(*keys, F.lit("crown").alias("role"), *(scaled(c) for c in "abc"))
-    rows = metrics.join(places, list(keys)).where("trunk_base_height_m is not null and trunk_radius_m is not null")
-    low = F.col("cx"), F.col("cy"), F.col("trunk_base_height_m") * 1000
-    faces = stem(low, (F.col("cx"), F.col("cy"), F.col("crown_median_z") * 1000), F.col("trunk_radius_m") * 1000)
     whole = lambda c: F.struct(*(F.bround(F.col(f"f.{c}.{a}")).cast("long").alias(a) for a in "xyz")).alias(c)
-    trunk = rows.select(*keys, F.explode(faces).alias("f")).select(*keys, F.lit("trunk").alias("role"), *(whole(c) for c in "abc"))
+    trunk = stems(metrics, places).select(*keys, F.explode("faces").alias("f")).select(*keys, F.lit("trunk").alias("role"), *(whole(c) for c in "abc"))
     return crown.unionByName(trunk)
+
+
+def solid_checks(points: DataFrame, metrics: DataFrame, places: DataFrame) -> DataFrame:
+    """open_edges of all solids, (tile_id, gtid, role) each, made where the points or the stem's row are: no face is shuffled."""
+    keys = ("tile_id", "gtid")
+
+    def crown(table: pa.Table, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of, corners = voxel_surface(*filled(solid, groups.columns(table, ["i", "j", "k"])))
+        return of, corners * SOLID_MM
+
+    def trunk(table: pa.Table, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = table.column("flat").combine_chunks()
+        return np.repeat(solid, flat.value_lengths().to_numpy() // 9), flat.flatten().to_numpy().reshape(-1, 3, 3)
+
+    whole = F.transform("faces", lambda f: F.array(*(F.bround(f[c][a]).cast("long") for c in "abc" for a in "xyz")))
+    flat = stems(metrics, places).where("faces is not null").select(*keys, F.flatten(whole).alias("flat"))
+    parts = [("crown", forest.checked(forest.voxel_of(points, SOLID_MM, keys), keys, crown)), ("trunk", forest.checked(flat, keys, trunk, single=True))]
+    crown_rows, trunk_rows = (rows.select(*keys, F.lit(role).alias("role"), *forest.CHECKS) for role, rows in parts)
+    return crown_rows.unionByName(trunk_rows)

@@ -377,7 +377,7 @@ def tree_solids(spark, d):
     """Crown and stem of each tree: faces, open edges (0: closed) and volume."""
     t = _trees(spark, d)
     m = metrics.bundle(t, forest.min_raster(points(spark, d)), with_r50=False)
-    return forest.open_edges(metrics.solids(t, m, _centres(spark, d)), ("tile_id", "gtid", "role"))
+    return metrics.solid_checks(t, m, _centres(spark, d))
 
 
 @query("SELECT src_id AS gtid, point_id, round(x_mm / 1000.0 - avg(x_mm) OVER w / 1000, 9) + 0.0 AS x, round(y_mm / 1000.0 - avg(y_mm) OVER w / 1000, 9) + 0.0 AS y, round(z_mm / 1000.0 - avg(z_mm) OVER w / 1000, 9) + 0.0 AS z FROM points WINDOW w AS (PARTITION BY src_id)")
