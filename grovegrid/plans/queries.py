@@ -313,10 +313,6 @@ def quantize_vertices(spark, d):
     return t.select("tile_id", "gtid", *(cityjson.quantize(F.col(f"{a}_mm") / 1000.0, F.min(f"{a}_mm").over(w) / 1000.0).alias(f"q{a}") for a in "xyz"), "point_id")
 
 
-def _faces(spark, d):
-    return forest.voxel_faces(forest.voxels(_trees(spark, d), 500, ("tile_id", "gtid")), ("tile_id", "gtid"))
-
-
 @query("""WITH v AS (SELECT DISTINCT tile_id, src_id AS gtid, floor(x_mm / 500.0)::BIGINT AS i, floor(y_mm / 500.0)::BIGINT AS j, floor(z_mm / 500.0)::BIGINT AS k FROM points),
 s AS (SELECT v.*, i + a AS ni, j + b AS nj, k + c AS nk FROM v, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(a, b, c)),
 f AS (SELECT tile_id, gtid, count(*) * 2 AS n_faces FROM s ANTI JOIN v t ON s.tile_id = t.tile_id AND s.gtid = t.gtid AND ni = t.i AND nj = t.j AND nk = t.k GROUP BY ALL)
@@ -334,9 +330,10 @@ def vertex_offsets(spark, d):
 
 @query()
 def cityjson_tile(spark, d):
-    solids = cityjson.indexed(_faces(spark, d), ["tile_id", "gtid"]).withColumn("role", F.lit("crown"))
-    solids = solids.withColumn("vertices", F.transform("vertices", lambda v: F.struct(*((v[a] * 500).alias(a) for a in "xyz"))))
-    return cityjson.documents(solids, _centres(spark, d).drop("tile_id").groupBy("gtid").agg(F.count(F.lit(1)).alias("n_tiles")))
+    t = _trees(spark, d)
+    at = t.select("tile_id", "gtid").distinct()
+    facts = at.withColumn("n_tiles", F.count(F.lit(1)).over(W.partitionBy("gtid")))
+    return cityjson.voxel_documents(forest.voxel_of(t, 500, ("tile_id", "gtid")), facts, 500)
 
 
 _SOLID = "col AS (SELECT tile_id, src_id AS gtid, floor(x_mm / 500.0)::BIGINT AS i, floor(y_mm / 500.0)::BIGINT AS j, min(floor(z_mm / 500.0)::BIGINT) AS low, max(floor(z_mm / 500.0)::BIGINT) AS high FROM points GROUP BY ALL)"

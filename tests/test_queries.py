@@ -168,6 +168,26 @@ def test_documents_parse(spark, data):
         assert min(used) == 0 and max(used) == len(doc["vertices"]) - 1
 
 
+def test_documents_where_voxels_are(spark, data):
+    """Documents from voxels against those of the faces by tree; a tree without attributes and one in two tiles; no exchange but that of rows by tile."""
+    from grovegrid.operators import cityjson
+
+    keys = ("tile_id", "gtid")
+    cells = forest.voxel_of(queries._trees(spark, data), 500, keys).where("gtid % 3 = 1").localCheckpoint()
+    facts = cells.select("gtid").distinct().where("gtid <> 1").withColumns({"a": F.col("gtid") / 3, "b": F.lit(None).cast("int")})
+    faces = cityjson.indexed(forest.voxel_faces(cells.distinct(), keys), list(keys)).withColumn("role", F.lit("crown"))
+    faces = faces.withColumn("vertices", F.transform("vertices", lambda v: F.struct(*((v[a] * 500).alias(a) for a in "xyz"))))
+    got = cityjson.voxel_documents(cells, facts, 500).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, cityjson.documents(faces, facts).collect()))
+    trees = [t for r in got for t in json.loads(r.doc)["CityObjects"].items()]
+    assert len(trees) == cells.select(*keys).distinct().count() and all(("attributes" in t) == (k != "T_1") for k, t in trees) and any(k == "T_1" for k, t in trees)
+    with_trunk = faces.unionByName(faces.where("gtid = 4").withColumn("role", F.lit("trunk")))
+    docs = [json.loads(r.doc) for r in cityjson.documents(with_trunk, facts).collect()]
+    assert {len(t["geometry"]) for doc in docs for k, t in doc["CityObjects"].items() if k == "T_4"} == {2}
+    plan = queries.cityjson_tile(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert scans(queries.cityjson_tile(spark, data)) == 2 and "SortMergeJoin" not in plan and plan.count("Exchange ") <= 6
+
+
 def test_las_round_trip(spark, data, tmp_path):
     p = points(spark, data).limit(500).toPandas()
     (tmp_path / "a.las").write_bytes(formats.write_las_bytes(p))
