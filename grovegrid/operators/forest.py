@@ -25,8 +25,7 @@ def segment(points: DataFrame, **options) -> DataFrame:
 
 def propagate(points: DataFrame, labelled: DataFrame, reach: int = 2500) -> DataFrame:
     """(tile_id, point_id, tid) of the points that join a tree in one round: that of the nearest of labelled(..., tid) at less than reach (ties: lowest id)."""
-    near = nearest_join(points, labelled, reach).select("tile_id", F.col("q_id").alias("point_id"), "p_id")
-    return near.join(labelled.select("tile_id", F.col("point_id").alias("p_id"), "tid"), ["tile_id", "p_id"]).select("tile_id", "point_id", "tid")
+    return nearest_join(points, labelled, reach, carry="tid").select("tile_id", F.col("q_id").alias("point_id"), "tid")
 
 
 def hulls(points: DataFrame, keys: tuple[str, ...] = ("tile_id", "tid"), every: bool = False) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import groups, kernels
+
 AXES = ("x_mm", "y_mm", "z_mm")
 
 
@@ -40,11 +44,32 @@ def grid_join(query: DataFrame, base: DataFrame, radius: int, closed: bool, dims
     return one.join(two, on & ((d2 <= bound) if closed else (d2 < bound))).select(*(F.col(f"q.{k}") for k in keys), F.col("q.point_id").alias("q_id"), F.col("p.point_id").alias("p_id"), d2.alias("d2"))
 
 
-def nearest_join(query: DataFrame, base: DataFrame, radius: int, keys: tuple[str, ...] = ("tile_id",)) -> DataFrame:
-    """The nearest base point at less than radius of each query point (ties: the lowest id); others have no row."""
-    pairs = grid_join(query, base, radius, False, keys=keys)
-    best = F.min(F.struct("d2", "p_id"))
-    return pairs.groupBy(*keys, "q_id").agg(best.alias("b")).select(*keys, "q_id", F.col("b.p_id").alias("p_id"), F.col("b.d2").alias("d2"))
+def nearest_join(query: DataFrame, base: DataFrame, radius: int, keys: tuple[str, ...] = ("tile_id",), carry: str | None = None) -> DataFrame:
+    """The nearest base point at less than radius of each query point (ties: the lowest id), with base's column `carry`; others have no row."""
+    side = lambda df, q: df.select(*keys, "point_id", *(F.col(a).cast("long").alias(a) for a in AXES), *((F.lit(None).alias(c) if q else c) for c in [carry] if c), F.lit(q).alias("is_query"), F.lit(not q).alias("is_base"))
+    return nearest_among(side(base, False).unionByName(side(query, True)), radius, keys, carry)
+
+
+def nearest_among(rows: DataFrame, radius: int, keys: tuple[str, ...] = ("tile_id",), carry: str | None = None) -> DataFrame:
+    """nearest_join of rows' query points (is_query) with its base points (is_base). Each row is dealt out once, with those of its keys; they are in one task."""
+    more = [carry] if carry else []
+
+    def run(table: pa.Table, first: np.ndarray) -> pa.Table:
+        xyz, ids = groups.columns(table, list(AXES)), table.column("point_id").to_numpy()
+        query, base = (table.column(n).to_numpy() for n in ("is_query", "is_base"))
+        found = []
+        for lo, hi in zip(first, [*first[1:], table.num_rows], strict=True):
+            q, p = lo + np.flatnonzero(query[lo:hi]), lo + np.flatnonzero(base[lo:hi])
+            p = p[np.argsort(ids[p], kind="stable")]
+            i, j, d2 = kernels.nearest(xyz[q], xyz[p], radius)
+            found.append((q[i], p[j], d2))
+        i, j, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = table.select(list(keys)).take(i).append_column("q_id", pa.array(ids[i])).append_column("p_id", pa.array(ids[j])).append_column("d2", pa.array(d2))
+        return out.append_column(carry, table.column(carry).take(j)) if carry else out
+
+    kinds = dict(rows.dtypes)
+    schema = f"{groups.key_schema(rows, keys)}, q_id {kinds['point_id']}, p_id {kinds['point_id']}, d2 long" + "".join(f", {c} {kinds[c]}" for c in more)
+    return groups.in_groups(rows.select(*keys, "point_id", *AXES, *more, "is_query", "is_base"), keys, run, schema)
 
 
 def knn_join(query: DataFrame, base: DataFrame, k: int, cell: int, keys: tuple[str, ...] = ("tile_id",)) -> DataFrame:

@@ -163,9 +163,9 @@ m AS (SELECT o.tile_id, o.point_id AS q_id, k.point_id AS p_id, ((o.x_mm - k.x_m
 
 @query(f"WITH {_CORE}, {_NEAR} SELECT tile_id, q_id, arg_min(p_id, (d2, p_id)) AS p_id, min(d2) AS d2 FROM m WHERE d2 < 360000 GROUP BY tile_id, q_id")
 def bounded_nearest(spark, d):
-    p, core = _core_c(spark, d)
-    rest = p.where("return_number < number_of_returns").join(core.select("tile_id", "point_id"), ["tile_id", "point_id"], "left_anti")
-    return spatial.nearest_join(rest, core, 600)
+    early = vegetation.echo_branch(points(spark, d)).where("return_number < number_of_returns")
+    core = F.coalesce(F.col("branch") == "C", F.lit(False))
+    return spatial.nearest_among(early.withColumns({"is_base": core, "is_query": ~core}), 600)
 
 
 @query(f"""WITH RECURSIVE {_SOR}, kept AS (SELECT points.* FROM points SEMI JOIN (SELECT * FROM sor WHERE keep) USING (point_id)), {_components_sql('kept', 750)},
@@ -419,7 +419,9 @@ SELECT tile_id, point_id, arg_min(src_id, (d2, p_id)) AS tid FROM m WHERE d2 < 6
 def front_propagation(spark, d):
     """One synchronous round: points not yet in a tree join that of the nearest point that is, at less than 2.5 m."""
     p = points(spark, d).where("number_of_returns >= 4")
-    return forest.propagate(p.where("return_number > 1"), p.where("return_number = 1").withColumn("tid", F.col("src_id")))
+    first = F.col("return_number") == 1
+    rows = p.withColumns({"tid": F.col("src_id"), "is_base": first, "is_query": ~first})
+    return spatial.nearest_among(rows, 2500, carry="tid").select("tile_id", F.col("q_id").alias("point_id"), "tid")
 
 
 @query("SELECT 'segment' AS stage, CASE WHEN n >= 1000 THEN 'ok' ELSE 'small_tile' END AS status, count(*) AS n, sum((n >= 1000)::INT)::BIGINT AS n_worked FROM (SELECT tile_id, count(*) AS n FROM points GROUP BY tile_id) GROUP BY ALL")
