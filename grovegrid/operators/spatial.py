@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -97,35 +98,39 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, cell: int, keys: tuple[s
         cell *= 2
 
 
-def crossings(x: Column, y: Column) -> Column:
-    """Whether a ray from (x, y) to the right crosses the edge (x1, y1)-(x2, y2) of the row; exact in integers."""
-    up = (F.col("y1") > y) != (F.col("y2") > y)
-    dy = F.col("y2") - F.col("y1")
-    side = (x - F.col("x1")) * dy - (F.col("x2") - F.col("x1")) * (y - F.col("y1"))
+def crossings(x: Column, y: Column, e: Column) -> Column:
+    """Whether a ray from (x, y) to the right crosses the edge e (x1, y1)-(x2, y2); exact in integers."""
+    up = (e["y1"] > y) != (e["y2"] > y)
+    dy = e["y2"] - e["y1"]
+    side = (x - e["x1"]) * dy - (e["x2"] - e["x1"]) * (y - e["y1"])
     return up & F.when(dy > 0, side < 0).otherwise(side > 0)
 
 
+def _beside(df: DataFrame, edges: DataFrame, distance: int, x: str, y: str, also: Callable[[Column], Column] | None = None) -> DataFrame:
+    """df's rows inside the polygons, or of whose edges (an array) `also` holds; edges are looked at only for rows at most distance from their box."""
+    box = edges.agg(F.min("x1").alias("_ax"), F.max("x1").alias("_bx"), F.min("y1").alias("_ay"), F.max("y1").alias("_by"), F.collect_list(F.struct("part", "x1", "y1", "x2", "y2")).alias("_e"))
+    near = F.col(x).between(F.col("_ax") - distance, F.col("_bx") + distance) & F.col(y).between(F.col("_ay") - distance, F.col("_by") + distance)
+    hit = F.filter("_e", lambda e: crossings(F.col(x), F.col(y), e))["part"]
+    odd = F.exists(F.array_distinct(hit), lambda p: F.size(F.filter(hit, lambda o: o == p)) % 2 == 1)
+    # Of an And either side may come first; a case keeps its order.
+    return df.join(F.broadcast(box), F.when(near, also(F.col("_e")) | odd if also else odd).otherwise(False)).select(*df.columns)
+
+
 def inside(df: DataFrame, edges: DataFrame, ids: list[str], x: str = "x_mm", y: str = "y_mm") -> DataFrame:
-    """Rows of df in the union of the polygons (each part by even-odd rule). Edges are a small, broadcast table."""
-    box = edges.agg(F.min("x1").alias("_ax"), F.max("x1").alias("_bx"), F.min("y1").alias("_ay"), F.max("y1").alias("_by"))
-    near = df.join(F.broadcast(box), F.col(x).between(F.col("_ax"), F.col("_bx")) & F.col(y).between(F.col("_ay"), F.col("_by"))).drop("_ax", "_bx", "_ay", "_by")
-    odd = near.select(*ids, x, y).join(F.broadcast(edges), (F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y)))
-    odd = odd.groupBy(*ids, "part").agg(F.sum(crossings(F.col(x), F.col(y)).cast("int")).alias("n")).where("n % 2 = 1")
-    return near.join(odd.select(*ids).distinct(), ids, "left_semi")
+    """Rows of df in the union of the polygons (each part by even-odd rule). Edges are a small, broadcast table; rows are read once and stay where they are."""
+    return _beside(df, edges, 0, x, y)
 
 
-def edge_distance2(x: Column, y: Column) -> Column:
-    """Squared distance from (x, y) to the edge of the row."""
-    dx, dy = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")
+def edge_distance2(x: Column, y: Column, e: Column) -> Column:
+    """Squared distance from (x, y) to the edge e."""
+    dx, dy = (e["x2"] - e["x1"]).cast("double"), (e["y2"] - e["y1"]).cast("double")
     length = dx * dx + dy * dy
-    t = F.when(length > 0, ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / length).otherwise(0.0)
+    t = F.when(length > 0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / length).otherwise(0.0)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    ex, ey = x - (F.col("x1") + t * dx), y - (F.col("y1") + t * dy)
+    ex, ey = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
     return ex * ex + ey * ey
 
 
 def within_buffer(df: DataFrame, edges: DataFrame, distance: int, ids: list[str]) -> DataFrame:
-    """Rows inside the polygons or at most distance (mm) from an edge."""
-    close = df.join(F.broadcast(edges), F.col("x_mm").between(F.least("x1", "x2") - distance, F.greatest("x1", "x2") + distance) & F.col("y_mm").between(F.least("y1", "y2") - distance, F.greatest("y1", "y2") + distance))
-    close = close.where(edge_distance2(F.col("x_mm"), F.col("y_mm")) <= float(distance) ** 2).select(*ids)
-    return df.join(close.unionByName(inside(df, edges, ids).select(*ids)).distinct(), ids, "left_semi")
+    """Rows inside the polygons or at most distance (mm) from an edge; rows are read once and stay where they are."""
+    return _beside(df, edges, distance, "x_mm", "y_mm", lambda es: F.exists(es, lambda e: edge_distance2(F.col("x_mm"), F.col("y_mm"), e) <= float(distance) ** 2))
