@@ -124,9 +124,8 @@ cs AS (SELECT cv.tile_id, point_id, label AS component, count(*) OVER (PARTITION
 
 @query(f"WITH {_SOR} SELECT tile_id, point_id, branch, round(m, 6) AS mean_distance, keep FROM sor")
 def sor_keep(spark, d):
-    p = vegetation.echo_branch(points(spark, d))
-    parts = [vegetation.sor(p.where(F.col("branch") == b), k, s).select("tile_id", "point_id", "branch", F.round("mean_distance", 6).alias("mean_distance"), "keep") for b, (_, k, s) in vegetation.BRANCHES.items()]
-    return parts[0].unionByName(parts[1])
+    p = vegetation.echo_branch(points(spark, d)).select("tile_id", "point_id", "x_mm", "y_mm", "z_mm", "branch")
+    return vegetation.sor_branches(p, vegetation.BRANCHES).select("tile_id", "point_id", "branch", F.round("mean_distance", 6).alias("mean_distance"), "keep")
 
 
 @query(f"WITH RECURSIVE br AS (SELECT * FROM points WHERE {_BRANCH} IS NOT NULL), {_components_sql('br', 750)} SELECT tile_id, point_id, component, size FROM cs")
@@ -141,18 +140,17 @@ dil AS (SELECT DISTINCT tile_id, ix + i AS ix, iy + j AS iy FROM occ, generate_s
 
 
 def _core_c(spark, d):
-    p = points(spark, d)
-    return p, vegetation.echo_branch(p).where("branch = 'C'").drop("branch")
+    return vegetation.echo_branch(points(spark, d)).where("branch = 'C'").drop("branch")
 
 
 @query(f"WITH {_CORE}, {_DIL} SELECT tile_id, ix, iy FROM dil")
 def occupancy_dilate(spark, d):
-    return vegetation.dilate(vegetation.occupied(_core_c(spark, d)[1]))
+    return vegetation.dilate(vegetation.cell_of(_core_c(spark, d)))
 
 
 @query(f"WITH {_CORE}, {_DIL} SELECT r.* FROM rest r SEMI JOIN dil ON dil.tile_id = r.tile_id AND dil.ix = floor(r.x_mm / 250.0)::BIGINT AND dil.iy = floor(r.y_mm / 250.0)::BIGINT")
 def dilated_candidates(spark, d):
-    return vegetation.candidates(*_core_c(spark, d))
+    return vegetation.candidates_of(points(spark, d), f"return_number < number_of_returns and {vegetation.BRANCHES['C'][0]}")
 
 
 _NEAR = """k AS (SELECT core.*, floor(x_mm / 600.0)::BIGINT AS cx, floor(y_mm / 600.0)::BIGINT AS cy, floor(z_mm / 600.0)::BIGINT AS cz FROM core),
